@@ -89,3 +89,64 @@ def has_letter(text: Column) -> Column:
 def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow, in its usual order of arguments."""
     return df.mapInArrow(work, schema)
+
+
+def chunk_pairs(keyed: DataFrame, key: str, ident: str, chunk: int) -> DataFrame:
+    """keyed, with the rows of each key dealt so that every two of them meet in some task of bounded size.
+
+    Keys of one row are left out. A key's rows fall by hash of ident into chunks of about chunk rows; a
+    row goes to each pair of chunks, (low, high), that holds its own. side: 2 where both are its own
+    chunk, so that its rows are compared with each other, else 0 in the lower and 1 in the higher chunk.
+    """
+    sizes = keyed.groupBy(key).count().filter("count > 1")
+    return (
+        keyed.join(sizes, key)
+        .withColumn("_parts", F.ceil(F.col("count") / chunk).cast("int"))
+        .withColumn("_own", F.pmod(F.xxhash64(ident), F.col("_parts")).cast("int"))
+        .withColumn("_other", F.explode(F.expr("sequence(0, _parts - 1)")))
+        .withColumn("low", F.least("_own", "_other"))
+        .withColumn("high", F.greatest("_own", "_other"))
+        .withColumn("side", F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1))
+        .drop("count", "_parts", "_own", "_other")
+    )
+
+
+def whole_groups(frames, columns: list[str]):
+    """Frames of rows sorted by columns, as frames in which no group is cut."""
+    import pandas as pd
+
+    rest = None
+    for frame in frames:
+        if rest is not None:
+            frame = pd.concat([rest, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        last = (frame[columns] == frame[columns].iloc[-1]).all(axis=1).to_numpy()
+        rest, done = frame[last], frame[~last].reset_index(drop=True)
+        if len(done):
+            yield done
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True)
+
+
+def group_numbers(frame, columns: list[str]) -> np.ndarray:
+    """0, 1, ... for each run of equal values of columns."""
+    change = np.zeros(len(frame), bool)
+    for c in columns:
+        values = frame[c].to_numpy()
+        change[1:] |= values[1:] != values[:-1]
+    return np.cumsum(change)
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node that the links a - b lead to."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return root
+        np.minimum.at(root, high[apart], low[apart])
+        while (root != (up := root[root])).any():
+            root = up
+        a, b = a[apart], b[apart]

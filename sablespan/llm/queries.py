@@ -15,12 +15,24 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sablespan.llm.embeddings import embedding_components
+
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sablespan.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sablespan.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sablespan.llm.token_output import token_output
 
@@ -44,6 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from sablespan.llm.embeddings import EMBEDDINGS_SQL
     from sablespan.llm.mixing import MIXING_SQL
+    from sablespan.llm.topk import TOPK_SQL
 
-    return {"op3_mix_sources": MIXING_SQL}
+    return {"op2_embedding_caps": EMBEDDINGS_SQL, "op3_mix_sources": MIXING_SQL, "op4_top_k": TOPK_SQL}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablespan.llm.common import mapped, stored, text_batches
+from sablespan.llm.common import chunk_pairs, forest, group_numbers, mapped, stored, text_batches, whole_groups
 from sablespan.llm.components import components
 
 #: Fingerprints of one key that a task holds; twice as many when it compares two chunks.
@@ -107,25 +107,6 @@ def _beyond(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int)
     return fours
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For each of n nodes the least node that the links a - b lead to."""
-    root = np.arange(n)
-    while len(a):
-        ra, rb = root[a], root[b]
-        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
-        apart = low != high
-        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
-        if not len(a):
-            break
-        np.minimum.at(root, high, low)
-        while True:
-            next_root = root[root]
-            if (next_root == root).all():
-                break
-            root = next_root
-    return root
-
-
 def _links_within(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links among rows of equal key. Rows are sorted by key; of two rows on one side
     (0 or 1) none is compared, but side 2 is compared with itself."""
@@ -168,39 +149,15 @@ def near_links(distinct: DataFrame, radius: int = 2, chunk: int = CHUNK) -> Data
     pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
     keys = F.array(*[F.lit(t).cast("bigint") * (1 << 32) + quarter[i] * 65536 + quarter[j] for t, (i, j) in enumerate(pairs)])
     keyed = distinct.select("fp", F.explode(keys).alias("key"))
-    sizes = keyed.groupBy("key").count().filter("count > 1")
-    shared = keyed.join(sizes, "key")
-    # Chunk c of n meets every chunk: itself (side 2) and the n - 1 others (side 0 or 1).
-    parts = F.ceil(F.col("count") / chunk).cast("int")
-    shared = (
-        shared.withColumn("parts", parts)
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        .select(
-            "fp",
-            "key",
-            F.least("own", "other").alias("low"),
-            F.greatest("own", "other").alias("high"),
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-    )
-    spread = shared.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "fp")
+    shared = chunk_pairs(keyed, "key", "fp", chunk)
+    where = ["key", "low", "high"]
+    spread = shared.repartition(*where).sortWithinPartitions(*where, "fp")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            last = (frame[["key", "low", "high"]] == frame[["key", "low", "high"]].iloc[-1]).all(axis=1)
-            rest, frame = frame[last], frame[~last]
-            yield links(frame)
-        if rest is not None:
-            yield links(rest)
-
-    def links(frame: pd.DataFrame) -> pd.DataFrame:
-        fps = frame["fp"].to_numpy(np.int64).view(np.uint64)
-        change = (frame[["key", "low", "high"]] != frame[["key", "low", "high"]].shift()).any(axis=1)
-        a, b = _links_within(np.cumsum(change.to_numpy()), fps, frame["side"].to_numpy(), radius)
-        return pd.DataFrame({"a": fps[a].view(np.int64), "b": fps[b].view(np.int64)})
+        for frame in whole_groups(frames, where):
+            fps = frame["fp"].to_numpy(np.int64).view(np.uint64)
+            a, b = _links_within(group_numbers(frame, where), fps, frame["side"].to_numpy(), radius)
+            yield pd.DataFrame({"a": fps[a].view(np.int64), "b": fps[b].view(np.int64)})
 
     return spread.mapInPandas(compare, "a bigint, b bigint").distinct()
 
