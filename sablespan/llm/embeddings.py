@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sablespan.llm.common import chunk_pairs, forest, group_numbers, stored, whole_groups, worker_state
 from sablespan.llm.components import components
 
-BLOCKS, WAYS, MARGIN = 3, 16, 0.22
+BLOCKS, WAYS, MARGIN = 3, 16, 0.16
 CHUNK = 2048
 SEED = 20
 

@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sablespan.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sablespan.llm.embeddings import embedding_components
 
