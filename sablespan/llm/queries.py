@@ -45,6 +45,18 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sablespan.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sablespan.llm.language import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sablespan.llm.packing import best_fit_packing
 

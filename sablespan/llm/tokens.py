@@ -35,7 +35,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Cache(dict):
+class Cache(dict):
     """A dict that works out missing entries, and starts anew when it is full."""
 
     def __init__(self, make, most):
@@ -64,8 +64,8 @@ class Encoder:
         self.letters = {b: letters[b] for b in range(256)}
         spec = json.loads(self.whole.to_str())
         kind = (spec["pre_tokenizer"] or {}).get("type"), (spec["normalizer"] or {}).get("type")
-        self.words = _Cache(self._lower_word, WORDS)
-        self.firsts, self.spaced = _Cache(self._chunk, WORDS), _Cache(self._spaced_word, WORDS)
+        self.words = Cache(self._lower_word, WORDS)
+        self.firsts, self.spaced = Cache(self._chunk, WORDS), Cache(self._spaced_word, WORDS)
         if kind == ("ByteLevel", None) and not spec["pre_tokenizer"]["add_prefix_space"]:
             import public_tokenizers
             import regex
@@ -76,7 +76,7 @@ class Encoder:
             self.encode = self._by_words
         else:
             self.encode = self._all
-        self.runs = _Cache(self._run, RUNS)
+        self.runs = Cache(self._run, RUNS)
 
     def _all(self, text: str) -> bytes:
         import numpy as np
