@@ -23,8 +23,8 @@ def span_stream(documents: DataFrame, patterns: list[Pattern]) -> DataFrame:
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events by window and type, for streams and tables: count and sum in cents."""
     cents = F.sum(F.round(F.col("value") * 100).cast("bigint"))
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
-    return grouped.agg(F.count("*").alias("n"), cents.alias("cents")).select(F.col("window.start").alias("start"), "event_type", "n", "cents")
+    grouped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
+    return grouped.agg(F.count("*").alias("n"), cents.alias("cents")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "cents")
 
 
 def to_table(rows: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
