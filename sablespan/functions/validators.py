@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sablespan.functions import rules as R
@@ -227,11 +227,27 @@ def ladder_sql(arms: list[Arm]) -> dict[str, str]:
 
 
 def verdict(entity_type: str) -> Column:
-    """STRUCT<is_valid, points, reasons> for an entity of this type, over columns t, d and source."""
-    arms = LADDERS.get(entity_type)
-    if arms is None:
+    """STRUCT<is_valid, points, reasons> for an entity of this type, over columns t, d and source.
+
+    The arm that ends the ladder is worked out once and bound by transform() over an array of one, so that the
+    expression grows with the number of arms and not with its square.
+    """
+    if entity_type not in LADDERS:
         return F.struct(F.lit(True).alias("is_valid"), F.lit(0).cast("bigint").alias("points"), F.lit("").alias("reasons"))
-    return F.struct(*[F.expr(sql).alias(name) for name, sql in ladder_sql(arms(SparkSQL())).items()])
+    arms = LADDERS[entity_type](SparkSQL())
+    stop = "CASE " + " ".join(f"WHEN {a.when} THEN {i}" for i, a in enumerate(arms) if a.verdict is not None) + " END"
+
+    def outcome(end: Column) -> Column:
+        passed = [end == i if a.verdict is not None else F.expr(a.when) & (end > i) for i, a in enumerate(arms)]
+        valid = F.coalesce(*[F.when(end == i, F.lit(a.verdict)) for i, a in enumerate(arms) if a.verdict is not None])
+        points = F.lit(0)
+        for p, a in zip(passed, arms, strict=True):
+            if a.points:
+                points = points + F.when(p, a.points).otherwise(0)
+        reasons = F.concat_ws("|", *[F.when(p, F.lit(a.reason)) for p, a in zip(passed, arms, strict=True)])
+        return F.struct(valid.alias("is_valid"), points.cast("bigint").alias("points"), reasons.alias("reasons"))
+
+    return F.element_at(F.transform(F.array(F.expr(stop)), outcome), 1)
 
 
 def dispatch(entity_type: Column) -> Column:
@@ -241,3 +257,9 @@ def dispatch(entity_type: Column) -> Column:
     for name in LADDERS:
         out = out.when(entity_type == name, verdict(name))
     return out.otherwise(verdict("other"))
+
+
+def judged(rows: DataFrame, entity_type: Column) -> DataFrame:
+    """rows with is_valid, adjustment and reasons. A generator holds the ladders, so that no later filter or
+    projection copies them."""
+    return rows.select("*", F.inline(F.array(dispatch(entity_type))).alias("is_valid", "adjustment", "reasons"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablespan.functions.text import ensemble_form
-from sablespan.functions.validators import dispatch
+from sablespan.functions.validators import judged
 
 
 @dataclass(frozen=True)
@@ -52,14 +52,8 @@ def routing_table(spark: SparkSession) -> DataFrame:
 
 def validated(found: DataFrame) -> DataFrame:
     """found with t and d, its text and document: valid rows only, their points adjusted, reasons kept."""
-    return (
-        found.withColumn("v", dispatch(F.col("entity_type")))
-        .filter("v.is_valid")
-        .withColumn("original_points", F.col("points"))
-        .withColumn("reasons", F.col("v.reasons"))
-        .withColumn("points", F.col("points") + F.col("v.points"))
-        .drop("v")
-    )
+    rows = judged(found, F.col("entity_type")).filter("is_valid").withColumn("original_points", F.col("points"))
+    return rows.withColumn("points", F.col("points") + F.col("adjustment")).drop("is_valid", "adjustment")
 
 
 def detector_pairs(found: DataFrame) -> DataFrame:

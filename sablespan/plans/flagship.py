@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablespan.functions.validators import dispatch
+from sablespan.functions.validators import judged
 from sablespan.operators.ensemble import without_kept
 from sablespan.operators.redact import redact
 from sablespan.plans.base import spans, table
@@ -15,8 +15,8 @@ def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, redacted, masked_chars and n_entities of the documents that hold valid personal data."""
     docs = table(spark, sf_dir, "documents")
     found = spans(spark, sf_dir)
-    judged = found.withColumns({"t": F.col("text"), "d": F.lit(""), "source": F.lit("pattern")})
-    valid = judged.withColumn("v", dispatch(F.when(F.col("entity_type") == "EMAIL_ADDRESS", F.col("entity_type")).otherwise("other")))
-    kept = without_kept(valid.filter("v.is_valid"))
+    rows = found.withColumns({"t": F.col("text"), "d": F.lit(""), "source": F.lit("pattern")})
+    kind = F.when(F.col("entity_type") == "EMAIL_ADDRESS", F.col("entity_type")).otherwise("other")
+    kept = without_kept(judged(rows, kind).filter("is_valid"))
     counts = kept.groupBy("doc_id").agg(F.count("*").alias("n_entities"))
     return redact(docs, kept).join(counts, "doc_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sablespan.functions import text as X
 from sablespan.functions.dialect import ACCENTED, PLAIN, DuckSQL
-from sablespan.functions.validators import LADDERS, dispatch, ladder_sql, verdict
+from sablespan.functions.validators import LADDERS, judged, ladder_sql, verdict
 from sablespan.operators import analysis as A
 from sablespan.operators import ensemble as E
 from sablespan.operators import matching as M
@@ -141,8 +141,7 @@ for _name, _type in (
 
 @query(f"WITH {B.CANDIDATES}, v AS ({B.verdicts_sql('candidates')}) SELECT cand_id, entity_type, is_valid, adjustment, reasons FROM v")
 def validate_dispatch(spark, sf_dir):
-    rows = B.candidates(spark, sf_dir).withColumn("v", dispatch(F.col("entity_type")))
-    return rows.select("cand_id", "entity_type", "v.is_valid", F.col("v.points").alias("adjustment"), "v.reasons")
+    return judged(B.candidates(spark, sf_dir), F.col("entity_type")).select("cand_id", "entity_type", "is_valid", "adjustment", "reasons")
 
 
 @query(
