@@ -556,11 +556,10 @@ def removal(window: int = WINDOW):
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The documents by key, and for each key the starts of its repeated windows (first to last)."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("key"), "text"
-    )
+    # One shape of this table everywhere, and a key that is never null: both joins then share one exchange of the texts.
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("key"), "text")
     work, schema = prefix_runs(buckets)
-    prefixes = keyed.select("key", "text").mapInArrow(work, schema)
+    prefixes = keyed.mapInArrow(work, schema)
     refs = prefixes.groupBy("bucket").applyInPandas(repeated_prefixes(hot), "key bigint, ref bigint")
     refs = refs.groupBy("key").agg(F.collect_set("ref").alias("refs")).withColumnRenamed("key", "r_key")
     marked = keyed.join(refs, F.col("key") == F.col("r_key")).select("key", "text", "refs")
@@ -574,5 +573,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     keyed, spans = repeated_spans(docs, hot)
-    joined = keyed.join(spans, F.col("key") == F.col("s_key"), "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans, F.col("key") == F.col("s_key"), "left").select(
+        F.nullif("key", F.lit(NULL_ID)).alias("doc_id"), "text", "spans"
+    )
     return joined.mapInArrow(removal(), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
