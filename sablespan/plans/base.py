@@ -106,9 +106,9 @@ def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
-    sql = candidates_sql(types or TYPES).replace("FROM customer", "FROM {customer}")
     # The templates' own braces stand inside string literals.
-    return spark.sql(sql.replace("{k}", "{{k}}"), customer=table(spark, sf_dir, "customer").select("c_custkey"))
+    sql = candidates_sql(types or TYPES, "@", duck=False).replace("{k}", "{{k}}").replace("FROM @", "FROM {customer}")
+    return spark.sql(sql, customer=table(spark, sf_dir, "customer").select("c_custkey"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,16 +121,22 @@ TEMPLATES: dict[str, list[tuple[str, str, str]]] = {
 }
 
 
-def candidates_sql(types: list[str]) -> str:
-    """cand_id, entity_type, t, d and source over a table `customer`, in SQL that Spark and DuckDB share."""
+def candidates_sql(types: list[str], source: str = "customer", duck: bool = True) -> str:
+    """cand_id, entity_type, t, d and source from a table of c_custkey: a row a key and type, in one scan."""
     quoted = lambda s: "'" + s.replace("'", "’") + "'"
-    parts = []
-    for number, name in enumerate(types):
-        rows = TEMPLATES[name]
-        case = lambda at: "CASE c_custkey % {} {} END".format(
-            len(rows), " ".join(f"WHEN {i} THEN replace({quoted(r[at])}, '{{k}}', CAST(c_custkey AS STRING))" for i, r in enumerate(rows))
-        )
-        parts.append(
-            f"SELECT c_custkey * 100 + {number} AS cand_id, '{name}' AS entity_type, {case(0)} AS t, {case(1)} AS d, {case(2)} AS source FROM customer"
-        )
-    return " UNION ALL ".join(parts)
+    numbers = ", ".join(map(str, range(len(types))))
+    each = f"unnest([{numbers}])" if duck else f"explode(array({numbers}))"
+
+    def by_type(at: int) -> str:
+        kinds = []
+        for number, name in enumerate(types):
+            rows = TEMPLATES[name]
+            turns = " ".join(f"WHEN {i} THEN {quoted(r[at])}" for i, r in enumerate(rows))
+            kinds.append(f"WHEN {number} THEN CASE c_custkey % {len(rows)} {turns} END")
+        return f"replace(CASE kind {' '.join(kinds)} END, '{{k}}', CAST(c_custkey AS STRING))"
+
+    names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(types))
+    return (
+        f"SELECT c_custkey * 100 + kind AS cand_id, CASE kind {names} END AS entity_type, {by_type(0)} AS t, {by_type(1)} AS d, {by_type(2)} AS source "
+        f"FROM (SELECT c_custkey, {each} AS kind FROM {source}) keys"
+    )
