@@ -38,7 +38,7 @@ from sablespan.llm.common import bytes_of, text_batches, worker_state
 
 WINDOW, KMER, HOT = 100, 32, 10_000
 #: Anchors or suffixes that make a run, and bytes of text hashed at a time.
-RUN, PART = 1_000_000, 4_000_000
+RUN, PART = 1_000_000, 2_000_000
 NULL_ID = -(1 << 63)
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
