@@ -439,3 +439,70 @@ def test_pipeline(spark, sf_dir, odd):
     assert P.run(spark, sf_dir).count() > 0
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, odd.select(*kinds), sf_dir).columns == kinds
+
+
+def similarity(a, b, width=5):
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else {()}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def near_texts(pairs=60, base=0):
+    """Random texts, each with a copy in which some words are others."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for n, changed in ((300, 1), (300, 3), (100, 2), (1000, 10)):
+        for _ in range(pairs):
+            words = [f"w{rng.randrange(20000)}" for _ in range(n)]
+            other = list(words)
+            for at in rng.sample(range(n), changed):
+                other[at] = f"v{rng.randrange(20000)}"
+            rows += [" ".join(words), " ".join(other)]
+    return [(base + i, t, "en", "a", len(t)) for i, t in enumerate(rows)]
+
+
+PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_copies_recall(spark, sf_dir, docs):
+    import corpus_pipeline as P
+
+    rows = near_texts()
+    got = {r["doc_id"] for r in P.remove_near_copies(spark, spark.createDataFrame(rows, PLAIN), sf_dir).collect()}
+    assert set(range(0, len(rows), 2)) <= got
+    near = [i for i in range(0, len(rows), 2) if similarity(rows[i][1], rows[i + 1][1]) >= 0.8]
+    far = [i for i in range(0, len(rows), 2) if i not in near]
+    assert len(near) > 200 and sum(i + 1 in got for i in near) == 0 and all(i + 1 in got for i in far)
+
+    # A corpus with groups of copies: as brute force over all pairs.
+    rows = docs.select(*PLAIN.replace(",", "").split()[::2]).collect()
+    parent = {r["doc_id"]: r["doc_id"] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            p, q = root(a["doc_id"]), root(b["doc_id"])
+            if p != q and similarity(a["text"], b["text"]) >= 0.8:
+                parent[max(p, q)] = min(p, q)
+    got = [r["doc_id"] for r in P.remove_near_copies(spark, docs, sf_dir).collect()]
+    assert sorted(got) == sorted({root(x) for x in parent})
+
+
+@pytest.mark.parametrize("chunk", [3, 2048])
+def test_near_copies_of_large_groups(spark, chunk):
+    from sablespan.llm.components import components
+    from sablespan.llm.near_copies import near_links, prints_of
+
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[:i], f"v{i}", *words[i + 1 :]])) for i in range(40)] + [(99, "other words here")]
+    frame = spark.createDataFrame(rows, "rank long, text string")
+    found = components(near_links(frame, prints_of(frame), chunk=chunk)).collect()
+    assert len(found) == 39 and len({r["component"] for r in found}) == 1
