@@ -62,11 +62,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int,
     return per.select("source", "source_size", target.alias("target"))
 
 
-def pareto_take(wanted: DataFrame, by: str, bins: int = BINS) -> DataFrame:
+def pareto_take(wanted: DataFrame, by: str, bins: int = BINS, ties: tuple[str, ...] = ()) -> DataFrame:
     """wanted, and taken: the words each row gives.
 
     wanted has doc_id, size, certain (whole copies), p (of one more copy, 0 <= p < 1) and left
-    (words that the rows of its value of by should give beyond certain copies).
+    (words that the rows of its value of by should give beyond certain copies).  ties: columns that
+    order rows of equal doc_id and size.
     """
     odds = uniform(F.col("doc_id"))
     q = F.when(F.col("p") > 0, odds / (1 - odds) * ((1 - F.col("p")) / F.col("p")))
@@ -76,7 +77,7 @@ def pareto_take(wanted: DataFrame, by: str, bins: int = BINS) -> DataFrame:
     sums = ranked.filter("bin is not null").groupBy(by, "bin").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(by).alias("_by"), F.col("bin").alias("_bin"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
-    within = Window.partitionBy(by, "bin").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(by, "bin").orderBy("q", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranked.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("bin") == F.col("_bin")), "left")
     ahead_of = F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))
     extra = F.when(F.col("q").isNotNull() & (2 * ahead_of + F.col("size") <= 2 * F.col("left")), F.col("size")).otherwise(0)
@@ -84,10 +85,15 @@ def pareto_take(wanted: DataFrame, by: str, bins: int = BINS) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: tuple[int, int] = (3, 2),
+    most: int = 2,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
-    sizes = stored(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "sizes")
+    """doc_id, size, source_size, target and taken of every document, and the columns keep, which also
+    order documents of equal id and size."""
+    sizes = stored(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), *keep), "sizes")
     targets = source_targets(sizes, weights, share, most).select(F.col("source").alias("_source"), "source_size", "target")
     times = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     wanted = (
@@ -96,7 +102,7 @@ def mix_sources(
         .withColumn("p", times - F.floor(times))
         .withColumn("left", F.col("target") - F.col("certain") * F.col("source_size"))
     )
-    return pareto_take(wanted, "source").select("doc_id", "size", "source_size", "target", "taken")
+    return pareto_take(wanted, "source", ties=keep).select("doc_id", "size", "source_size", "target", "taken", *keep)
 
 
 #: The same in DuckDB's SQL.

@@ -506,3 +506,21 @@ def test_near_copies_of_large_groups(spark, chunk):
     frame = spark.createDataFrame(rows, "rank long, text string")
     found = components(near_links(frame, prints_of(frame), chunk=chunk)).collect()
     assert len(found) == 39 and len({r["component"] for r in found}) == 1
+
+
+def test_null_and_repeated_ids_stay_apart(spark, sf_dir):
+    import corpus_pipeline as P
+
+    texts = [" ".join(f"{kind}{i}x{k}" for k in range(30)) for kind in ("null", "same") for i in range(6)]
+    rows = [(None if i < 6 else 7, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    rows += [(8, texts[0], "en", "a", 1), rows[6], (None, texts[6], "en", "a", 1)]
+    frame = spark.createDataFrame(rows, PLAIN).repartition(3)
+    kept = [tuple(r) for r in P.remove_near_copies(spark, frame, sf_dir).collect()]
+    assert sorted(kept, key=str) == sorted([rows[12], *rows[1:12]], key=str)
+    assert sorted(map(tuple, P.remove_near_copies(spark, frame.repartition(5), sf_dir).collect()), key=str) == sorted(kept, key=str)
+
+    # One source of twelve texts of 30 words: 1.5 times its words are taken, in whole texts, each once or twice.
+    frame = spark.createDataFrame(rows[:12], PLAIN).repartition(3)
+    mixed = [r["text"] for r in P.mix(spark, frame, sf_dir).collect()]
+    assert len(mixed) == 18 and {mixed.count(t) for t in texts} == {1, 2}
+    assert sorted(mixed) == sorted(r["text"] for r in P.mix(spark, frame.repartition(5), sf_dir).collect())
