@@ -153,9 +153,9 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98) -> DataFra
     """vec_id, n_links, component_id and kept of every vector."""
     vectors = vectors.select("vec_id", "label", "embedding")
     good = usable(vectors)
-    distinct = stored(
-        good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rid"), F.count("*").alias("copies")), "vectors"
-    )
+    # Vectors have a number of their own, rid, as several may share their least vec_id.
+    distinct = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    distinct = stored(distinct.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     schema = "rid bigint, label int, dims int, copies bigint, embedding array<float>, filter bigint, best bigint, cap array<bigint>"
     ready = distinct.select("rid", F.col("label").cast("int"), F.size("embedding").alias("dims"), "copies", F.col("embedding").cast("array<float>"))
     spread = ready.mapInPandas(_spread, schema).withColumn("key", F.struct("label", "dims", "filter"))
@@ -170,11 +170,13 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98) -> DataFra
         .select(
             "label",
             "embedding",
+            "first",
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "rid").alias("component_id"),
+            F.coalesce("component", "rid").alias("component"),
         )
     )
-    rows = vectors.join(per, ["label", "embedding"], "left")
+    least = per.groupBy("component").agg(F.min("first").alias("component_id"))
+    rows = vectors.join(per.join(least, "component"), ["label", "embedding"], "left")
     component = F.coalesce("component_id", "vec_id")
     return rows.select(
         "vec_id",

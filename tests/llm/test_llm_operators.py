@@ -524,3 +524,14 @@ def test_null_and_repeated_ids_stay_apart(spark, sf_dir):
     mixed = [r["text"] for r in P.mix(spark, frame, sf_dir).collect()]
     assert len(mixed) == 18 and {mixed.count(t) for t in texts} == {1, 2}
     assert sorted(mixed) == sorted(r["text"] for r in P.mix(spark, frame.repartition(5), sf_dir).collect())
+
+
+def test_embedding_caps_of_repeated_ids(spark):
+    from sablespan.llm.embeddings import embedding_components
+
+    # Under id 307 two vectors that link with each other, one of them also with 308; 309 twice, in two groups.
+    rows = [(307, [1.0, 2.0], 1), (307, [2.0, 4.0], 1), (308, [1.0, 2.2], 1), (309, [5.0, 0.1], 1), (309, [-1.0, 0.0], 1), (310, [5.0, 0.2], 1), (311, [-2.0, 0.0], 1)]
+    rows += [(306, [1.0, -9.0], 1), (307, [2.0, -18.0], 1)]
+    got = embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = [(307, 2, 307), (307, 2, 307), (308, 2, 307), (309, 1, 309), (309, 1, 309), (310, 1, 309), (311, 1, 309), (306, 1, 306), (307, 1, 306)]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted(want)
