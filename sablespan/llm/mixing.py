@@ -6,8 +6,9 @@ by Pareto's q = u / (1 - u) * (1 - p) / p, with a uniform u from the document's
 of the lowest q are taken until the source's words come as near to its target as a whole
 document allows.
 
-Ranks are found without a window over a source: a histogram of q by source gives the words
-before each of its bins, and a window orders the documents within a bin only.
+Ranks are found without a window over a source: a histogram of u by source gives the words
+before each of its bins, and a window orders the documents within a bin only.  Sources that need
+no more copies (p = 0) aren't ranked.
 
 Cases: null or empty text has size 0 and gives 0 words; a null source is a source, the last;
 rows that repeat a doc_id are ranked one after another by text size; an empty table gives no
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sablespan.llm.common import WORD, stored
 
-#: Bins of the histogram of q in each source.
+#: Bins of the histogram of u in each source.
 BINS = 4096
 
 
@@ -62,26 +63,32 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int,
     return per.select("source", "source_size", target.alias("target"))
 
 
+def binned(wanted: DataFrame, bins: int = BINS) -> DataFrame:
+    """The rows of wanted that are ranked, with q and bin. q ascends with u, as p is the same in all rows of a
+    source; bins of u hold about equally many rows whatever p is."""
+    u = uniform(F.col("doc_id"))
+    q = F.when(F.col("p") > 0, u / (1 - u) * ((1 - F.col("p")) / F.col("p")))
+    return wanted.filter("p > 0").withColumn("q", q).withColumn("bin", F.floor(u * bins).cast("int"))
+
+
 def pareto_take(wanted: DataFrame, by: str, bins: int = BINS, ties: tuple[str, ...] = ()) -> DataFrame:
     """wanted, and taken: the words each row gives.
 
-    wanted has doc_id, size, certain (whole copies), p (of one more copy, 0 <= p < 1) and left
+    wanted has doc_id, size, certain (whole copies), p (of one more copy, 0 <= p < 1, the same in all rows of a value of by) and left
     (words that the rows of its value of by should give beyond certain copies).  ties: columns that
     order rows of equal doc_id and size.
     """
-    odds = uniform(F.col("doc_id"))
-    q = F.when(F.col("p") > 0, odds / (1 - odds) * ((1 - F.col("p")) / F.col("p")))
-    ranked = wanted.withColumn("q", q).withColumn(
-        "bin", F.when(F.col("q").isNotNull(), F.floor(F.col("q") / (1 + F.col("q")) * bins)).cast("int")
-    )
-    sums = ranked.filter("bin is not null").groupBy(by, "bin").agg(F.sum("size").alias("words"))
+    ranked = binned(wanted, bins)
+    sums = ranked.groupBy(by, "bin").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(by).alias("_by"), F.col("bin").alias("_bin"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
     within = Window.partitionBy(by, "bin").orderBy("q", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranked.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("bin") == F.col("_bin")), "left")
+    joined = ranked.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("bin") == F.col("_bin")))
     ahead_of = F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    extra = F.when(F.col("q").isNotNull() & (2 * ahead_of + F.col("size") <= 2 * F.col("left")), F.col("size")).otherwise(0)
-    return joined.withColumn("taken", (F.col("certain") * F.col("size") + extra).cast("bigint")).drop("_by", "_bin", "base", "bin", "q")
+    extra = F.when(2 * ahead_of + F.col("size") <= 2 * F.col("left"), F.col("size")).otherwise(0)
+    taken = lambda more: (F.col("certain") * F.col("size") + more).cast("bigint")
+    some = joined.withColumn("taken", taken(extra)).drop("_by", "_bin", "base", "bin", "q")
+    return some.unionByName(wanted.filter("p = 0").withColumn("taken", taken(F.lit(0))))
 
 
 def mix_sources(

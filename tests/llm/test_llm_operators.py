@@ -535,3 +535,20 @@ def test_embedding_caps_of_repeated_ids(spark):
     got = embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     want = [(307, 2, 307), (307, 2, 307), (308, 2, 307), (309, 1, 309), (309, 1, 309), (310, 1, 309), (311, 1, 309), (306, 1, 306), (307, 1, 306)]
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted(want)
+
+
+def test_mix_windows_are_small(spark):
+    from sablespan.llm import mixing
+
+    # Source a, of weight 3, is capped at twice its size, so that p = 0: its rows aren't ranked.
+    rows = [(i, "one two three", "en", "abc"[i % 3], 1) for i in range(3000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, PLAIN)).collect()
+    assert len(got) == 3000 and sum(r["taken"] for r in got) <= 13500 + 9
+    assert {r["taken"] for r in got if r["doc_id"] % 3 == 0} == {6}
+    # p next to 0, next to 1, and 0: bins stay small, and as many words are taken as are wanted.
+    for p, left, ranked in ((1e-9, 10, 20000), (1 - 1e-9, 19990, 20000), (0.0, 0, 0)):
+        wanted = spark.range(20000).selectExpr("id doc_id", "'s' source", "1L size", "0.0D certain", f"{p!r}D p", f"{left}.0D left")
+        sizes = [r["count"] for r in mixing.binned(wanted).groupBy("source", "bin").count().collect()]
+        assert sum(sizes) == ranked and max(sizes, default=0) < 40
+        taken = mixing.pareto_take(wanted, "source")
+        assert taken.count() == 20000 and taken.agg(F.sum("taken")).first()[0] == left
