@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablespan.llm.common import stored
+from sablespan.llm.common import drop, stored
 
 #: Rounds before giving up; the steps need about the logarithm of the longest chain.
 ROUNDS = 60
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links, "links")
     print_of = None
     for _ in range(ROUNDS):
-        links = stored(_small_star(_large_star(links)), "links")
+        last, links = links, stored(_small_star(_large_star(links)), "links")
+        drop(last)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == print_of or not now[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
