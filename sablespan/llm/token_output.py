@@ -6,7 +6,7 @@ The sums of those numbers are the offsets: a reader takes any document's ids out
 without reading what stands before them, and numpy unpacks a block as one array.
 
 Cases: null text is empty and gives the end id alone; rows that repeat a doc_id stand next to
-each other, ordered by text; a null doc_id comes first; an empty table gives no rows; other
+each other, in order of a hash of their texts; a null doc_id comes first; an empty table gives no rows; other
 columns aren't read.
 """
 
@@ -53,7 +53,8 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1 << 19) -> None:
     """Write the ids of all documents, in ascending doc_id order, as blocks of about block_ids ids."""
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]  # so that rows of one id, or of none, needn't be one task's
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_state(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
@@ -91,7 +92,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
     mapped(ordered, encode, BLOCKS).write.parquet(path)
 
 
-def read_tokens(docs_path: DataFrame) -> DataFrame:
+def block_bases(blocks: DataFrame) -> DataFrame:
+    """shard, block and base, the number of ids before each block.
+
+    Blocks are summed by shard first: one window sees a row a shard, of which there are as many as
+    writing tasks, the other the blocks of a shard.
+    """
+    sums = blocks.select("shard", "block", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = sums.groupBy("shard").agg(F.sum("n").alias("n"))
+    shards = shards.select("shard", before(Window.orderBy("shard")).alias("ahead"))
+    within = sums.select("shard", "block", before(Window.partitionBy("shard").orderBy("block")).alias("within"))
+    return within.join(shards, "shard").select("shard", "block", (F.col("ahead") + F.col("within")).alias("base"))
+
+
+def read_tokens(blocks: DataFrame) -> DataFrame:
     """From blocks, one row a document: doc_id, its place among all ids, its ids' number and checksum."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,18 +129,43 @@ def read_tokens(docs_path: DataFrame) -> DataFrame:
                     names=["doc_id", "shard", "block", "within", "n_tokens", "ids_crc32"],
                 )
 
-    # One row a block is all that this window sees.
-    sums = docs_path.select(
-        "shard", "block", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")
-    )
-    order = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("shard", "block", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    rows = mapped(docs_path, decode, "doc_id bigint, shard int, block int, within bigint, n_tokens bigint, ids_crc32 bigint")
-    return rows.join(bases, ["shard", "block"]).select(
+    rows = mapped(blocks, decode, "doc_id bigint, shard int, block int, within bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.join(block_bases(blocks), ["shard", "block"]).select(
         "doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
+def index(blocks: DataFrame) -> DataFrame:
+    """doc_id, shard, block, at and n of every document: where in which block its ids are. No ids are read."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.to_pylist():
+                sizes = np.asarray(b["lengths"], np.int64)
+                where = [pa.array(np.full(len(sizes), b[k], np.int32)) for k in ("shard", "block")]
+                arrays = [pa.array(b["doc_ids"], pa.int64()), *where, pa.array(np.cumsum(sizes) - sizes), pa.array(sizes)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "shard", "block", "at", "n"])
+
+    return mapped(blocks.select("shard", "block", "doc_ids", "lengths"), places, "doc_id bigint, shard int, block int, at bigint, n bigint")
+
+
+def read_documents(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and ids of the documents whose doc_id is in wanted: random access. Of a block only the wanted
+    documents' own bytes are unpacked."""
+    asked = index(blocks).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = asked.groupBy("shard", "block").agg(F.collect_list(F.struct("doc_id", "at", "n")).alias("asked"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.to_pylist():
+                ids = [unpack(b["payload"], b["bits"], a["at"], a["n"]).tolist() for a in b["asked"]]
+                arrays = [pa.array([a["doc_id"] for a in b["asked"]], pa.int64()), pa.array(ids, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids"])
+
+    found = blocks.select("shard", "block", "bits", "payload").join(asked, ["shard", "block"])
+    return mapped(found.drop("shard", "block"), cut, "doc_id bigint, ids array<bigint>")
+
+
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write all documents' ids to the shared folder and return what reading them back gives."""
     spark = docs.sparkSession
