@@ -6,8 +6,9 @@ hash, and each group is packed in one task from its pieces' lengths alone: a seq
 the longest piece that fits until none does; then, if two unpacked pieces fill the gap that
 its shortest piece would leave better than that piece does, they take its place.
 
-Cases: null text is empty and has the end id alone; repeated rows are packed once each; an
-empty table gives no rows; other columns aren't read.
+Cases: null text is empty and has the end id alone; repeated rows, or rows of one or no doc_id, are packed once
+each; a text of any length is encoded whole in its task; an empty table gives no rows; other columns aren't
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from sablespan.llm.common import blocks_for, mapped, stored, text_batches, worke
 from sablespan.llm.tokens import Encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 #: Pieces in a group. The loss is about a sequence a group, one in several thousand.
 GROUP = 16_384
@@ -122,11 +124,12 @@ def best_two_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack_pieces(cut_up: DataFrame, most: int = 2048, group: int = GROUP) -> DataFrame:
-    """Pieces with the sequence each goes to and its offset there. cut_up: a stored table of pieces."""
+    """Pieces with the sequence each goes to and its offset there. cut_up: a stored table of pieces, with a
+    number of its own, row, for each, so that the pieces of repeated rows fall into different groups."""
     part = cut_up.filter(F.col("length") < most)
     groups = blocks_for(part.count(), group)
     full = cut_up.filter(F.col("length") == most).select(
-        "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
+        *PIECE, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
     )
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +139,8 @@ def pack_pieces(cut_up: DataFrame, most: int = 2048, group: int = GROUP) -> Data
         return frame.assign(offset=offset).drop(columns="grp")
 
     packed = (
-        part.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+        part.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
+        .drop("row")
         .groupBy("grp")
         .applyInPandas(one, f"{PIECES}, sequence_id bigint, offset bigint")
     )
@@ -144,4 +148,5 @@ def pack_pieces(cut_up: DataFrame, most: int = 2048, group: int = GROUP) -> Data
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = 2048) -> DataFrame:
-    return pack_pieces(stored(pieces(docs, tokenizer, end_id, most), "pieces"), most)
+    cut_up = pieces(docs, tokenizer, end_id, most).withColumn("row", F.monotonically_increasing_id())
+    return pack_pieces(stored(cut_up, "pieces"), most)
