@@ -11,8 +11,9 @@ on at most SAMPLE rated documents, those of least hashed id; the rest of the wor
 all texts in tasks.
 
 Cases: null text is empty; unrated or partly rated documents aren't learned from; repeated rows
-get a row each; without any rating every document stays; an empty table gives no rows; other
-columns aren't read.
+get a row and the same score each; features that share a slot count once, in fitting and in scoring; a text of any
+length is read whole, in memory of a few times its size; without any rating every document stays; an empty table
+gives no rows; other columns of documents are kept by score_quality() and not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -91,10 +92,31 @@ def rated_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary()), batch.column("grade")], names=["doc_id", "slots", "grade"])
 
     got = mapped(texts.select("doc_id", "text", "grade"), work, "doc_id bigint, slots binary, grade int")
-    rows = got.limit(2 * sample).toPandas().sort_values(["doc_id", "grade", "slots"])
+    # Ids that repeat may give more rows than were rated: the first by id are taken, so that reruns agree.
+    rows = got.orderBy("doc_id", "grade", "slots").limit(2 * sample).toPandas().sort_values(["doc_id", "grade", "slots"])
     return [np.frombuffer(r, np.int32) for r in rows["slots"]], rows["grade"].to_numpy(np.int64)
 
 
+def loss_and_gradient(free: np.ndarray, row: np.ndarray, index: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean log-likelihood of the grades and its gradient. free: the first threshold, the logarithms of the steps
+    to the later ones, the weights; row and index: the documents' features."""
+    n, k = len(grades), GRADES - 1
+    at = np.arange(n)
+    thresholds = np.cumsum(np.r_[free[0], np.exp(free[1:k])])
+    score = np.bincount(row, weights=free[k:][index], minlength=n)
+    p = np.c_[np.ones(n), 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds, -35, 35))), np.zeros(n)]
+    mass = np.maximum(p[at, grades] - p[at, grades + 1], 1e-12)
+    slope = p * (1 - p)
+    up, down = slope[at, grades] / mass, slope[at, grades + 1] / mass
+    by_threshold = np.array([down[grades == j - 1].sum() - up[grades == j].sum() for j in range(1, GRADES)])
+    gradient = np.r_[
+        by_threshold.sum(),
+        [by_threshold[j:].sum() * np.exp(free[j]) for j in range(1, k)],
+        np.bincount(index, weights=(up - down)[row], minlength=len(free) - k),
+    ]
+    return float(np.log(mass).mean()), gradient / n
+
+
 class CumulativeLink:
     """Shared weights and ordered thresholds."""
 
@@ -117,20 +139,9 @@ class CumulativeLink:
         start = np.log(share.sum() / np.cumsum(share[::-1])[::-1][1:] - 1)  # gives the shares without any feature
         free = np.r_[start[0], np.log(np.maximum(np.diff(start), 1e-2)), np.zeros(len(used))]
         m, v = np.zeros_like(free), np.zeros_like(free)
-        k, at = GRADES - 1, np.arange(n)
+        k = GRADES - 1
         for step in range(1, rounds + 1):
-            thresholds = np.cumsum(np.r_[free[0], np.exp(free[1:k])])
-            score = np.bincount(row, weights=free[k:][index], minlength=n)
-            p = np.c_[np.ones(n), 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds, -35, 35))), np.zeros(n)]
-            mass = np.maximum(p[at, grades] - p[at, grades + 1], 1e-12)
-            slope = p * (1 - p)
-            up, down = slope[at, grades] / mass, slope[at, grades + 1] / mass
-            by_threshold = np.array([down[grades == j - 1].sum() - up[grades == j].sum() for j in range(1, GRADES)])
-            gradient = np.r_[
-                by_threshold.sum(),
-                [by_threshold[j:].sum() * np.exp(free[j]) for j in range(1, k)],
-                np.bincount(index, weights=(up - down)[row], minlength=len(used)),
-            ] / n
+            _, gradient = loss_and_gradient(free, row, index, grades)
             m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
             pace = 0.1 * min(1.0, 3 * (1 - step / rounds) + 0.02)
             scale = np.sqrt(v / (1 - 0.99**step)) + 1e-6
@@ -157,12 +168,13 @@ def score_quality(docs: DataFrame, model: CumulativeLink | None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights.tolist()
-        looked_up = Cache(lambda f: weights[slot(f)], 400_000)
+        looked_up = Cache(slot, 400_000)
         for batch in text_batches(batches):
             scores = []
             for text in batch.column("text").to_pylist():
                 words, looks = features(text)
-                scores.append(_distinct_sum(words, looks, looked_up))
+                own = {*map(looked_up.__getitem__, words), *map(looked_up.__getitem__, looks)}  # a slot counts once, as in fitting
+                scores.append(float(sum(map(weights.__getitem__, sorted(own)))))
             tails = model.tails(np.array(scores, np.float64))
             columns = [*batch.columns, pa.array(tails.sum(axis=1)), *(pa.array(t) for t in tails.T), pa.array(tails[:, -1] >= 0.5)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "expected_grade", "p_1", "p_2", "keep"])
@@ -171,10 +183,6 @@ def score_quality(docs: DataFrame, model: CumulativeLink | None) -> DataFrame:
     return mapped(docs, work, f"{kinds}, expected_grade double, p_1 double, p_2 double, keep boolean")
 
 
-def _distinct_sum(words: set[str], looks: list[str], weight: Cache) -> float:
-    return float(sum(map(weight.__getitem__, words)) + sum(map(weight.__getitem__, looks)))
-
-
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, expected_grade, p_1, p_2 and keep of every document."""
     model = fit_quality(docs, labels, sample)
