@@ -1,6 +1,6 @@
 """Language identification by error-correcting output codes (operator 7).
 
-Each language has a codeword of BITS bits, chosen for distance; for each bit a logistic
+Each language has a codeword of 15 bits, or of more where there are more than eight languages, chosen for distance; for each bit a logistic
 classifier over hashed byte trigrams says which languages' side a text is on.  A text's
 language is the codeword of least loss, summed over bits by how well each bit was learned; a
 second codeword nearly as close makes it ambiguous.
@@ -10,8 +10,9 @@ equal share of each language, chosen by hashed id.  Documents that are held out,
 crc32 of whose id leaves 2 modulo 4, aren't learned from.
 
 Cases: null text, or text without a letter, is `und` with score 0; documents of null language
-aren't learned from; without any learning document all are `und`; repeated rows get a row each; an
-empty table gives no rows; other columns aren't read.
+aren't learned from; without any learning document all are `und`; repeated rows get a row each, with the same
+prediction; of equally close codewords the first language by name wins; a text of any length is read whole, in
+pieces; an empty table gives no rows; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from sablespan.llm.common import bytes_of, has_letter, mapped, text_batches
 
 SAMPLE, SLOTS, BITS, ROUNDS = 8_000, 2048, 15, 60
+#: Bytes of text looked at together.
+PART = 1 << 20
 #: Texts whose best codeword has less than this lead in probability are ambiguous.
 LEAD = 0.2
 
@@ -45,27 +48,36 @@ def _letters() -> np.ndarray:
 def trigram_shares(data: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """A row a document: the square root of the share of its trigrams in each slot."""
     n = len(bounds) - 1
-    if len(data) < 3:
-        return np.zeros((n, slots), np.float32)
-    b = _letters()[data]
-    code = ((b[:-2] * np.uint32(65_599) + b[1:-1]) * np.uint32(65_599) + b[2:]) * np.uint32(2_654_435_761)
-    code >>= np.uint32(32 - (slots - 1).bit_length())
-    row = np.repeat(np.arange(n), np.diff(bounds))[:-2]
-    inside = np.repeat(bounds[1:], np.diff(bounds))[:-2] >= np.arange(len(code)) + 3
-    counts = np.bincount((row * slots + code)[inside], minlength=n * slots).reshape(n, slots)
+    letters, shift, ends = _letters(), np.uint32(32 - (slots - 1).bit_length()), bounds[1:]
+    counts = np.zeros(n * slots, np.int64)
+    for at in range(0, len(data) - 2, PART):  # so that memory doesn't grow with the longest text
+        b = letters[data[at : at + PART + 2]]
+        code = ((b[:-2] * np.uint32(65_599) + b[1:-1]) * np.uint32(65_599) + b[2:]) * np.uint32(2_654_435_761)
+        start = np.arange(at, at + len(code))
+        row = np.searchsorted(ends, start, side="right")
+        inside = start + 3 <= ends[row]
+        counts += np.bincount((row * slots + (code >> shift))[inside], minlength=n * slots)
+    counts = counts.reshape(n, slots)
     return np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def codewords(n: int, bits: int = BITS) -> np.ndarray:
+def bits_for(n: int) -> int:
+    """The length of the codewords of n languages: five bits for each doubling beyond eight of them."""
+    return BITS + 5 * max(0, (max(n, 1) - 1).bit_length() - 3)
+
+
+def codewords(n: int) -> np.ndarray:
     """n rows of +1 and -1: of many random codes the one whose nearest rows are farthest apart."""
-    rng = np.random.default_rng(7)
-    best, score = None, -1
-    for _ in range(400):
-        code = rng.integers(0, 2, (n, bits)) * 2 - 1
+    rng, bits = np.random.default_rng(7), bits_for(n)
+    best, score = None, 0
+    for _ in range(max(10, 400 * 16 // max(n, 16))):
+        code = (rng.integers(0, 2, (n, bits)) * 2 - 1).astype(np.float32)
         code[:, np.abs(code.sum(axis=0)) == n] *= np.where(np.arange(n) % 2, 1, -1)[:, None]  # no bit is the same for all
         apart = bits if n < 2 else int((((bits - code @ code.T) // 2) + bits * np.eye(n, dtype=int)).min())
         if apart > score:
-            best, score = code, apart
+            best, score = code.astype(int), apart
+    if best is None:
+        raise ValueError(f"no {n} different codewords of {bits} bits found")
     return best
 
 
@@ -117,7 +129,8 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> OutputCodes | None:
             )
 
     got = mapped(drawn.select("doc_id", "text", F.element_at(number, F.col("lang")).alias("y")), work, "doc_id bigint, y int, x binary")
-    rows = sorted(got.limit(2 * sample + 1000).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["x"]))
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * sample + 1000)  # a bound that reruns keep to
+    rows = sorted(got.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["x"]))
     if not rows:
         return None
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
