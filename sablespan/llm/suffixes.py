@@ -6,21 +6,30 @@ the same distance from their starts.  Only the suffixes at anchors are sorted, o
 or so; such a suffix stands for the few dozen windows of its anchor.
 
 1. Each task hashes the first KMER bytes of its anchors' suffixes and keeps each hash once; buckets
-   of hashes tell which occur elsewhere too. Suffixes of unique prefixes are never exchanged.
-2. Each task sorts its other suffixes and keeps the first of equal ones; the sorted runs go to
-   buckets by prefix, front-coded: the common prefix with the suffix before, then the rest.
+   of hashes tell which occur elsewhere too. Suffixes of unique prefixes are never exchanged. A
+   hash may let a suffix through in vain, but keeps none back.
+2. Each task sorts its other suffixes and keeps the first of equal ones; the sorted runs are cut at
+   splitters, so that buckets are ranges of the suffix array, and go there front-coded: the
+   common prefix with the suffix before, then the rest.
 3. A bucket merges its runs with a loser tree over common-prefix lengths: a comparison starts
-   behind the prefix that both are known to share with the last winner. Neighbours that share
-   KMER bytes are groups; in a group the windows at each distance from the anchor are compared
-   over both sides, and all but the earliest of equals are repeated.
+   behind the prefix that both are known to share with the last winner. The merged common prefixes
+   tell which windows agree to the right of their anchors; those of the sorted bytes to the left,
+   which agree there. Windows that agree in both, at one distance from the anchor, are equal, byte
+   by byte; all but the earliest are repeated.
 4. A document's repeated windows cover what is removed.
 
-A prefix that occurs very often (HOT) doesn't meet in one task: its windows, once each in a
-task, go to buckets of their own hash.
+A prefix that occurs over HOT times would be too large a group for one bucket, as its suffixes
+can't be parted without parting equal windows. Its windows are sorted and merged as strings of
+their own instead, each content once a task, and fall into buckets by all of their bytes.
 
-Cases: null text is empty; texts below WINDOW bytes lose nothing; repeated rows of one doc_id and
-text are one document, with the same result each; a null doc_id sorts first; an empty table gives
-no rows; other columns aren't read.
+Splitters come from a bounded sample of documents, those of least hash, and decide no results:
+only how evenly ranges are filled. Ranges of more than a bucket's share are parted by hash.
+
+Cases: null text is empty; texts below WINDOW bytes lose nothing; rows are told apart by doc_id
+and text: rows that repeat both are one document, with the same result each; rows that share a doc_id, or have
+none, but differ in text are documents of their own, the one of lesser text hash being earlier; a null doc_id sorts
+first; a long text is hashed in parts, but its bytes are held at once; an empty table gives no rows;
+other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,11 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablespan.llm.common import bytes_of, text_batches, worker_state
+from sablespan.llm.common import blocks_for, bytes_of, text_batches, worker_state
 
-WINDOW, KMER, HOT = 100, 32, 10_000
+WINDOW, KMER, HOT = 100, 32, 100_000
 #: Anchors or suffixes that make a run, and bytes of text hashed at a time.
 RUN, PART = 1_000_000, 2_000_000
+#: Bytes of text for each bucket, the most ranges of the suffix array, and documents that splitters come from.
+SHARE, RANGES, SAMPLE = 8_000_000, 4096, 1000
 NULL_ID = -(1 << 63)
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -135,7 +146,7 @@ def prefix_runs(buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in text_batches(batches, limit=PART - 1):
-            ids = batch.column("key").to_numpy(zero_copy_only=False)
+            ids = batch.column("rid").to_numpy(zero_copy_only=False)
             data, bounds = bytes_of(batch.column("text"))
             for place, h, lo, hi in _pieces(data, bounds, _hasher()):
                 doc = np.searchsorted(bounds, place, side="right") - 1
@@ -158,32 +169,23 @@ def prefix_runs(buckets: int):
         count = np.diff(np.r_[np.flatnonzero(first), len(first)])
         many = np.repeat(count, count) > 1
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = {"bucket": [], "hash": [], "count": [], "doc": [], "ref": [], "base": [], "known_doc": [], "known_ref": [], "known_hash": []}
+        rows = {"bucket": [], "hash": [], "count": [], "doc": [], "ref": [], "known_doc": [], "known_ref": [], "known_hash": []}
         n_of = np.repeat(count, count)
         for b in np.flatnonzero(np.diff(cuts)):
             own = slice(cuts[b], cuts[b + 1])
             f, m = first[own], many[own] & ~first[own]
-            base = int(doc[own].min())
-            narrow = np.uint32 if int(doc[own].max()) - base < 1 << 32 else np.uint64
             rows["bucket"].append(b)
-            rows["base"].append(base)
             rows["hash"].append(short[own][f].tobytes())
             rows["count"].append(np.minimum(n_of[own][f], 65535).astype(np.uint16).tobytes())
-            rows["doc"].append((doc[own] - base)[f].astype(narrow).tobytes())
+            rows["doc"].append(doc[own][f].tobytes())
             rows["ref"].append(ref[own][f].tobytes())
-            rows["known_doc"].append((doc[own] - base)[m].astype(narrow).tobytes())
+            rows["known_doc"].append(doc[own][m].tobytes())
             rows["known_ref"].append(ref[own][m].tobytes())
             rows["known_hash"].append(short[own][m].tobytes())
-        kinds = {"bucket": pa.int32(), "base": pa.int64()}
+        kinds = {"bucket": pa.int32()}
         return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()})
 
-    return work, "bucket int, hash binary, count binary, doc binary, ref binary, base bigint, known_doc binary, known_ref binary, known_hash binary"
-
-
-def _docs(blob: bytes, n: int, base: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.int64)
-    return np.frombuffer(blob, np.uint32 if len(blob) == 4 * n else np.uint64).astype(np.int64) + base
+    return work, "bucket int, hash binary, count binary, doc binary, ref binary, known_doc binary, known_ref binary, known_hash binary"
 
 
 def repeated_prefixes(hot: int):
@@ -192,7 +194,7 @@ def repeated_prefixes(hot: int):
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         hashes = [np.frombuffer(b, np.uint32) for b in frame["hash"]]
         counts = np.concatenate([np.frombuffer(b, np.uint16) for b in frame["count"]]).astype(np.int64)
-        docs = np.concatenate([_docs(d, len(h), b) for d, h, b in zip(frame["doc"], hashes, frame["base"], strict=True)])
+        docs = np.concatenate([np.frombuffer(d, np.int64) for d in frame["doc"]])
         refs = np.concatenate([np.frombuffer(b, np.int64) for b in frame["ref"]])
         known = [np.frombuffer(b, np.uint32) for b in frame["known_hash"]]
         names, number = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -201,23 +203,15 @@ def repeated_prefixes(hot: int):
         mark = np.int64(1 << 62)
         refs = refs | np.where(total[number] > hot, mark, 0)
         out = [(docs[keep], refs[keep])]
-        for h, d, r, b in zip(known, frame["known_doc"], frame["known_ref"], frame["base"], strict=True):
+        for h, d, r in zip(known, frame["known_doc"], frame["known_ref"], strict=True):
             many = total[np.searchsorted(names, h)] > hot
-            out.append((_docs(d, len(h), b), np.frombuffer(r, np.int64) | np.where(many, mark, 0)))
+            out.append((np.frombuffer(d, np.int64), np.frombuffer(r, np.int64) | np.where(many, mark, 0)))
         doc, ref = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pd.DataFrame({"key": doc, "ref": ref})
+        return pd.DataFrame({"rid": doc, "ref": ref})
 
     return work
 
 
-def window_hashes(left: np.ndarray, right: np.ndarray, row: np.ndarray, o: np.ndarray, hasher: Hasher, window: int) -> np.ndarray:
-    """The hash of the window that starts o bytes before the anchor of each row. left is read backwards."""
-    sums_r = np.cumsum(hasher.value[right] * hasher.up[: right.shape[1]], axis=1, dtype=np.uint64)
-    sums_l = np.zeros((len(left), left.shape[1] + 1), np.uint64)
-    np.cumsum(hasher.value[left] * hasher.down[1 : left.shape[1] + 1], axis=1, dtype=np.uint64, out=sums_l[:, 1:])
-    return mixed(sums_l[row, o] + sums_r[row, window - 1 - o])
-
-
 def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """row and value for each value from lo to hi of each row."""
     n = hi - lo + 1
@@ -225,40 +219,58 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
 
 
-def later_ones(keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Which rows of equal keys have an earlier one, by document and place."""
-    order = np.lexsort((pos, doc, *keys))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    out = np.zeros(len(order), bool)
-    out[order] = (doc[order] != doc[head]) | (pos[order] != pos[head])
+def _words(rows: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as columns of eight bytes each, in an order that sorts as the bytes do."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    padded = padded.view(">u8").astype(np.uint64)
+    return [padded[:, k] for k in range(padded.shape[1])]
+
+
+def _common(rows: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row shares with the one before it."""
+    out = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        differ = rows[1:] != rows[:-1]
+        out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
     return out
 
 
-def runs_of_starts(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, first and last of each row of successive starts."""
-    if not len(doc):
-        return doc, start, start
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]
-    first = np.flatnonzero(new)
-    return doc[first], start[first], start[np.r_[first[1:], len(doc)] - 1]
+def sampled_heads(kmer: int = KMER):
+    """The first kmer bytes at one in eight anchors, with a hash to order them by."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, limit=PART - 1):
+            data, bounds = bytes_of(batch.column("text"))
+            for place, h, _, _ in _pieces(data, bounds, _hasher()):
+                some = h >> np.uint64(61) == 0
+                heads = [data[p : p + kmer].tobytes() for p in place[some].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(heads, pa.binary())], names=["hash", "head"])
+
+    return work, "hash bigint, head binary"
 
 
-def suffix_runs(buckets: int, window: int = WINDOW, kmer: int = KMER):
+def splitters(keyed: DataFrame, documents: int, ranges: int) -> list[bytes]:
+    """At most ranges - 1 prefixes between which equally many of the sample's anchors lie."""
+    if ranges < 2:
+        return []
+    some = keyed.filter(F.pmod("rid", F.lit(max(1, documents // SAMPLE))) == 0)
+    work, schema = sampled_heads()
+    rows = some.select("text").mapInArrow(work, schema).orderBy("hash", "head").limit(16 * RANGES).collect()  # 2 MB at most
+    heads = sorted(bytes(r["head"]) for r in rows)
+    return sorted({heads[len(heads) * k // ranges] for k in range(1, ranges)}) if heads else []
+
+
+def suffix_runs(cuts_at: list[bytes], parts: int, window: int = WINDOW, kmer: int = KMER):
     """Step 2, in a task: for each bucket the sorted, front-coded run of its suffixes."""
     reach = window - kmer  # the greatest distance from an anchor to the start of its window
+    marks = np.array(cuts_at, f"S{kmer}")
+    buckets = (len(marks) + 1) * parts
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
-        for batch in text_batches(batches, limit=PART - 1):
-            part = gather(batch)
-            if part is not None:
+        for batch in text_batches(batches, limit=PART // 4):
+            for part in gather(batch):
                 held.append(part)
                 total += len(part[0])
             if total >= RUN // 4:
@@ -273,114 +285,93 @@ def suffix_runs(buckets: int, window: int = WINDOW, kmer: int = KMER):
         sizes = np.diff(refs.offsets.to_numpy())
         ref = refs.flatten().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        hot = (ref >> 62) & 1
+        hot = (ref >> 62) & 1 == 1
         ref = ref & ~np.int64(1 << 62)
         pos, lo, hi = ref >> 16, (ref >> 8) & 255, ref & 255
-        # Rows that repeat a doc_id with another text may bring places that lie beyond this one.
-        fits = pos - lo + window <= (bounds[1:] - bounds[:-1])[row]
-        if not fits.any():
-            return None
-        row, pos, lo, hi, hot = row[fits], pos[fits], lo[fits], hi[fits], hot[fits]
-        doc = batch.column("key").to_numpy(zero_copy_only=False)[row]
+        # Rows of equal hash but different text bring each other's places; windows that lie in the text do no harm.
+        fits = (pos - lo + window <= (bounds[1:] - bounds[:-1])[row]) & (pos >= hi)
+        doc, rid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "rid"))
         padded = np.zeros(len(data) + window + reach, np.uint8)
         padded[reach : reach + len(data)] = data
-        at = bounds[row] + pos + reach
-        right = padded[at[:, None] + np.arange(window)]
-        left = padded[at[:, None] - 1 - np.arange(reach)]
-        right[np.arange(window) >= (window - lo)[:, None]] = 0
-        left[np.arange(reach) >= hi[:, None]] = 0
-        return doc, pos, lo, hi, hot, right, left
+        for hot_ones in (False, True):
+            for at in _slices(np.flatnonzero(fits & (hot == hot_ones)), 5000 if hot_ones else 100_000):
+                r, p, low, high = row[at], pos[at], lo[at], hi[at]
+                if hot_ones:  # each window is a string of its own, without anything to its left
+                    one, o = spread(low, high)
+                    r, p = r[one], p[one] - o
+                    low = high = np.zeros(len(r), np.int64)
+                place = bounds[r] + p + reach
+                right = padded[place[:, None] + np.arange(window)]
+                left = padded[place[:, None] - 1 - np.arange(reach)]
+                right[np.arange(window) >= (window - low)[:, None]] = 0
+                left[np.arange(reach) >= high[:, None]] = 0
+                yield doc[r], rid[r], p, low, high, np.full(len(r), hot_ones), right, left
+
+    def bucket_of(right: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """The range of a suffix, and its part of the range by a hash of its prefix; hot windows go by all their bytes."""
+        columns = _words(right)
+        mix = columns[0]
+        for k in range(1, kmer // 8):
+            mix = mixed(mix) + columns[k]
+        whole = mix
+        for c in columns[kmer // 8 :]:
+            whole = mixed(whole) + c
+        heads = np.ascontiguousarray(right[:, :kmer]).view(f"S{kmer}").ravel()
+        ranged = np.searchsorted(marks, heads, side="right") * parts + (mixed(mix) % np.uint64(parts)).astype(np.int64)
+        return np.where(hot, (mixed(whole) % np.uint64(buckets)).astype(np.int64), ranged)
 
     def flush(held) -> pa.RecordBatch:
-        doc, pos, lo, hi, hot, right, left = (np.concatenate(c) for c in zip(*held, strict=True))
-        known_doc, known_first, known_last = [], [], []
-        rows = {k: [] for k in ("bucket", "base", "doc", "pos", "lcp", "rest", "size", "left", "reach", "wide", "wide_doc", "wide_pos")}
-        kinds = {"bucket": pa.int32(), "base": pa.int64()}
-
-        # Hot prefixes: windows instead of suffixes, each content once.
-        h = hot == 1
-        wide = {}
-        if h.any():
-            keys, wd, ws = [], [], []
-            at = np.flatnonzero(h)
-            for some in np.array_split(at, -(-len(at) // 20_000)):
-                row, o = spread(lo[some], hi[some])
-                two = [window_hashes(left[some], right[some], row, o, worker_state(f"hasher {s}", lambda s=s: Hasher(s)), window) for s in (1, 2)]
-                keys.append(two)
-                wd.append(doc[some][row])
-                ws.append(pos[some][row] - o)
-            keys = [np.concatenate(k) for k in zip(*keys, strict=True)]
-            wd, ws = np.concatenate(wd), np.concatenate(ws)
-            late = later_ones(keys, wd, ws)
-            known_doc.append(wd[late])
-            known_first.append(ws[late])
-            known_last.append(ws[late])
-            keys, wd, ws = [k[~late] for k in keys], wd[~late], ws[~late]
-            to = (keys[0] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                own = order[cuts[b] : cuts[b + 1]]
-                wide[b] = (np.stack([k[own] for k in keys]).tobytes(), wd[own].tobytes(), ws[own].tobytes())
-
-        c = ~h
-        doc, pos, lo, hi, right, left = doc[c], pos[c], lo[c], hi[c], right[c], left[c]
-        words = np.zeros((len(doc), -(-window // 8) * 8 + -(-reach // 8) * 8), np.uint8)
-        words[:, :window] = right
-        words[:, -(-window // 8) * 8 :][:, :reach] = left
-        words = words.view(">u8")
-        head = words[:, : kmer // 8].astype(np.uint64)
-        bucket = head[:, 0]
-        for k in range(1, kmer // 8):
-            bucket = mixed(bucket) + head[:, k]
-        bucket = (mixed(bucket) % np.uint64(buckets)).astype(np.int64)
-        columns = [words[:, k] for k in range(words.shape[1])]
-        order = np.lexsort((pos, doc, hi, lo, *columns[::-1], bucket))
-        doc, pos, lo, hi, right, left, bucket, words = (x[order] for x in (doc, pos, lo, hi, right, left, bucket, words))
-        if len(doc):
-            same = np.r_[False, (words[1:] == words[:-1]).all(axis=1) & (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1])]
-            head_at = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
-            late = same & ((doc != doc[head_at]) | (pos != pos[head_at]))
-            known_doc.append(doc[late])
-            known_first.append((pos - hi)[late])
-            known_last.append((pos - lo)[late])
-            doc, pos, lo, hi, right, left, bucket = (x[~same] for x in (doc, pos, lo, hi, right, left, bucket))
+        doc, rid, pos, lo, hi, hot, right, left = (np.concatenate(c) for c in zip(*held, strict=True))
+        bucket = bucket_of(right, hot)
+        columns = [*_words(right), *_words(left)]
+        order = np.lexsort((pos, rid, doc, hi, lo, *columns[::-1], bucket))
+        doc, rid, pos, lo, hi, right, left, bucket = (x[order] for x in (doc, rid, pos, lo, hi, right, left, bucket))
+        # Of equal suffixes with equal bytes before them the first stays; the others' windows are repeated.
+        same = np.r_[False, (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1]) & (bucket[1:] == bucket[:-1])]
+        for c in columns:
+            c = c[order]
+            same[1:] &= c[1:] == c[:-1]
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
+        late = same & ((doc != doc[head]) | (rid != rid[head]) | (pos != pos[head]))
+        known = {"known_rid": rid[late], "known_doc": doc[late], "known_first": (pos - hi)[late], "known_last": (pos - lo)[late]}
+        doc, rid, pos, lo, hi, right, left, bucket = (x[~same] for x in (doc, rid, pos, lo, hi, right, left, bucket))
         size = window - lo
-        lcp = np.zeros(len(doc), np.int64)
-        if len(doc) > 1:
-            differ = right[1:] != right[:-1]
-            lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), window)
-            lcp[1:] = np.minimum(lcp[1:], np.minimum(size[1:], size[:-1]))
+        lcp = np.minimum(_common(right), np.minimum(size, np.r_[0, size[:-1]]))
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows = {k: [] for k in ("bucket", *RUN_PARTS)}
         column = np.arange(window)
-        for b in sorted({*np.flatnonzero(np.diff(cuts)).tolist(), *wide}):
+        for b in np.flatnonzero(np.diff(cuts)):
             own = slice(cuts[b], cuts[b + 1])
             n_lcp, n_size = lcp[own].copy(), size[own]
             n_lcp[:1] = 0
-            base = int(doc[own].min()) if len(n_lcp) else 0
             rows["bucket"].append(b)
-            rows["base"].append(base)
-            rows["doc"].append((doc[own] - base).tobytes())
-            rows["pos"].append(pos[own].tobytes())
+            for name, values in (("doc", doc), ("rid", rid), ("pos", pos)):
+                rows[name].append(values[own].tobytes())
             rows["lcp"].append(n_lcp.astype(np.uint8).tobytes())
             rows["size"].append(n_size.astype(np.uint8).tobytes())
             rows["rest"].append(right[own][(column >= n_lcp[:, None]) & (column < n_size[:, None])].tobytes())
             rows["reach"].append(hi[own].astype(np.uint8).tobytes())
             rows["left"].append(left[own][np.arange(reach) < hi[own][:, None]].tobytes())
-            for k, v in zip(("wide", "wide_doc", "wide_pos"), wide.get(b, (b"", b"", b"")), strict=True):
-                rows[k].append(v)
-        n = len(rows["bucket"])
         # What is known to be repeated already travels with the runs, spread over buckets.
-        kd, kf, kl = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (known_doc, known_first, known_last))
-        share = np.arange(len(kd)) % max(n, 1)
-        for name, values in (("known_doc", kd), ("known_first", kf), ("known_last", kl)):
-            rows[name] = [values[share == k].tobytes() for k in range(n)]
-        return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()})
+        n = len(rows["bucket"])
+        share = np.arange(int(late.sum())) % n
+        by_row = np.argsort(share, kind="stable")
+        ends = np.searchsorted(share[by_row], np.arange(n + 1))
+        for name, values in known.items():
+            values = values[by_row]
+            rows[name] = [values[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()})
 
-    schema = "bucket int, base bigint, " + ", ".join(
-        f"{k} binary" for k in ("doc", "pos", "lcp", "rest", "size", "left", "reach", "wide", "wide_doc", "wide_pos", "known_doc", "known_first", "known_last")
-    )
-    return work, schema
+    return work, "bucket int, " + ", ".join(f"{k} binary" for k in RUN_PARTS)
+
+
+#: A run of a bucket: its suffixes' places, their front-coded bytes, the bytes before them, and windows known to be repeated.
+RUN_PARTS = ("doc", "rid", "pos", "lcp", "size", "rest", "reach", "left", "known_rid", "known_doc", "known_first", "known_last")
+
+
+def _slices(rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    for at in range(0, len(rows), most):
+        yield rows[at : at + most]
 
 
 def decode_run(lcp: bytes, size: bytes, rest: bytes) -> list[bytes]:
@@ -456,62 +447,63 @@ def merge_runs(runs: list[list[bytes]], lcps: list[bytes]) -> tuple[list[tuple[i
     return order, common
 
 
+def late_windows(doc, rid, pos, lo, hi, lcp: np.ndarray, left: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, first and last distance from the anchor of the windows that an earlier equal one has.
+
+    Rows are suffixes in sorted order, lcp what each shares with the one before, left the bytes before
+    them, read backwards. The windows o bytes before two anchors are equal if the suffixes share window - o
+    bytes, which no lesser lcp lies between, and the bytes to the left share o, likewise.
+    """
+    n, reach = len(doc), left.shape[1]
+    by_left = np.lexsort(_words(left)[::-1])
+    left_lcp = _common(left[by_left])
+    right_class, left_class = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    rank = np.lexsort((pos, rid, doc))
+    late = np.zeros((n, reach + 1), bool)
+    for o in range(reach + 1):
+        rows = rank[(lo[rank] <= o) & (o <= hi[rank])]  # the earliest first
+        if len(rows) < 2:
+            continue
+        np.cumsum(lcp < window - o, out=right_class)
+        left_class[by_left] = np.cumsum(left_lcp < o)
+        key = right_class[rows] * (n + 1) + left_class[rows]
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        head = rows[np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(rows)), 0))]
+        late[rows, o] = (doc[rows] != doc[head]) | (rid[rows] != rid[head]) | (pos[rows] != pos[head])
+    edge = np.diff(np.pad(late, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    _, after = np.nonzero(edge == -1)
+    return row, first, after - 1
+
+
 def repeated_windows(window: int = WINDOW, kmer: int = KMER):
-    """Steps 3 and 4, in a bucket: the starts of repeated windows, as document, first and last."""
+    """Step 3, in a bucket: the starts of repeated windows, as document, first and last."""
     reach = window - kmer
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        numbers = lambda name: np.concatenate([np.frombuffer(b, np.int64) for b in frame[name]])
-        docs, firsts, lasts = [numbers("known_doc")], [numbers("known_first")], [numbers("known_last")]
-        keys = [np.frombuffer(b, np.uint64).reshape(2, -1) for b in frame["wide"] if len(b)]
-        if keys:
-            keys = np.concatenate(keys, axis=1)
-            wd, ws = numbers("wide_doc"), numbers("wide_pos")
-            late = later_ones([keys[0], keys[1]], wd, ws)
-            docs.append(wd[late])
-            firsts.append(ws[late])
-            lasts.append(ws[late])
-
+        numbers = lambda name, kind=np.int64: np.concatenate([np.frombuffer(b, kind) for b in frame[name]])
+        out = {"rid": [numbers("known_rid")], "doc": [numbers("known_doc")], "first": [numbers("known_first")], "last": [numbers("known_last")]}
         runs = [decode_run(a, b, c) for a, b, c in zip(frame["lcp"], frame["size"], frame["rest"], strict=True)]
         order, common = merge_runs(runs, list(frame["lcp"]))
-        if order:
-            common = np.array(common)
-            joined = np.r_[False, common[1:] >= kmer]  # shares its prefix with the one before
-            grouped = joined | np.r_[joined[1:], False]
-            group = np.cumsum(~joined)
+        common = np.array(common, np.int64)
+        joined = np.r_[False, common[1:] >= kmer][: len(common)]  # shares its prefix with the one before
+        kept = np.flatnonzero(joined | np.r_[joined[1:], False][: len(joined)])
+        if len(kept):
             run, place = np.array(order).T
             start = np.cumsum([0] + [len(r) for r in runs])
-            flat = start[run] + place
-            doc = np.concatenate([np.frombuffer(d, np.int64) + b for d, b in zip(frame["doc"], frame["base"], strict=True)])[flat]
-            pos = numbers("pos")[flat]
-            size = np.concatenate([np.frombuffer(b, np.uint8) for b in frame["size"]]).astype(np.int64)[flat]
-            hi_all = np.concatenate([np.frombuffer(b, np.uint8) for b in frame["reach"]]).astype(np.int64)
-            left_at = np.cumsum(hi_all) - hi_all
-            lefts = np.frombuffer(b"".join(frame["left"]) + bytes(reach), np.uint8)
-            texts = [s for r in runs for s in r]
-            at = np.flatnonzero(grouped)
-            # Whole groups at a time, about 20,000 suffixes.
-            edges = np.minimum(np.arange(0, len(at) + 20_000, 20_000), len(at))
-            cuts = [0]
-            for e in edges[1:]:
-                while e < len(at) and e > 0 and group[at[e]] == group[at[e - 1]]:
-                    e += 1
-                if e > cuts[-1]:
-                    cuts.append(int(e))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                some = at[a:b]
-                if not len(some):
-                    continue
-                right = np.frombuffer(b"".join(texts[f].ljust(window, b"\0") for f in flat[some]), np.uint8).reshape(-1, window)
-                hi = hi_all[flat[some]]
-                left = lefts[np.minimum(left_at[flat[some]][:, None] + np.arange(reach), len(lefts) - 1)]
-                row, o = spread(window - size[some], hi)
-                key = window_hashes(left, right, row, o, worker_state("hasher 1", lambda: Hasher(1)), window)
-                whose, where = doc[some][row], pos[some][row] - o
-                late = later_ones([key, group[some][row] * 256 + o], whose, where)
-                for out, values in zip((docs, firsts, lasts), runs_of_starts(whose[late], where[late]), strict=True):
-                    out.append(values)
-        return pd.DataFrame({"key": np.concatenate(docs), "first": np.concatenate(firsts), "last": np.concatenate(lasts)})
+            del runs
+            at = (start[run] + place)[kept]
+            doc, rid, pos = (numbers(k)[at] for k in ("doc", "rid", "pos"))
+            every_hi = numbers("reach", np.uint8).astype(np.int64)
+            lo, hi = window - numbers("size", np.uint8).astype(np.int64)[at], every_hi[at]
+            begin = (np.cumsum(every_hi) - every_hi)[at]
+            left = np.frombuffer(b"".join(frame["left"]) + bytes(reach), np.uint8)[begin[:, None] + np.arange(reach)]
+            left[np.arange(reach) >= hi[:, None]] = 0
+            row, first, last = late_windows(doc, rid, pos, lo, hi, np.where(joined, common, 0)[kept], left, window)
+            for name, values in (("rid", rid[row]), ("doc", doc[row]), ("first", pos[row] - last), ("last", pos[row] - first)):
+                out[name].append(values)
+        return pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
 
     return work
 
@@ -534,10 +526,11 @@ def removal(window: int = WINDOW):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             rows = [[], [], [], []]
-            spans = batch.column("spans").to_pylist()
-            for text, own in zip(batch.column("text").to_pylist(), spans, strict=True):
+            spans, docs = batch.column("spans").to_pylist(), batch.column("doc").to_pylist()
+            for text, own, doc in zip(batch.column("text").to_pylist(), spans, docs, strict=True):
                 data = (text or "").encode()
-                gone = covered([s["first"] for s in own], [s["last"] for s in own], len(data), window) if own else []
+                own = [x for x in own or () if x["doc"] == doc]
+                gone = covered([x["first"] for x in own], [x["last"] for x in own], len(data), window)
                 digest, at = hashlib.sha256(), 0
                 for a, b in gone:
                     digest.update(data[at:a])
@@ -553,27 +546,30 @@ def removal(window: int = WINDOW):
     return work
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """The documents by key, and for each key the starts of its repeated windows (first to last)."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def repeated_spans(docs: DataFrame, hot: int = HOT, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
+    """The documents with a hash, rid, of doc_id and text, and for each rid the starts of its repeated windows (doc, first to last)."""
+    total = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    buckets = blocks_for(total["bytes"] or 0, share)
     # One shape of this table everywhere, and a key that is never null: both joins then share one exchange of the texts.
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("key"), "text")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc"), "text")
     work, schema = prefix_runs(buckets)
     prefixes = keyed.mapInArrow(work, schema)
-    refs = prefixes.groupBy("bucket").applyInPandas(repeated_prefixes(hot), "key bigint, ref bigint")
-    refs = refs.groupBy("key").agg(F.collect_set("ref").alias("refs")).withColumnRenamed("key", "r_key")
-    marked = keyed.join(refs, F.col("key") == F.col("r_key")).select("key", "text", "refs")
-    work, schema = suffix_runs(buckets)
+    refs = prefixes.groupBy("bucket").applyInPandas(repeated_prefixes(hot), "rid bigint, ref bigint")
+    refs = refs.groupBy("rid").agg(F.collect_set("ref").alias("refs")).withColumnRenamed("rid", "r_rid")
+    marked = keyed.join(refs, F.col("rid") == F.col("r_rid")).select("rid", "doc", "text", "refs")
+    cuts = splitters(keyed, total["n"], min(buckets, RANGES))
+    work, schema = suffix_runs(cuts, blocks_for(buckets, len(cuts) + 1))
     suffixes = marked.mapInArrow(work, schema)
-    found = suffixes.groupBy("bucket").applyInPandas(repeated_windows(), "key bigint, first bigint, last bigint")
-    spans = found.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans")).withColumnRenamed("key", "s_key")
+    found = suffixes.groupBy("bucket").applyInPandas(repeated_windows(), "rid bigint, doc bigint, first bigint, last bigint")
+    spans = found.groupBy("rid").agg(F.collect_list(F.struct("doc", "first", "last")).alias("spans")).withColumnRenamed("rid", "s_rid")
     return keyed, spans
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    keyed, spans = repeated_spans(docs, hot)
-    joined = keyed.join(spans, F.col("key") == F.col("s_key"), "left").select(
-        F.nullif("key", F.lit(NULL_ID)).alias("doc_id"), "text", "spans"
+def remove_repeats(docs: DataFrame, hot: int = HOT, share: int = SHARE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document. hot and share are sizes: of a
+    prefix's group, and the bytes of text for a bucket; results don't depend on them."""
+    keyed, spans = repeated_spans(docs, hot, share)
+    joined = keyed.join(spans, F.col("rid") == F.col("s_rid"), "left").select(
+        F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "doc", "text", "spans"
     )
     return joined.mapInArrow(removal(), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -45,8 +45,9 @@ def texts(df):
 
 
 def repeats(rows, width=100):
-    seen, out = set(), {}
-    for key, text in sorted(rows.items(), key=lambda r: (r[0] is not None, r[0] or 0)):
+    """By brute force, for (key, text) in order of key."""
+    seen, out = set(), []
+    for _, text in rows:
         data = text.encode()
         gone = bytearray(len(data))
         for s in range(len(data) - width + 1):
@@ -54,23 +55,44 @@ def repeats(rows, width=100):
                 gone[s : s + width] = b"\1" * width
             seen.add(w)
         spans = sum(1 for i in range(len(data)) if gone[i] and (i == 0 or not gone[i - 1]))
-        out[key] = (len(data), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(data, gone) if not g)).hexdigest())
+        out.append((len(data), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(data, gone) if not g)).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("hot", [3, 10_000])
-def test_suffix_dedup(spark, docs, odd, none, hot):
+@pytest.mark.parametrize("hot, share", [(3, 20_000), (3, 1 << 30), (100_000, 50_000), (100_000, 1 << 30)])
+def test_suffix_dedup(spark, docs, odd, none, hot, share):
     from sablespan.llm.suffixes import remove_repeats
 
     for df in (docs.repartition(3), odd):
-        want = repeats(texts(df))
-        got = remove_repeats(df, hot).collect()
+        rows = sorted(texts(df).items(), key=lambda r: (r[0] is not None, r[0] or 0))
+        want = dict(zip([k for k, _ in rows], repeats(rows)))
+        got = remove_repeats(df, hot, share).collect()
         assert len(got) == df.count()
         for r in got:
             assert tuple(r)[1:] == want[r["doc_id"]], r["doc_id"]
     assert remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, 100_000])
+def test_suffix_dedup_of_shared_ids(spark, hot):
+    """Rows that share an id, or have none, keep their own spans; of equal passages the one of lesser text hash stays."""
+    import random
+
+    from sablespan.llm.suffixes import remove_repeats
+
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh \0é") for _ in range(n))
+    passage, other = text(300), text(150)
+    rows = [(1, passage), (2, text(50) + passage + text(60)), (2, text(700)), (2, other + text(90)), (None, text(20) + passage), (None, text(400)), (None, other), (3, text(10) + other), (3, passage)]
+    rows += [(3, passage), (4, passage[:99] + text(9)), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("doc_id", "text"))
+    once = sorted({(r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"]) for r in frame.collect()})
+    values = {r[2]: v for r, v in zip(once, repeats([(None, r[3]) for r in once]))}
+    expected = sorted(((r["doc_id"], *values[r["h"]]) for r in frame.collect()), key=str)
+    got = sorted((tuple(r) for r in remove_repeats(frame.repartition(3), hot).collect()), key=str)
+    assert got == expected
+
+
 def test_merge_equals_sort():
     import random
 
