@@ -1,16 +1,17 @@
 """Exact top-k inner products over vectors in order of falling length (operator 4).
 
-Vectors fall into bands of falling length, and each band into blocks.  All queries meet the band
-of the longest vectors first; a query's k-th best score there is a bound that the other bands
-must reach.  A band is left out for a block of queries once the product of lengths can't reach
-any of their bounds (Cauchy-Schwarz).  Within a block, scores grow over the leading coordinates
-of an SVD rotation of all vectors, and a pair is dropped as soon as its partial sum and the
-product of the residual lengths fall short; what remains is scored in exact integers.
+Vectors fall into bands of falling length, each twice the one before, and bands into blocks.  Bands
+are processed one after another.  A query's k-th best score so far is its bound; a query goes on
+to a band only if the product of its length and the band's greatest can reach that bound
+(Cauchy-Schwarz), and once none can, the rest is left out.  Within a block, candidates come by falling length
+in slices, and the bound rises from slice to slice; scores grow over the leading coordinates of an
+SVD rotation of all vectors, and a pair is dropped as soon as its partial sum and the product of the
+residual lengths fall short.  What remains is scored in exact integers.
 
 Cases: a vector that is null or has a null or non-finite component is neither query nor
 candidate; equal scores rank by smaller vec_id; vectors of different length don't meet; rows that
-share a query's vec_id are its own; fewer than k candidates are all returned; an empty table gives
-no rows; other columns aren't read.
+share a query's vec_id are its own, and each of them is a query with results of its own; fewer than k candidates are all
+returned; an empty table gives no rows; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,25 +23,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sablespan.llm.common import blocks_for, stored
+from sablespan.llm.common import blocks_for, drop, stored
 
-#: Rows of a block of candidates and of a block of queries, and the most bands of length.
-BLOCK, QUERIES, BANDS = 4096, 1024, 64
-#: Leading coordinates after which pairs are pruned.
-STEPS = (16, 32)
-#: Below this size of components, products of integers are exact in double precision.
-SMALL = 1 << 20
+#: Rows of the band of longest vectors, of a block of candidates, of a slice of it, and of a block of queries.
+FIRST, BLOCK, SLICE, QUERIES = 256, 4096, 512, 1024
+#: Parts of the coordinates after which pairs are pruned.
+STEPS = (0.125, 0.25, 0.5)
+#: Sums of products of integers below this are exact in double precision.
+EXACT = 1 << 53
 
-SCORES = "query_id bigint, vec_id bigint, score bigint"
+SCORES = "query bigint, query_id bigint, vec_id bigint, score bigint"
 
 
 def quantized(vectors: DataFrame, factor: int) -> DataFrame:
-    """vec_id, v (floor(factor * x) for each component) and length of the vectors that take part."""
+    """row (a number of its own), vec_id, v (floor(factor * x) for each component), length and dims of the vectors that take part."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * factor).cast("bigint"))
-    good = vectors.filter(F.col("embedding").isNotNull() & ~bad).select("vec_id", v.alias("v"))
+    good = vectors.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~bad).select("vec_id", v.alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return good.withColumn("length", length).withColumn("dims", F.size("v"))
+    return good.withColumn("length", length).withColumn("dims", F.size("v")).withColumn("row", F.monotonically_increasing_id())
 
 
 def rotation(ints: DataFrame, dims: int) -> np.ndarray:
@@ -53,7 +54,7 @@ def rotation(ints: DataFrame, dims: int) -> np.ndarray:
             total += m.T @ m
         yield pd.DataFrame({"i": np.arange(dims * dims), "x": total.ravel()})
 
-    rows = ints.filter(F.col("dims") == dims).select("v").mapInPandas(moments, "i int, x double")
+    rows = ints.select("v").mapInPandas(moments, "i int, x double")
     total = np.zeros(dims * dims)
     for i, x in rows.groupBy("i").agg(F.sum("x")).toLocalIterator():  # dims x dims numbers
         total[i] = x
@@ -61,55 +62,80 @@ def rotation(ints: DataFrame, dims: int) -> np.ndarray:
     return vectors[:, ::-1]
 
 
-def _blobs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row a block: its vec_ids, ascending, and their vectors as one matrix."""
+def _blobs(rows: DataFrame, keys: list[str], order: str, extra: dict[str, str]) -> DataFrame:
+    """A row a block: its vec_ids in order, their vectors as one matrix, and the columns of extra."""
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("vec_id", kind="stable")
+        frame = frame.sort_values([order, "vec_id"], ascending=[False, True], kind="stable")
         m = np.array(frame["v"].tolist(), dtype=np.int64)
-        m = m.astype(np.int32) if m.size and np.abs(m).max() < SMALL else m
+        m = m.astype(np.int32) if m.size and np.abs(m).max() < 1 << 31 else m
         out = {k: [frame[k].iloc[0]] for k in keys}
         out |= {"ids": [frame["vec_id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()], "wide": [m.dtype == np.int64]}
-        out |= {"bound": [frame["bound"].to_numpy(np.float64).tobytes()]} if "bound" in frame else {}
-        return pd.DataFrame(out)
+        return pd.DataFrame(out | {c: [frame[c].to_numpy(kind).tobytes()] for c, kind in extra.items()})
 
-    extra = ", bound binary" if "bound" in rows.columns else ""
     kinds = ", ".join(f"{k} int" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(pack, f"{kinds}, ids binary, m binary, wide boolean{extra}")
-
-
-def best_scores(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, bound: np.ndarray, turn: np.ndarray, k: int):
-    """query rows, candidate rows and scores: each query's k best that reach its bound. cid ascends."""
-    small = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) < SMALL
-    alive = None
-    if np.isfinite(bound).all():
-        qt, ct = q @ turn, c @ turn
-        done, part = 0, np.zeros((len(q), len(c)))
-        for upto in (s for s in STEPS if s < q.shape[1]):
-            part += qt[:, done:upto] @ ct[:, done:upto].T
-            done = upto
-            rest = np.linalg.norm(qt[:, done:], axis=1)[:, None] * np.linalg.norm(ct[:, done:], axis=1)
-            alive = part + rest >= bound[:, None] - 1e-6 * (1 + np.abs(bound[:, None]))
-            if alive.mean() < 0.02:
-                break
-    if alive is not None and alive.mean() < 0.02:
-        qi, ci = np.nonzero(alive)
-        score = np.einsum("ij,ij->i", q[qi], c[ci])
-    else:
-        score = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64) if small else q @ c.T
-        reach = (score >= bound[:, None]) if alive is None else alive & (score >= bound[:, None])
-        qi, ci = np.nonzero(reach)
-        if len(qi) > 4 * k * len(q):  # keep only what can be among the k best, ties included
-            kth = min(k + 1, score.shape[1])
-            low = np.partition(score, score.shape[1] - kth, axis=1)[:, score.shape[1] - kth]
-            qi, ci = np.nonzero(reach & (score >= low[:, None]))
-        score = score[qi, ci]
-    keep = (qid[qi] != cid[ci]) & (score >= bound[qi])
-    qi, ci, score = qi[keep], ci[keep], score[keep]
-    order = np.lexsort((ci, -score, qi))
-    qi, ci, score = qi[order], ci[order], score[order]
-    rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-    return qi[rank < k], ci[rank < k], score[rank < k]
+    more = "".join(f", {c} binary" for c in extra)
+    return rows.groupBy(*keys).applyInPandas(pack, f"{kinds}, ids binary, m binary, wide boolean{more}")
+
+
+class Best:
+    """The k best candidates so far of each query of a block, and the bounds they give."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bound: np.ndarray, turn: np.ndarray, k: int):
+        self.ids, self.vectors, self.bound, self.turn, self.k = ids, vectors, bound.copy(), turn, k
+        self.turned, self.lengths = vectors @ turn, np.linalg.norm(vectors.astype(np.float64), axis=1)
+        self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # query, vec_id, score
+        self.seen = {"pairs": 0, "skipped": 0, "pruned": 0}
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Candidates by falling length."""
+        lengths = np.linalg.norm(vectors.astype(np.float64), axis=1)
+        for at in range(0, len(ids), SLICE):
+            part = slice(at, at + SLICE)
+            n = len(ids[part])
+            reach = self.lengths * lengths[part].max(initial=0) * (1 + 1e-9) + 1e-6 >= self.bound
+            self.seen["pairs"] += len(self.ids) * n
+            self.seen["skipped"] += int((~reach).sum()) * n
+            if reach.any():
+                self._slice(np.flatnonzero(reach), ids[part], vectors[part])
+
+    def _slice(self, asked: np.ndarray, ids: np.ndarray, c: np.ndarray) -> None:
+        q, bound = self.vectors[asked], self.bound[asked]
+        alive = np.ones((len(q), len(c)), bool)
+        dims = q.shape[1]
+        if np.isfinite(bound).any():
+            qt, ct = self.turned[asked], c @ self.turn
+            slack, part, done = 1e-6 * (1 + np.abs(np.where(np.isfinite(bound), bound, 0))), np.zeros(alive.shape), 0
+            for upto in sorted({max(1, int(dims * s)) for s in STEPS}):
+                part += qt[:, done:upto] @ ct[:, done:upto].T
+                done = upto
+                rest = np.linalg.norm(qt[:, done:], axis=1)[:, None] * np.linalg.norm(ct[:, done:], axis=1)
+                alive = part + rest >= (bound - slack)[:, None]
+                if not 0.02 < alive.mean() < 0.7:  # few are left, or pruning doesn't pay
+                    break
+        self.seen["pruned"] += int(alive.size - alive.sum())
+        if alive.mean() < 0.05:
+            qi, ci = np.nonzero(alive)
+            score = np.einsum("ij,ij->i", q[qi], c[ci])
+        else:
+            small = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * dims < EXACT
+            every = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64) if small else q @ c.T
+            qi, ci = np.nonzero(alive & (every >= bound[:, None]))
+            score = every[qi, ci]
+        keep = (self.ids[asked[qi]] != ids[ci]) & (score >= bound[qi])
+        self._add(asked[qi[keep]], ids[ci[keep]], score[keep])
+
+    def _add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if not len(query):
+            return
+        query, ids, score = (np.concatenate(x) for x in zip(self.rows, (query, ids, score), strict=True))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        kth = rank == self.k - 1
+        self.bound[query[kth]] = np.maximum(self.bound[query[kth]], score[kth])
+        keep = rank < self.k
+        self.rows = query[keep], ids[keep], score[keep]
 
 
 def _matrix(row, side: str, dims: int) -> np.ndarray:
@@ -121,16 +147,18 @@ def _scored(pairs: DataFrame, dims: int, turn: np.ndarray, k: int) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.to_dict("records"):
-                qid, cid = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-                bound = np.frombuffer(row["q_bound"], np.float64)
-                qi, ci, score = best_scores(_matrix(row, "q", dims), qid, _matrix(row, "c", dims), cid, bound, turn, k)
-                yield pd.DataFrame({"query_id": qid[qi], "vec_id": cid[ci], "score": score.astype(np.int64)})
+                ids = np.frombuffer(row["q_ids"], np.int64)
+                best = Best(ids, _matrix(row, "q", dims), np.frombuffer(row["q_bound"], np.float64), turn, k)
+                best.meet(np.frombuffer(row["c_ids"], np.int64), _matrix(row, "c", dims))
+                query, vec_id, score = best.rows
+                rows = np.frombuffer(row["q_row"], np.int64)
+                yield pd.DataFrame({"query": rows[query], "query_id": ids[query], "vec_id": vec_id, "score": score.astype(np.int64)})
 
     return pairs.mapInPandas(work, SCORES)
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -142,60 +170,63 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, factor: int = 64) ->
         part = _top_k(ints.filter(F.col("dims") == dims), dims, every, k)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return ints.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score")).limit(0)
+        return _none(ints)
     return out
 
 
+def bands_of(ints: DataFrame, first: int) -> tuple[DataFrame, dict[int, tuple[int, float]]]:
+    """ints with band, by falling length: about first rows, then twice as many, and so on; and each band's rows and
+    greatest length."""
+    n, ends = ints.count(), []
+    upto = first
+    while upto < n:
+        ends.append(1 - upto / n)
+        upto = 2 * upto + first
+    marks = ints.select(F.percentile_approx("length", ends, 100_000)).first()[0] if ends else []
+    band = sum((F.when(F.col("length") < m, 1).otherwise(0) for m in sorted(set(marks), reverse=True)), F.lit(0))
+    banded = ints.withColumn("band", band.cast("int"))
+    rows = banded.groupBy("band").agg(F.count("*"), F.max("length")).collect()  # a row a band, about log2(n)
+    return banded, {band: (n, most) for band, n, most in sorted(rows)}
+
+
 def _top_k(ints: DataFrame, dims: int, every: int, k: int) -> DataFrame:
-    n = ints.count()
-    asked = ints.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "length")
     turn = rotation(ints, dims)
-    n_bands = min(BANDS, blocks_for(n, BLOCK))
-    marks = ints.select(F.percentile_approx("length", [i / n_bands for i in range(1, n_bands)] or [0.5], 10_000)).first()[0]
-    marks = sorted(set(marks[: n_bands - 1]), reverse=True)  # n_bands - 1 numbers at most
-    band = sum((F.when(F.col("length") < m, 1).otherwise(0) for m in marks), F.lit(0))
-    banded = ints.withColumn("band", band.cast("int"))
-    stats = {r["band"]: r for r in banded.groupBy("band").agg(F.max("length").alias("most"), F.count("*").alias("n")).collect()}
-    parts = F.element_at(F.create_map(*[x for b, r in stats.items() for x in (F.lit(b), F.lit(blocks_for(r["n"], BLOCK)))]), F.col("band"))
-    blocks = stored(_blobs(banded.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")), ["band", "part"]), "blocks")
-    c_side = blocks.select("band", "part", F.col("ids").alias("c_ids"), F.col("m").alias("c_m"), F.col("wide").alias("c_wide"))
-    q_parts = blocks_for(asked.count(), QUERIES)
-    q_block = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(q_parts)).cast("int").alias("block")
-
-    def met(queries: DataFrame, bands) -> DataFrame:
-        """The blocks of queries beside the blocks of the bands they still need."""
-        sides = _blobs(queries, ["block"]).withColumn("band", F.explode(bands))
-        sides = sides.select("block", "band", *[F.col(c).alias(f"q_{c}") for c in ("ids", "m", "wide", "bound")])
-        pairs = sides.join(c_side.withColumnRenamed("band", "c_band"), F.col("band") == F.col("c_band")).repartition("block", "c_band", "part")
-        return _scored(pairs, dims, turn, k)
-
-    first = min(stats) if stats else 0
-    open_end = asked.select("vec_id", "v", "length", F.lit(float("-inf")).alias("bound"), q_block)
-    start = stored(_top(met(open_end, F.array(F.lit(first))), k).drop("rank"), "scores")
-    rest = sorted(set(stats) - {first})
-    if not rest:
-        return _top(start, k).select("query_id", "rank", "vec_id", "score")
-    # The bound of a query: its k-th score so far, or none if it has fewer.
-    kth = start.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).filter(F.col("n") >= k)
-    bounded = asked.join(kth, asked["vec_id"] == kth["query_id"], "left").select(
-        "vec_id", "v", "length", F.coalesce(F.col("low").cast("double"), F.lit(float("-inf"))).alias("bound"), q_block
-    )
-    # A band is needed while some query's length times the band's greatest reaches its bound; the test is made
-    # for whole blocks of queries, by the least of bound / length.
-    reach = F.when(F.col("length") > 0, F.col("bound") / F.col("length")).otherwise(
-        F.when(F.col("bound") <= 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    )
-    least = bounded.groupBy("block").agg(F.min(reach).alias("least")).withColumnRenamed("block", "l_block")
-    wanted = F.filter(
-        F.array(*[F.struct(F.lit(b).alias("band"), F.lit(float(stats[b]["most"])).alias("most")) for b in rest]),
-        lambda s: s["most"] * (1 + 1e-9) >= F.col("least"),
-    )["band"]
-    needs = least.select("l_block", wanted.alias("bands"))
-    blobs = _blobs(bounded, ["block"]).join(needs, F.col("block") == F.col("l_block")).withColumn("band", F.explode("bands"))
-    sides = blobs.select("block", "band", *[F.col(c).alias(f"q_{c}") for c in ("ids", "m", "wide", "bound")])
-    pairs = sides.join(c_side.withColumnRenamed("band", "c_band"), F.col("band") == F.col("c_band")).repartition("block", "c_band", "part")
-    more = _scored(pairs, dims, turn, k)
-    return _top(start.unionByName(more), k).select("query_id", "rank", "vec_id", "score")
+    banded, bands = bands_of(ints, FIRST)
+    parts = F.element_at(F.create_map(*[x for b, (n, _) in bands.items() for x in (F.lit(b), F.lit(blocks_for(n, BLOCK)))]), F.col("band"))
+    dealt = banded.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int"))
+    blocks = stored(_blobs(dealt, ["band", "part"], "length", {}), "blocks")
+    asked = ints.filter(F.col("vec_id") % every == 0).select("row", "vec_id", "v", "length")
+    best = None
+    for band, (_, most) in bands.items():
+        queries = asked.withColumn("bound", F.lit(float("-inf")))
+        if best is not None:
+            # The bound of a query: its k-th score so far, or none if it has fewer.
+            kth = best.groupBy("query").agg(F.min("score").cast("double").alias("low"), F.count("*").alias("n")).filter(F.col("n") >= k)
+            bound = F.coalesce("low", F.lit(float("-inf")))
+            queries = asked.join(kth, asked["row"] == kth["query"], "left").select("row", "vec_id", "v", "length", bound.alias("bound"))
+            queries = queries.filter(F.col("length") * most * (1 + 1e-9) + 1e-6 >= F.col("bound"))
+        queries = stored(queries, "queries")
+        n = queries.count()
+        if not n:
+            break
+        # Queries of like need share a block: by bound / length, where one has a bound.
+        need = F.when((F.col("length") > 0) & (F.col("bound") > float("-inf")), F.col("bound") / F.col("length")).otherwise(0.0)
+        marks = queries.select(F.percentile_approx(need, [i / blocks_for(n, QUERIES) for i in range(1, min(blocks_for(n, QUERIES), 256))] or [0.5], 10_000)).first()[0]
+        near = sum((F.when(need < m, 1).otherwise(0) for m in sorted(set(marks))), F.lit(0))
+        queries = queries.withColumn("near", near.cast("int")).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(1, blocks_for(n, QUERIES) // 256))).cast("int"))
+        sides = _blobs(queries, ["near", "block"], "bound", {"row": "int64", "bound": "float64"})
+        sides = sides.select("near", "block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "m", "wide", "row", "bound")], F.lit(band).alias("band"))
+        candidates = blocks.filter(F.col("band") == band).select(F.col("band").alias("c_band"), "part", *[F.col(c).alias(f"c_{c}") for c in ("ids", "m", "wide")])
+        pairs = sides.join(candidates, F.col("band") == F.col("c_band")).repartition("near", "block", "part")
+        scores = _scored(pairs, dims, turn, k)
+        last, best = best, stored(_top(scores if best is None else best.unionByName(scores), k).drop("rank"), "scores")
+        if last is not None:
+            drop(last)
+    return _top(best, k).select("query_id", "rank", "vec_id", "score") if best is not None else _none(ints)
+
+
+def _none(ints: DataFrame) -> DataFrame:
+    return ints.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
 
 
 TOPK_SQL = """

@@ -198,26 +198,63 @@ def test_mixing(spark, docs, odd, none):
     assert mix_sources(none).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_top_k(spark, seed):
+def brute_top(rows, every, k):
+    ints = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, v in ints:
+        if q % every == 0:
+            best = sorted((-int(v @ w), i) for i, w in ints if i != q and len(w) == len(v))[:k]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("seed, dims", [(1, 8), (2, 64)])
+def test_top_k(spark, monkeypatch, seed, dims):
     from sablespan.llm import topk
 
+    for name, value in {"FIRST": 40, "BLOCK": 50, "SLICE": 16, "QUERIES": 4}.items():
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(seed)
-    m = rng.standard_normal((300, 8)) * np.exp(rng.standard_normal((300, 1)))
-    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(400, m[0].tolist()), (420, None), (440, [float("inf")] * 8), (460, [None] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    block, topk.BLOCK = topk.BLOCK, 50
-    try:
-        got = [tuple(r) for r in topk.top_k(df, every=20, k=5).orderBy("query_id", "rank").collect()]
-    finally:
-        topk.BLOCK = block
-    ints = {i: np.floor(64 * np.array(v)).astype(int) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
-    want = []
-    for q in sorted(i for i in ints if i % 20 == 0):
-        best = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == want
+    # Lengths and directions differ much, as pruning needs.
+    m = rng.standard_normal((400, dims)) * np.exp(rng.standard_normal((400, 1))) * np.exp(-np.arange(dims) / 6)
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(400, m[0].tolist()), (420, None), (440, [float("inf")] * dims), (460, [None] * dims)]
+    rows += [(480, [1.0, 2.0, 3.0]), (481, [0.5, 0.25, 1.0]), (500, [0.0] * dims)]
+    rows += [(20, m[33].tolist()), (41, m[33].tolist()), (41, m[34].tolist())]  # repeated ids and ties
+    df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<double>, rank int")
+    got = sorted(tuple(r) for r in topk.top_k(df, every=20, k=5).collect())
+    assert got == brute_top(rows, 20, 5)
     assert topk.top_k(df.limit(0)).count() == 0
+    ints = topk.quantized(df, 64).filter(F.col("dims") == dims)
+    assert len(topk.bands_of(ints, topk.FIRST)[1]) >= 3
+
+
+def test_top_k_prunes(monkeypatch):
+    """Slices are skipped by length and pairs by partial sums, and what remains is exact."""
+    from sablespan.llm import topk
+
+    monkeypatch.setattr(topk, "SLICE", 64)
+    rng = np.random.default_rng(3)
+    dims, scale = 64, np.exp(-np.arange(64) / 8)
+    c = np.floor(64 * rng.standard_normal((2000, dims)) * scale * np.exp(rng.standard_normal((2000, 1)))).astype(np.int64)
+    c = c[np.argsort(-np.linalg.norm(c, axis=1), kind="stable")]
+    q = np.floor(64 * rng.standard_normal((30, dims)) * scale).astype(np.int64)
+    turn = np.linalg.eigh((c.T @ c).astype(float))[1][:, ::-1]
+    best = topk.Best(np.arange(30) + 10_000, q, np.full(30, -np.inf), turn, 10)
+    best.meet(np.arange(2000), c)
+    want = [(i, j, s) for i in range(30) for s, j in [(-a, b) for a, b in sorted((-int(q[i] @ c[j]), j) for j in range(2000))[:10]]]
+    assert list(zip(*(x.tolist() for x in best.rows))) == want
+    assert best.seen["pairs"] == 60_000 and best.seen["skipped"] > 40_000 and best.seen["pruned"] > 0.5 * (60_000 - best.seen["skipped"])
+
+
+def test_top_k_of_large_numbers():
+    """Sums beyond what doubles hold."""
+    from sablespan.llm import topk
+
+    rng = np.random.default_rng(4)
+    c = rng.integers(-(1 << 27), 1 << 27, (50, 16))
+    best = topk.Best(np.array([-1]), c[:1] + 1, np.full(1, -np.inf), np.eye(16), 3)
+    best.meet(np.arange(50), c)
+    assert best.rows[2].tolist() == sorted((c @ (c[0] + 1)).tolist(), reverse=True)[:3]
 
 
 def encoded(name):
