@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sablespan.operators.extract import bound, running
+
 MASK = "█"
 
 
@@ -17,31 +19,50 @@ def merged(spans: DataFrame) -> DataFrame:
     return grouped.groupBy("doc_id", "run").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char")).drop("run")
 
 
-def mask_expression(text: Column, runs: Column, mask: str = MASK) -> Column:
-    """text with every character of the runs (ordered structs of start_char and end_char) masked."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, run: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, run["start_char"] - state["at"])
-        body = F.expr(f"'{mask}'")
-        return F.struct(
-            run["end_char"].alias("at"),
-            F.concat(state["out"], gap, F.repeat(body, run["end_char"] - run["start_char"])).alias("out"),
+#: Characters looked at together when a text is masked, so that no offset is counted from a long text's start.
+BLOCK = 4096
+
+
+def _by_blocks(text: Column, runs: Column, body) -> Column:
+    """text with body(characters, run) in place of each run (ordered structs of start_char and end_char), block by
+    block. Runs are clipped to the blocks; opens and closes tell where one really begins and ends."""
+
+    def block(part: Column, k: Column) -> Column:
+        at, upto = k * BLOCK, (k + 1) * BLOCK
+        own = F.filter(runs, lambda r: (r["end_char"] > at) & (r["start_char"] < upto))
+        own = F.transform(
+            own,
+            lambda r: F.struct(
+                F.greatest(r["start_char"] - at, F.lit(0)).alias("a"),
+                F.least(r["end_char"] - at, F.length(part)).alias("b"),
+                (r["start_char"] >= at).alias("opens"),
+                (r["end_char"] <= upto).alias("closes"),
+            ),
         )
 
-    return F.aggregate(runs, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+        def pieces(clipped: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(clipped, i - 1)["b"], F.lit(0))
+            each = F.transform(clipped, lambda r, i: F.concat(F.substring(part, before(i) + 1, r["a"] - before(i)), body(F.substring(part, r["a"] + 1, r["b"] - r["a"]), r)))
+            return F.concat(F.array_join(each, ""), F.substring(part, before(F.size(clipped)) + 1, F.lit(BLOCK)))
+
+        return bound(own, pieces)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.array_join(F.transform(blocks, block), "")
+
+
+def mask_expression(text: Column, runs: Column, mask: str = MASK) -> Column:
+    """text with every character of the runs masked."""
+    return _by_blocks(text, runs, lambda _, r: F.repeat(F.lit(mask), r["b"] - r["a"]))
 
 
 def highlight_expression(text: Column, runs: Column) -> Column:
     """text with each run between double brackets: the reversible form."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, run: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, run["start_char"] - state["at"])
-        body = F.substring(text, run["start_char"] + 1, run["end_char"] - run["start_char"])
-        return F.struct(run["end_char"].alias("at"), F.concat(state["out"], gap, F.lit("[["), body, F.lit("]]")).alias("out"))
+    def marked(body: Column, r: Column) -> Column:
+        return F.concat(F.when(r["opens"], "[[").otherwise(""), body, F.when(r["closes"], "]]").otherwise(""))
 
-    return F.aggregate(runs, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return _by_blocks(text, runs, marked)
 
 
 def redact(docs: DataFrame, spans: DataFrame, highlight: bool = False) -> DataFrame:
@@ -61,7 +82,7 @@ def words(docs: DataFrame) -> DataFrame:
     """The words of texts laid out in lines: doc_id, word_no, line (y), x0 and x1 in characters, and text."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "row"))
     pieces = F.split("row", " ")
-    ends = F.transform(pieces, lambda w, i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + i)
+    ends = F.transform(running(F.transform(pieces, lambda w: F.length(w) + 1)), lambda x: x - 1)
     cells = F.arrays_zip(pieces.alias("text"), ends.alias("x1"))
     laid = lines.select("doc_id", "line", F.posexplode(cells).alias("col", "cell")).filter("cell.text != ''")
     order = Window.partitionBy("doc_id").orderBy("line", "col")
@@ -78,11 +99,21 @@ def words(docs: DataFrame) -> DataFrame:
 def phrase_boxes(laid: DataFrame, phrases: DataFrame) -> DataFrame:
     """Every contiguous occurrence of phrases (phrase_id, phrase) in words, with the box around it.
 
-    The tokens of a phrase are joined with equal words; those of one occurrence share the place
-    of a word less the place of its token.
+    A phrase is looked for by its rarest token, so that a very common word joins nothing it needn't; the others
+    are then held against the words at their places.
     """
-    tokens = phrases.select("phrase_id", F.size(F.split("phrase", " ")).alias("n"), F.posexplode(F.split("phrase", " ")).alias("k", "token"))
-    hits = laid.join(tokens, F.lower("text") == F.lower("token")).withColumn("first", F.col("word_no") - F.col("k"))
+    words_of = laid.withColumn("low", F.lower("text"))
+    tokens = phrases.select("phrase_id", F.size(F.split("phrase", " ")).alias("n"), F.posexplode(F.split(F.lower("phrase"), " ")).alias("k", "token"))
+    asked = tokens.select("token").distinct()
+    often = words_of.join(asked, F.col("low") == F.col("token"), "left_semi").groupBy("low").agg(F.count("*").alias("often"))
+    counted = tokens.join(often, F.col("token") == F.col("low"))  # a token that no word equals leaves its phrase without a box
+    every = counted.groupBy("phrase_id", "n").agg(
+        F.min(F.struct("often", "k", "token")).alias("rare"), F.collect_list(F.struct("k", "token")).alias("tokens")
+    )
+    every = every.filter(F.size("tokens") == F.col("n")).select("phrase_id", "n", "tokens", "rare.k", "rare.token")
+    starts = words_of.join(every, F.col("low") == F.col("token")).select("doc_id", "phrase_id", "n", (F.col("word_no") - F.col("k")).alias("first"), F.explode("tokens").alias("t"))
+    starts = starts.select("doc_id", "phrase_id", "n", "first", (F.col("first") + F.col("t.k")).alias("word_no"), F.col("t.token").alias("low"))
+    hits = starts.join(words_of, ["doc_id", "word_no", "low"])
     return (
         hits.groupBy("doc_id", "phrase_id", "first", "n")
         .agg(F.count("*").alias("found"), F.min("x0").alias("x0"), F.min("line").alias("y0"), F.max("x1").alias("x1"), F.max("line").alias("y1"))
