@@ -1,6 +1,6 @@
 """One validator per entity type, as an ordered ladder of arms.
 
-A ladder reads t, the entity's text, and d, its document.  Its arms are tried in order: an arm
+A ladder reads t, the entity's text, d, its document, and start_char, its place there.  Its arms are tried in order: an arm
 with a verdict ends it, an arm without one adds its points and goes on.  The points of all arms
 passed, in hundredths, are the change of confidence; their names are the reasons.
 """
@@ -52,7 +52,7 @@ def person(q: SparkSQL) -> list[Arm]:
     places = " + ".join(f"CASE WHEN contains(lower(d), {q.text(w)}) THEN 1 ELSE 0 END" for w in R.PERSON["address"])
     return [
         Arm(f"length(t) < 2 OR {q.words('t')} < 1", False, -30, "too_short"),
-        Arm("instr(d, t) <= 1 OR substring(d, instr(d, t) - 1, 1) = chr(10)", None, 30, "name_first"),
+        Arm("start_char = 0 OR substring(d, start_char, 1) = chr(10)", None, 30, "name_first"),
         Arm(q.matches("t", f"^{part} (?:[{R.UPPER}][^ ]? )?{part}$"), None, 20, "full_name"),
         Arm(title, None, 20, "title"),
         Arm(f"source = 'ner' AND {_any('lower(d)', R.PERSON['technical'], q)}", None, -50, "technical_context"),
@@ -217,7 +217,7 @@ LADDERS = {
 
 
 def ladder_sql(arms: list[Arm]) -> dict[str, str]:
-    """SQL of is_valid, points and reasons over columns t, d and source."""
+    """SQL of is_valid, points and reasons over columns t, d, start_char and source."""
     stop = "CASE " + " ".join(f"WHEN {a.when} THEN {i}" for i, a in enumerate(arms) if a.verdict is not None) + " END"
     passed = {i: (f"{stop} = {i}" if a.verdict is not None else f"({a.when}) AND {stop} > {i}") for i, a in enumerate(arms)}
     verdict = " ".join(f"WHEN {i} THEN {str(a.verdict).lower()}" for i, a in enumerate(arms) if a.verdict is not None)
@@ -227,7 +227,7 @@ def ladder_sql(arms: list[Arm]) -> dict[str, str]:
 
 
 def verdict(entity_type: str) -> Column:
-    """STRUCT<is_valid, points, reasons> for an entity of this type, over columns t, d and source.
+    """STRUCT<is_valid, points, reasons> for an entity of this type, over columns t, d, start_char and source.
 
     The arm that ends the ladder is worked out once and bound by transform() over an array of one, so that the
     expression grows with the number of arms and not with its square.

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sablespan.functions.text import ensemble_form
@@ -85,30 +85,53 @@ def combined(found: DataFrame) -> DataFrame:
     )
 
 
+def _minimum() -> Column:
+    out = F.lit(None).cast("int")
+    for r in ROUTING:
+        if r.minimum is not None:
+            out = F.when(F.col("entity_type") == r.entity_type, r.minimum).otherwise(out)
+    return out
+
+
 def solo(found: DataFrame) -> DataFrame:
-    """Rows of SOLO types that pass alone: ner rows of a protected class as they are; else those whose
-    weighted confidence reaches 85 % of the type's minimum."""
+    """Rows of SOLO types that pass alone, as ensemble rows, with `through`: whether a row needs no validation.
+
+    Where a document has ner rows of a protected class, those pass as they are and pattern rows of the class
+    don't. Else rows pass whose weighted confidence reaches 85 % of the type's minimum, with that confidence.
+    """
     rows = found.filter(F.col("entity_type").isin(*SOLO))
+    protected = F.col("entity_type") == "PROTECTED_CLASS"
+    ner = F.max(F.col("source") == "ner").over(Window.partitionBy("doc_id", "entity_type"))
+    rows = rows.withColumn("bypass", protected & ner)
     weight = F.when(F.col("source") == "pattern", weights("pattern_weight")).otherwise(weights("ner_weight"))
-    minimum = F.lit(None).cast("int")
-    for r in ROUTING:
-        if r.minimum is not None:
-            minimum = F.when(F.col("entity_type") == r.entity_type, r.minimum).otherwise(minimum)
-    through = (F.col("entity_type") == "PROTECTED_CLASS") & (F.col("source") == "ner")
-    reach = F.col("points") * weight >= minimum * 85
-    return rows.filter(through | reach).withColumn("source", F.lit("ensemble"))
+    through = F.col("bypass") & (F.col("source") == "ner")
+    reach = ~F.col("bypass") & (F.col("points") * weight >= _minimum() * 85)
+    points = F.when(through, F.col("points")).otherwise(F.floor(F.col("points") * weight / 100)).cast("int")
+    return rows.filter(through | reach).withColumn("points", points).withColumn("through", through).withColumn("source", F.lit("ensemble")).drop("bypass")
+
+
+def combined_rows(found: DataFrame) -> DataFrame:
+    """combined(), as rows of found: with t and d and whole points."""
+    pairs = detector_pairs(found.filter(F.col("entity_type").isin([r.entity_type for r in ROUTING if r.route == "ensemble"])))
+    rows = pairs.select("p.*", F.col("s.points").alias("sp")).drop("form")
+    score = F.greatest(F.lit(0), F.least(F.lit(10_000), F.col("points") * weights("pattern_weight") + F.col("sp") * weights("ner_weight")))
+    return rows.withColumn("points", F.floor(score / 100).cast("int")).withColumn("source", F.lit("ensemble")).drop("sp")
 
 
 def detect_full(found: DataFrame) -> DataFrame:
-    """Valid pattern rows of pattern-routed types, valid ner rows, and ensemble rows."""
+    """Valid pattern rows of pattern-routed types, valid ner rows, and ensemble rows: valid combinations, valid solo
+    rows, and protected-class ner rows as they are. All rows are validated together, once.
+
+    Rows come by document and place within the tasks that hold them; order the whole by doc_id for a report.
+    """
     kept = ["doc_id", "entity_type", "text", "start_char", "end_char", F.col("points").cast("bigint").alias("points"), "source"]
     primary = [r.entity_type for r in ROUTING if r.route == "pattern_primary"]
-    pattern = validated(found.filter((F.col("source") == "pattern") & F.col("entity_type").isin(primary))).select(*kept)
-    ner = validated(found.filter("source = 'ner'")).select(*kept)
-    both = combined(found).select(
-        "doc_id", "entity_type", "text", "start_char", "end_char", F.floor(F.col("score") / 100).alias("points"), "source"
-    )
-    return pattern.unionByName(ner).unionByName(both)
+    own = found.filter((F.col("source") == "ner") | F.col("entity_type").isin(primary)).withColumn("through", F.lit(False))
+    both = combined_rows(found).withColumn("through", F.lit(False))
+    rows = own.unionByName(both).unionByName(solo(found))
+    asked = judged(rows, F.when(~F.col("through"), F.col("entity_type")).otherwise("other"))
+    out = asked.filter("is_valid").withColumn("points", F.col("points") + F.col("adjustment")).select(*kept)
+    return out.sortWithinPartitions("doc_id", "start_char", "end_char")
 
 
 def detect_target(found: DataFrame, entity_type: str) -> DataFrame:

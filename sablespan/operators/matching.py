@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sablespan.functions.text import matcher_form
+from sablespan.shared import stored
 
 #: Characters in a block of the overlap join, so that one very long document isn't one key.
 BLOCK = 4096
@@ -49,27 +50,89 @@ def kind(pairs: DataFrame) -> Column:
     return F.when(exact, "exact").when(partial, "partial").when(~same, "type").otherwise("near")
 
 
-def match_pairs(truth: DataFrame, detected: DataFrame) -> DataFrame:
-    """One-to-one pairs: those that are each other's best. Better is exact before partial before other,
-    then the higher ratio, then the earlier start, then the smaller id."""
-    pairs = overlaps(truth, detected)
+def _graded(pairs: DataFrame) -> DataFrame:
+    """pairs with match_type and grade: exact before partial before other."""
     pairs = pairs.withColumn("match_type", kind(pairs))
-    grade = F.when(F.col("match_type") == "exact", 0).when(F.col("match_type") == "partial", 1).otherwise(2)
-    best = [grade, F.desc("ratio"), "gt_start_char", "det_start_char", "gt_gt_id", "det_det_id"]
+    return pairs.withColumn("grade", F.when(F.col("match_type") == "exact", 0).when(F.col("match_type") == "partial", 1).otherwise(2))
+
+
+def _numbered(rows: DataFrame, ident: str) -> DataFrame:
+    """rows with copy: the number, from 0, among those of equal place, type and text."""
+    same = Window.partitionBy("doc_id", "entity_type", "start_char", "end_char", "text").orderBy(ident)
+    return rows.withColumn("copy", F.row_number().over(same) - 1)
+
+
+#: The order in which pairs are taken: better grades, then higher ratios, then copies of like number, earlier starts and smaller ids.
+ORDER = ["grade", "-ratio", "apart", "gt_start_char", "det_start_char", "gt_gt_id", "det_det_id"]
+
+
+def match_pairs(truth: DataFrame, detected: DataFrame) -> DataFrame:
+    """One-to-one pairs, taken greedily: the best pair of all, the best of those left, and so on. Better is exact
+    before partial before other, then the higher ratio, then copies of one number, the earlier start, the smaller id.
+
+    Pairs that are each other's best are taken together, round by round, until none is left; a
+    stored table cuts each round's lineage. Equal copies pair by number, in the first round.
+    """
+    pairs = overlaps(_numbered(truth, "gt_id"), _numbered(detected, "det_id"))
+    pairs = stored(_graded(pairs).withColumn("apart", F.abs(F.col("gt_copy") - F.col("det_copy"))).drop("gt_copy", "det_copy"), "pairs")
+    best = [F.desc(c[1:]) if c[0] == "-" else F.col(c) for c in ORDER]
     by_det = Window.partitionBy("doc_id", "det_det_id").orderBy(*best)
     by_gt = Window.partitionBy("doc_id", "gt_gt_id").orderBy(*best)
-    ranked = pairs.withColumn("d", F.row_number().over(by_det)).withColumn("g", F.row_number().over(by_gt))
-    return ranked.filter("d = 1 AND g = 1").drop("d", "g")
+    out = None
+    while True:
+        ranked = pairs.withColumn("d", F.row_number().over(by_det)).withColumn("g", F.row_number().over(by_gt))
+        # A pair whose sides both have another best stays for the next round, unless one side is taken now.
+        taken = (F.col("d") == 1) & (F.col("g") == 1)
+        marked = ranked.withColumn("taken", taken)
+        gone_d = F.max("taken").over(Window.partitionBy("doc_id", "det_det_id"))
+        gone_g = F.max("taken").over(Window.partitionBy("doc_id", "gt_gt_id"))
+        marked = stored(marked.withColumn("gone", gone_d | gone_g).drop("d", "g"), "matches")
+        now = marked.filter("taken").drop("taken", "gone")
+        out = now if out is None else out.unionByName(now)
+        pairs = marked.filter("NOT gone").drop("taken", "gone")
+        if pairs.isEmpty():
+            return out.drop("grade", "apart")
+
+
+def first_matches(truth: DataFrame, detected: DataFrame) -> DataFrame:
+    """Of each detection the first annotation that it matches exactly or in part, whatever others match it."""
+    pairs = _graded(overlaps(truth, detected)).filter("match_type IN ('exact', 'partial')")
+    order = Window.partitionBy("doc_id", "det_det_id").orderBy(F.desc("ratio"), "gt_start_char", "gt_gt_id")
+    return pairs.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n", "grade")
+
+
+def _hits(truth: DataFrame, detected: DataFrame) -> DataFrame:
+    """doc_id, gt_id and det_id of the pairs that match exactly or in part."""
+    pairs = _graded(overlaps(truth, detected)).filter("match_type IN ('exact', 'partial')")
+    return pairs.select("doc_id", F.col("gt_gt_id").alias("gt_id"), F.col("det_det_id").alias("det_id"))
+
+
+def fuzzy_missed(truth: DataFrame, detected: DataFrame) -> DataFrame:
+    """Annotations that no detection matches, exactly or in part."""
+    return truth.join(_hits(truth, detected), ["doc_id", "gt_id"], "left_anti")
+
+
+def fuzzy_extra(truth: DataFrame, detected: DataFrame) -> DataFrame:
+    """Detections that match no annotation, exactly or in part."""
+    return detected.join(_hits(truth, detected), ["doc_id", "det_id"], "left_anti")
+
+
+def fuzzy_found(truth: DataFrame, detected: DataFrame) -> DataFrame:
+    """Annotations that some detection matches, exactly or in part."""
+    return truth.join(_hits(truth, detected), ["doc_id", "gt_id"], "left_semi")
 
 
 def outcomes(truth: DataFrame, detected: DataFrame) -> DataFrame:
-    """A row a span of either side: outcome tp (exact), fp or fn, with type, source, points and doc_id."""
-    hits = match_pairs(truth, detected).filter("match_type = 'exact'")
-    tp = hits.select("doc_id", F.col("gt_entity_type").alias("entity_type"), F.col("det_source").alias("source"), F.col("det_points").alias("points"), F.lit("tp").alias("outcome"))
-    fp = detected.join(hits.select("doc_id", F.col("det_det_id").alias("det_id")), ["doc_id", "det_id"], "left_anti")
-    fn = truth.join(hits.select("doc_id", F.col("gt_gt_id").alias("gt_id")), ["doc_id", "gt_id"], "left_anti")
+    """A row a span of either side: outcome tp (exact), fp or fn, with type, source, points and doc_id.
+
+    truth and detected are read twice each: pass stored tables where they are costly.
+    """
+    hits = match_pairs(truth, detected).filter("match_type = 'exact'").select("doc_id", F.col("gt_gt_id").alias("gt_id"), F.col("det_det_id").alias("det_id"))
+    fn = truth.join(hits, ["doc_id", "gt_id"], "left_anti")
+    hit = F.when(F.col("of").isNull(), "fp").otherwise("tp")
+    found = detected.join(hits.withColumnRenamed("gt_id", "of"), ["doc_id", "det_id"], "left")
     none = F.lit(None)
-    return tp.unionByName(fp.select("doc_id", "entity_type", "source", "points", F.lit("fp").alias("outcome"))).unionByName(
+    return found.select("doc_id", "entity_type", "source", "points", hit.alias("outcome")).unionByName(
         fn.select("doc_id", "entity_type", none.cast("string").alias("source"), none.cast("int").alias("points"), F.lit("fn").alias("outcome"))
     )
 

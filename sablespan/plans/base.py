@@ -10,6 +10,7 @@ from sablespan.functions.dialect import DuckSQL
 from sablespan.functions.validators import LADDERS, ladder_sql
 from sablespan.operators.extract import PATTERNS, Pattern, find_spans
 from sablespan.plans.candidates import TEMPLATES, candidates_sql
+from sablespan.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,10 +65,10 @@ BOTH = f"{TRUTH}, detected AS ({DETECTED_SQL.format(truth='truth')})"
 
 #: Detections of two detectors over the candidates, a document each.
 FOUND_SQL = """
-SELECT cand_id AS doc_id, entity_type, t AS text, t, d, greatest(instr(d, t) - 1, 0) AS start_char, greatest(instr(d, t) - 1, 0) + length(t) AS end_char,
+SELECT cand_id AS doc_id, entity_type, t AS text, t, d, start_char, start_char + length(t) AS end_char,
   CAST(60 + cand_id % 36 AS INT) AS points, 'pattern' AS source FROM {candidates} WHERE cand_id % 3 <> 1 AND t <> ''
 UNION ALL
-SELECT cand_id, entity_type, upper(t), t, d, greatest(instr(d, t) - 1, 0) + cand_id % 5, greatest(instr(d, t) - 1, 0) + length(t) + cand_id % 5,
+SELECT cand_id, entity_type, upper(t), t, d, start_char + cand_id % 5, start_char + length(t) + cand_id % 5,
   CAST(50 + cand_id % 41 AS INT), 'ner' FROM {candidates} WHERE cand_id % 3 <> 2 AND t <> ''
 """
 TYPES = list(TEMPLATES)
@@ -105,6 +106,12 @@ def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DETECTED_SQL, truth=truth(spark, sf_dir))
 
 
+def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """truth() and detected(), from one pass over the documents."""
+    rows = stored(truth(spark, sf_dir), "truth")
+    return rows, stored(spark.sql(DETECTED_SQL, truth=rows), "detected")
+
+
 def candidates(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
     # The templates' own braces stand inside string literals.
     sql = candidates_sql(types or TYPES, "@", duck=False).replace("{k}", "{{k}}").replace("FROM @", "FROM {customer}")

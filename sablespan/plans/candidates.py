@@ -122,7 +122,7 @@ TEMPLATES: dict[str, list[tuple[str, str, str]]] = {
 
 
 def candidates_sql(types: list[str], source: str = "customer", duck: bool = True) -> str:
-    """cand_id, entity_type, t, d and source from a table of c_custkey: a row a key and type, in one scan."""
+    """cand_id, entity_type, t, d, source and start_char from a table of c_custkey: a row a key and type, in one scan."""
     quoted = lambda s: "'" + s.replace("'", "’") + "'"
     numbers = ", ".join(map(str, range(len(types))))
     each = f"unnest([{numbers}])" if duck else f"explode(array({numbers}))"
@@ -136,7 +136,8 @@ def candidates_sql(types: list[str], source: str = "customer", duck: bool = True
         return f"replace(CASE kind {' '.join(kinds)} END, '{{k}}', CAST(c_custkey AS STRING))"
 
     names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(types))
-    return (
+    rows = (
         f"SELECT c_custkey * 100 + kind AS cand_id, CASE kind {names} END AS entity_type, {by_type(0)} AS t, {by_type(1)} AS d, {by_type(2)} AS source "
         f"FROM (SELECT c_custkey, {each} AS kind FROM {source}) keys"
     )
+    return f"SELECT *, greatest(instr(d, t) - 1, 0) AS start_char FROM ({rows}) placed"

@@ -8,16 +8,12 @@ from sablespan.operators import ensemble as E
 from sablespan.operators import matching as M
 from sablespan.operators import redact as D
 from sablespan.operators import reports as P
-from sablespan.operators.extract import PATTERNS, Pattern, find_spans
+from sablespan.operators.extract import DATES, PATTERNS, Pattern, find_spans
 from sablespan.plans import base as B
 from sablespan.plans import queries as Z
 from sablespan.plans.base import query, table
 
 LOOSE_EMAIL = Pattern("EMAIL_ADDRESS", "loose", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", 85)
-DATES = [
-    Pattern("DATE_TIME", "numeric_range", r"[0-9]{1,2}/[0-9]{4} *- *(?:[0-9]{1,2}/[0-9]{4}|Present)", 85),
-    Pattern("DATE_TIME", "month_year", r"(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{4}", 85),
-]
 SHARED = ["doc_id", "pattern", "ordinal", "text", "start_char", "end_char"]
 
 

@@ -183,10 +183,22 @@ PAIRS = f"""forms AS (SELECT *, {FORM} AS form FROM found), pairs AS (
   WHERE p.source = 'pattern' AND s.source = 'ner' AND p.start_char <= s.end_char AND s.start_char <= p.end_char)"""
 COMBINED = f"""{PAIRS}, {ROUTES}, combined AS (SELECT doc_id, entity_type, text, start_char, end_char,
   greatest(0, least(10000, pp * pattern_weight + sp * ner_weight))::bigint AS score, 'ensemble' AS source FROM pairs JOIN routing USING (entity_type) WHERE route = 'ensemble')"""
-FULL = f"""{B.VALIDATED}, {COMBINED}, detected AS (
-  SELECT doc_id, entity_type, text, start_char, end_char, points, source FROM analysed
-  WHERE source = 'ner' OR entity_type IN (SELECT entity_type FROM routing WHERE route = 'pattern_primary')
-  UNION ALL SELECT doc_id, entity_type, text, start_char, end_char, (score // 100)::bigint, source FROM combined)"""
+FULL = f"""{B.FOUND}, {PAIRS}, {ROUTES}, weighted AS (
+  SELECT f.*, max(CASE WHEN source = 'ner' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, entity_type) AS has_ner,
+    points * CASE WHEN source = 'pattern' THEN pattern_weight ELSE ner_weight END AS weighted, minimum * 85 AS bar
+  FROM found f JOIN routing USING (entity_type) WHERE entity_type IN ('PHI', 'PROTECTED_CLASS')),
+solo AS (SELECT doc_id, entity_type, text, t, d, start_char, end_char, (weighted // 100)::int AS points, 'ensemble' AS source FROM weighted
+  WHERE weighted >= bar AND NOT (entity_type = 'PROTECTED_CLASS' AND has_ner = 1)),
+through AS (SELECT doc_id, entity_type, text, start_char, end_char, points FROM found WHERE entity_type = 'PROTECTED_CLASS' AND source = 'ner'),
+both_found AS (SELECT p.doc_id, p.entity_type, p.text, p.t, p.d, p.start_char, p.end_char,
+    (greatest(0, least(10000, p.points * pattern_weight + s.points * ner_weight)) // 100)::int AS points, 'ensemble' AS source
+  FROM forms p JOIN forms s ON p.doc_id = s.doc_id AND p.entity_type = s.entity_type AND p.form = s.form JOIN routing r ON r.entity_type = p.entity_type
+  WHERE p.source = 'pattern' AND s.source = 'ner' AND p.start_char <= s.end_char AND s.start_char <= p.end_char AND route = 'ensemble'),
+asked AS (SELECT f.* FROM found f WHERE source = 'ner' OR entity_type IN (SELECT entity_type FROM routing WHERE route = 'pattern_primary')
+  UNION ALL BY NAME SELECT * FROM both_found UNION ALL BY NAME SELECT * FROM solo),
+verdicts AS ({B.verdicts_sql('asked')}), detected AS (
+  SELECT doc_id, entity_type, text, start_char, end_char, (points + adjustment)::bigint AS points, source FROM verdicts WHERE is_valid
+  UNION ALL SELECT doc_id, entity_type, text, start_char, end_char, points::bigint, 'ensemble' FROM through)"""
 
 
 @query(f"WITH {B.FOUND}, {PAIRS} SELECT doc_id, entity_type, start_char::bigint AS start_char, ner_start::bigint AS ner_start FROM pairs")
@@ -200,12 +212,9 @@ def ensemble_combine(spark, sf_dir):
     return E.combined(B.found(spark, sf_dir)).drop("start_char", "end_char")
 
 
-@query(
-    f"""WITH {B.FOUND}, {ROUTES} SELECT doc_id, entity_type, text, points FROM found JOIN routing USING (entity_type) WHERE entity_type IN ('PHI', 'PROTECTED_CLASS')
-      AND (entity_type = 'PROTECTED_CLASS' AND source = 'ner' OR points * CASE WHEN source = 'pattern' THEN pattern_weight ELSE ner_weight END >= minimum * 85)"""
-)
+@query(f"WITH {FULL} SELECT doc_id, entity_type, text, points::bigint AS points, false AS through FROM solo UNION ALL SELECT doc_id, entity_type, text, points::bigint, true FROM through")
 def ensemble_solo(spark, sf_dir):
-    return E.solo(B.found(spark, sf_dir)).select("doc_id", "entity_type", "text", "points")
+    return E.solo(B.found(spark, sf_dir)).select("doc_id", "entity_type", "text", F.col("points").cast("bigint").alias("points"), "through")
 
 
 @query(f"WITH {FULL} SELECT doc_id, entity_type, text, start_char::bigint AS start_char, end_char::bigint AS end_char, points, source FROM detected")
@@ -260,8 +269,22 @@ OVER = """overlap AS (SELECT *, CASE WHEN gt_type = det_type AND gt_form = det_f
     ((least(t.end_char, d.end_char) - greatest(t.start_char, d.start_char)) * 10000 // (greatest(t.end_char, d.end_char) - least(t.start_char, d.start_char)))::bigint AS ratio
   FROM truth t JOIN detected d ON t.doc_id = d.doc_id AND t.start_char < d.end_char AND d.start_char < t.end_char) o)""".format(LOW.format("t.text"), LOW.format("d.text"))
 BEST = "CASE match_type WHEN 'exact' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END, ratio DESC, gt_start, det_start, gt_id, det_id"
-MATCHED = f"""{B.BOTH}, {OVER}, matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, det_id ORDER BY {BEST}) AS dr,
-  row_number() OVER (PARTITION BY doc_id, gt_id ORDER BY {BEST}) AS gr FROM overlap) r WHERE dr = 1 AND gr = 1)"""
+
+
+def _greedy(rounds: int = 6) -> str:
+    """The pairs that are each other's best, then those among the pairs whose sides aren't taken, and so on."""
+    out, rest = [], "overlap"
+    for k in range(rounds):
+        ranked = f"SELECT *, row_number() OVER (PARTITION BY doc_id, det_id ORDER BY {BEST}) AS dr, row_number() OVER (PARTITION BY doc_id, gt_id ORDER BY {BEST}) AS gr FROM {rest}"
+        out.append(f"round{k} AS MATERIALIZED (SELECT * EXCLUDE (dr, gr) FROM ({ranked}) r WHERE dr = 1 AND gr = 1)")
+        taken = " AND ".join(f"NOT EXISTS (SELECT 1 FROM round{k} m WHERE m.doc_id = o.doc_id AND m.{side} = o.{side})" for side in ("gt_id", "det_id"))
+        out.append(f"rest{k} AS MATERIALIZED (SELECT * FROM {rest} o WHERE {taken})")
+        rest = f"rest{k}"
+    union = " UNION ALL ".join(f"SELECT * FROM round{k}" for k in range(rounds))
+    return ", ".join(out) + f", matched AS ({union})"
+
+
+MATCHED = f"{B.BOTH}, {OVER}, {_greedy()}"
 OUTCOMES = f"""{MATCHED}, hits AS (SELECT * FROM matched WHERE match_type = 'exact'), outcomes AS (
   SELECT doc_id, gt_type AS entity_type, source, points, 'tp' AS outcome FROM hits
   UNION ALL SELECT doc_id, entity_type, source, points, 'fp' FROM detected d WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = d.doc_id AND h.det_id = d.det_id)
@@ -272,24 +295,24 @@ RATES = """CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::double ELSE 0.0 END AS pre
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.outcomes(B.truth(spark, sf_dir), B.detected(spark, sf_dir))
+    return M.outcomes(*B.both(spark, sf_dir))
 
 
 @query(f"WITH {B.BOTH}, {OVER} SELECT doc_id, gt_id, det_id, ratio, match_type FROM overlap")
 def overlap_join(spark, sf_dir):
-    pairs = M.overlaps(B.truth(spark, sf_dir), B.detected(spark, sf_dir))
+    pairs = M.overlaps(*B.both(spark, sf_dir))
     return pairs.select("doc_id", F.col("gt_gt_id").alias("gt_id"), F.col("det_det_id").alias("det_id"), "ratio", M.kind(pairs).alias("match_type"))
 
 
 @query(f"WITH {MATCHED} SELECT doc_id, gt_id, det_id, ratio, match_type FROM matched")
 def match_pairs(spark, sf_dir):
-    pairs = M.match_pairs(B.truth(spark, sf_dir), B.detected(spark, sf_dir))
+    pairs = M.match_pairs(*B.both(spark, sf_dir))
     return pairs.select("doc_id", F.col("gt_gt_id").alias("gt_id"), F.col("det_det_id").alias("det_id"), "ratio", "match_type")
 
 
 @query(f"WITH {MATCHED} SELECT match_type, count(*) AS n FROM matched GROUP BY match_type")
 def match_stats(spark, sf_dir):
-    return M.match_pairs(B.truth(spark, sf_dir), B.detected(spark, sf_dir)).groupBy("match_type").agg(F.count("*").alias("n"))
+    return M.match_pairs(*B.both(spark, sf_dir)).groupBy("match_type").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {OUTCOMES}, c AS (SELECT {COUNTS} FROM outcomes) SELECT *, {RATES} FROM c")
@@ -360,7 +383,7 @@ def conf_hist_auto(spark, sf_dir):
 
 @query(f"WITH {B.BOTH} SELECT doc_id, gt_id FROM truth t WHERE EXISTS (SELECT 1 FROM detected d WHERE d.doc_id = t.doc_id AND lower(d.text) = lower(t.text))")
 def text_semi_match(spark, sf_dir):
-    return M.same_text(B.truth(spark, sf_dir), B.detected(spark, sf_dir)).select("doc_id", "gt_id")
+    return M.same_text(*B.both(spark, sf_dir)).select("doc_id", "gt_id")
 
 
 TEXT_PAIRS = "tp AS (SELECT t.doc_id, gt_id, det_id, t.start_char = d.start_char AS placed FROM truth t JOIN detected d ON t.doc_id = d.doc_id AND trim(t.text) = trim(d.text))"
@@ -371,7 +394,7 @@ TEXT_PAIRS = "tp AS (SELECT t.doc_id, gt_id, det_id, t.start_char = d.start_char
     (SELECT count(*) FROM tp) / (SELECT count(*) FROM truth)::double AS recall"""
 )
 def text_pair_match(spark, sf_dir):
-    truth, detected = B.truth(spark, sf_dir), B.detected(spark, sf_dir)
+    truth, detected = B.both(spark, sf_dir)
     one = M.text_pairs(truth, detected).agg(F.count("*").alias("pairs"))
     sides = truth.agg(F.count("*").alias("nt")).join(detected.agg(F.count("*").alias("nd")))  # a row each
     return one.join(sides).select("pairs", (F.col("pairs") / F.col("nd")).alias("precision"), (F.col("pairs") / F.col("nt")).alias("recall"))
@@ -379,17 +402,17 @@ def text_pair_match(spark, sf_dir):
 
 @query(f"WITH {B.BOTH}, {TEXT_PAIRS} SELECT placed, count(*) AS n FROM tp GROUP BY placed")
 def position_mismatch(spark, sf_dir):
-    return M.text_pairs(B.truth(spark, sf_dir), B.detected(spark, sf_dir)).groupBy("placed").agg(F.count("*").alias("n"))
+    return M.text_pairs(*B.both(spark, sf_dir)).groupBy("placed").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {B.BOTH} SELECT doc_id, gt_id, text FROM truth t WHERE NOT EXISTS (SELECT 1 FROM detected d WHERE d.doc_id = t.doc_id AND trim(d.text) = trim(t.text))")
 def missed_entities(spark, sf_dir):
-    return M.unmatched(B.truth(spark, sf_dir), B.detected(spark, sf_dir)).select("doc_id", "gt_id", "text")
+    return M.unmatched(*B.both(spark, sf_dir)).select("doc_id", "gt_id", "text")
 
 
 @query(f"WITH {B.BOTH} SELECT doc_id, det_id, text FROM detected d WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE d.doc_id = t.doc_id AND trim(d.text) = trim(t.text))")
 def extra_entities(spark, sf_dir):
-    return M.unmatched(B.detected(spark, sf_dir), B.truth(spark, sf_dir)).select("doc_id", "det_id", "text")
+    return M.unmatched(*B.both(spark, sf_dir)[::-1]).select("doc_id", "det_id", "text")
 
 
 @query(
@@ -397,7 +420,7 @@ def extra_entities(spark, sf_dir):
     UNION ALL SELECT 'extra', low FROM (SELECT lower(text) AS low FROM detected EXCEPT SELECT lower(text) FROM truth)"""
 )
 def text_differences(spark, sf_dir):
-    t, d = (x.select(F.lower("text").alias("low")) for x in (B.truth(spark, sf_dir), B.detected(spark, sf_dir)))
+    t, d = (x.select(F.lower("text").alias("low")) for x in B.both(spark, sf_dir))
     missed, extra = t.exceptAll(d.distinct()).distinct().subtract(d), d.subtract(t)
     return missed.select(F.lit("missed").alias("side"), "low").unionByName(extra.select(F.lit("extra").alias("side"), "low"))
 
@@ -469,7 +492,7 @@ def fp_flags(spark, sf_dir):
       CASE WHEN NOT regexp_matches(text, '[0-9]') THEN 'no_digit' END, CASE WHEN len(string_split_regex(trim(text), '\\s+')) > 3 THEN 'many_words' END) AS causes FROM m"""
 )
 def miss_causes(spark, sf_dir):
-    missed = M.unmatched(B.truth(spark, sf_dir), B.detected(spark, sf_dir))
+    missed = M.unmatched(*B.both(spark, sf_dir))
     return A.miss_causes(missed).select("doc_id", "gt_id", "causes")
 
 

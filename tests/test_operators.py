@@ -47,7 +47,7 @@ def test_validators(spark):
         own = [c for c in CASES if c[0] == kind]
         if not own:
             continue
-        rows = spark.createDataFrame([(i, c[1], c[2], "pattern") for i, c in enumerate(own)], "i int, t string, d string, source string")
+        rows = spark.createDataFrame([(i, c[1], c[2], "pattern", max(c[2].find(c[1]), 0)) for i, c in enumerate(own)], "i int, t string, d string, source string, start_char int")
         for r in rows.select("i", verdict(kind).alias("v")).collect():
             _, text, _, valid, least = own[r["i"]]
             assert r["v"]["is_valid"] == valid, text
