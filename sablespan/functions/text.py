@@ -19,6 +19,14 @@ def redactor_form(text: Column, preserve: str = "") -> Column:
     return F.trim(F.regexp_replace(kept, r"\s+", " "))
 
 
+def domain_form(text: Column, domain: Column, preserve: dict[str, str]) -> Column:
+    """redactor_form() that keeps the further characters of the row's domain; other domains keep none."""
+    out = redactor_form(text)
+    for name, kept in preserve.items():
+        out = F.when(domain == name, redactor_form(text, kept)).otherwise(out)
+    return out
+
+
 def prepared(text: Column) -> Column:
     """White space at the ends removed and runs of it made one space."""
     return F.trim(F.regexp_replace(text, r"[\s]+", " "))

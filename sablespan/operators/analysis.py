@@ -107,3 +107,59 @@ def rule_counts(found: DataFrame) -> DataFrame:
     """How often each reason applied, and for how many types."""
     reasons = found.select("entity_type", F.explode(F.split("reasons", r"\|")).alias("reason")).filter("reason != ''")
     return reasons.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("entity_type").alias("types"))
+
+
+def adjustments(found: DataFrame) -> DataFrame:
+    """Rows, and the sums of all, of positive and of negative adjustments, by type, by detector and over all."""
+    change = (F.col("points") - F.col("original_points")).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    return found.groupingSets([["entity_type"], ["source"], []], "entity_type", "source").agg(
+        F.count("*").alias("n"),
+        F.sum(change).alias("total"),
+        F.sum(F.greatest(change, zero)).alias("positive"),
+        F.sum(F.least(change, zero)).alias("negative"),
+    )
+
+
+def detector_report(found: DataFrame) -> DataFrame:
+    """By detector: rows, the sum of points, improvements and reductions, and rows in each fifth of 0 to 100."""
+    change = F.col("points") - F.col("original_points")
+    fifth = F.when((F.col("points") >= 0) & (F.col("points") < 100), F.floor(F.col("points") / 20))
+    return found.groupBy("source").agg(
+        F.count("*").alias("n"),
+        F.sum(F.col("points").cast("bigint")).alias("points"),
+        F.count_if(change > 0).alias("improved"),
+        F.count_if(change < 0).alias("reduced"),
+        *[F.count_if(fifth == k).alias(f"b{k}") for k in range(5)],
+    )
+
+
+def false_positive_causes(found: DataFrame, routing: DataFrame, terms: dict[str, list[str]], context: list[str]) -> DataFrame:
+    """Detections with likely causes of a false positive, joined by `|`: a core term of the type in the text, a confidence
+    less than ten above the type's threshold, a context word in the text."""
+    low = F.lower("text")
+    core = F.lit(False)
+    for name, words in terms.items():
+        core = core | ((F.col("entity_type") == name) & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))
+    near = F.exists(F.array(*map(F.lit, context)), lambda w: F.contains(low, w))
+    rows = found.join(routing.select("entity_type", "threshold"), "entity_type", "left")
+    marks = F.array_compact(
+        F.array(
+            F.when(core, "core_term"),
+            F.when(F.col("points") < F.coalesce("threshold", F.lit(70)) + 10, "borderline"),
+            F.when(near, "context_word"),
+        )
+    )
+    return rows.withColumn("causes", F.array_join(marks, "|")).drop("threshold")
+
+
+def stages(found: DataFrame, valid: DataFrame, final: DataFrame, entity_type: str) -> DataFrame:
+    """How many rows of a type each stage has: raw, by detector, valid, at or over the threshold, final."""
+    of_type = lambda df: df.filter(F.col("entity_type") == entity_type)
+    named = lambda df, stage: df.select(F.lit(stage).alias("stage"), F.lit(1).alias("one"))
+    rows = [named(of_type(found), "1 raw"), named(of_type(found).filter("source = 'pattern'"), "2 pattern"), named(of_type(found).filter("source = 'ner'"), "3 ner")]
+    rows += [named(of_type(valid), "4 valid"), named(of_type(final), "5 final")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.groupBy("stage").agg(F.count("*").alias("n"))

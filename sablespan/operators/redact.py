@@ -122,6 +122,28 @@ def phrase_boxes(laid: DataFrame, phrases: DataFrame) -> DataFrame:
     )
 
 
+def phrase_boxes_within(laid: DataFrame, phrases: DataFrame) -> DataFrame:
+    """phrase_boxes() of phrases that have a doc_id, each in its own document only: doc_id, phrase and its boxes."""
+    tokens = phrases.select("doc_id", "phrase", F.size(F.split("phrase", " ")).alias("n"), F.posexplode(F.split(F.lower("phrase"), " ")).alias("k", "low"))
+    hits = tokens.join(laid.withColumn("low", F.lower("text")), ["doc_id", "low"]).withColumn("first", F.col("word_no") - F.col("k"))
+    boxes = hits.groupBy("doc_id", "phrase", "first", "n").agg(
+        F.count("*").alias("found"), F.min("x0").alias("x0"), F.min("line").alias("y0"), F.max("x1").alias("x1"), F.max("line").alias("y1")
+    )
+    return boxes.filter(F.col("found") == F.col("n")).drop("found", "n")
+
+
+def first_pages(annotations: DataFrame, pages: DataFrame) -> DataFrame:
+    """Annotations (doc_id, gt_id, text) with the first page of their document that has the text, its place there and in
+    the whole, and needs_review where no page has it."""
+    whole = page_offsets(pages).withColumnRenamed("text", "body")
+    at = F.instr(F.col("body"), F.col("text"))
+    hits = annotations.join(whole, "doc_id").withColumn("at", at).filter("at > 0")
+    first = hits.groupBy("doc_id", "gt_id").agg(F.min(F.struct("page", "at", "before")).alias("hit"))
+    found = annotations.join(first, ["doc_id", "gt_id"], "left")
+    start = (F.col("hit.at") - 1).cast("bigint")
+    return found.select("doc_id", "gt_id", "hit.page", start.alias("start"), (F.col("hit.before") + start).alias("absolute"), F.col("hit").isNull().alias("needs_review"))
+
+
 def context_words(laid: DataFrame, reach: int = 2) -> DataFrame:
     """Each word with the words at most reach places away, in order."""
     frame = Window.partitionBy("doc_id").orderBy("word_no").rowsBetween(-reach, reach)
@@ -164,3 +186,20 @@ def relocated(annotations: DataFrame, docs: DataFrame) -> DataFrame:
     how = F.when(exact > 0, "exact").when(loose > 0, "spaces").when(run.isNotNull(), "prefix").otherwise("missing")
     place = F.when(exact > 0, exact - 1).when(loose > 0, loose - 1).when(run.isNotNull(), F.instr(flat, run) - 1).otherwise(-1)
     return joined.select("doc_id", "gt_id", how.alias("how"), place.cast("bigint").alias("place"))
+
+
+def word_rates(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """words, redacted (words that a span touches) and rate (per cent), by document and over all."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "row"))
+    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    at = lines.select("doc_id", "line", F.coalesce(F.sum(F.length("row") + 1).over(before), F.lit(0)).alias("at"))
+    placed = words(docs).join(at, ["doc_id", "line"]).select("doc_id", "word_no", (F.col("at") + F.col("x0")).alias("a"), (F.col("at") + F.col("x1")).alias("b"))
+    # Words and spans meet by document and block, as spans do elsewhere, so that a long document isn't one key.
+    blocks = lambda first, last: F.explode(F.sequence((first / BLOCK).cast("int"), ((last - 1) / BLOCK).cast("int")))
+    left = placed.select("*", blocks(F.col("a"), F.col("b")).alias("block"))
+    right = spans.select("doc_id", "start_char", "end_char", blocks(F.col("start_char"), F.col("end_char")).alias("block"))
+    hit = left.join(right, ["doc_id", "block"]).filter("a < end_char AND start_char < b").select("doc_id", "word_no").distinct()
+    n = placed.groupBy("doc_id").agg(F.count("*").alias("n"))
+    m = hit.groupBy("doc_id").agg(F.count("*").alias("m"))
+    redacted = F.coalesce(F.sum("m"), F.lit(0)).cast("bigint")
+    return n.join(m, "doc_id", "left").rollup("doc_id").agg(F.sum("n").cast("bigint").alias("words"), redacted.alias("redacted"), (redacted * 100 / F.sum("n")).alias("rate"))

@@ -40,12 +40,48 @@ def correction_counts(relocated: DataFrame) -> DataFrame:
     return relocated.groupBy("how").agg(F.count("*").alias("n"), F.count_if(F.col("place") < 0).alias("needs_review"))
 
 
+def literal_pattern(literal: str):
+    """A pattern that matches just this text."""
+    from sablespan.operators.extract import Pattern
+
+    return Pattern("LITERAL", "literal", "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in literal), 100)
+
+
 def occurrences(docs: DataFrame, literal: str) -> DataFrame:
     """Every place of a literal in the documents, with its number in the document."""
-    from sablespan.operators.extract import Pattern, find_spans
+    from sablespan.operators.extract import find_spans
+
+    return find_spans(docs, [literal_pattern(literal)]).select("doc_id", "ordinal", "start_char", "end_char")
+
+
+def from_json(rows: DataFrame, schema: str, key: str = "doc_id") -> DataFrame:
+    """key and the columns of as_json()'s objects."""
+    return rows.select(key, F.from_json("json", schema).alias("j")).select(key, "j.*")
+
+
+def single_reports(analysed: DataFrame) -> DataFrame:
+    """analysed with report, a line of text on each entity."""
+    reasons = F.when(F.col("reasons") != "", F.concat(F.lit(" because="), F.col("reasons"))).otherwise("")
+    points = F.concat(F.col("original_points").cast("string"), F.lit(">"), F.col("points").cast("string"))
+    return analysed.withColumn("report", F.concat(F.lit("type="), F.col("entity_type"), F.lit(" points="), points, reasons))
+
+
+def batch_summary(analysed: DataFrame) -> DataFrame:
+    """kind, name and n: how many entities there are of each type, each detector and each fifth of the confidence."""
+    fifth = F.when((F.col("points") >= 0) & (F.col("points") < 100), F.floor(F.col("points") / 20).cast("string"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("name")) for k, c in (("type", F.col("entity_type")), ("source", F.col("source")), ("bucket", fifth))])
+    return analysed.select(F.inline(kinds)).filter("name IS NOT NULL").groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+def listing(found: DataFrame, least: dict[str, int]) -> DataFrame:
+    """found with words, the number of a text's words, and enough, whether its type asks for no more."""
+    from sablespan.functions.text import word_count
 
-    quoted = "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in literal)
-    return find_spans(docs, [Pattern("LITERAL", "literal", quoted, 100)]).select("doc_id", "ordinal", "start_char", "end_char")
+    asked = F.lit(0)
+    for name, n in least.items():
+        asked = F.when(F.col("entity_type") == name, n).otherwise(asked)
+    words = word_count(F.col("text")).cast("bigint")
+    return found.withColumn("words", words).withColumn("enough", words >= asked)
 
 
 def source_analysis(found: DataFrame) -> DataFrame:

@@ -34,10 +34,10 @@ def date_spans(spark, sf_dir):
     return find_spans(docs, DATES, text="d", key="cand_id").select("cand_id", "pattern", "ordinal", "text", "start_char")
 
 
-@query(f"{Z.BENCH} SELECT doc_id, word_no, text FROM words WHERE regexp_matches(text, '^[A-Z][a-z]{{5,}}$')")
+@query(f"{Z.LAID} SELECT doc_id, word_no, text FROM words WHERE regexp_matches(text, '^[A-Z][a-z]{{5,}}$')")
 def word_detections(spark, sf_dir):
     """Words that look like names, by their shape alone."""
-    return Z._bench_words(spark, sf_dir).filter(F.col("text").rlike("^[A-Z][a-z]{5,}$")).select("doc_id", "word_no", "text")
+    return Z.laid_words(spark, sf_dir).filter(F.col("text").rlike("^[A-Z][a-z]{5,}$")).select("doc_id", "word_no", "text")
 
 
 @query(

@@ -8,6 +8,7 @@ import pytest
 
 from sablespan.plans import base
 from sablespan.plans import more as _registered  # noqa: F401
+from sablespan.plans import wider as _wider  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
