@@ -474,7 +474,8 @@ def base(text):
 
 
 def test_personal_data(docs, odd, none):
-    from sablespan.llm.private import default_chain, find_spans, labelled_table, mask_personal_data, personal_data, spans_table
+    from sablespan.llm import private_table
+    from sablespan.llm.private import KINDS, default_chain, find_spans, generated_table, mask_personal_data, personal_data, spans_table
 
     chain = default_chain()
     for df in (docs, odd):
@@ -488,16 +489,154 @@ def test_personal_data(docs, odd, none):
             assert [r[f"n_{k}"] for k in PATTERNS] == [sum(s.startswith(k) for s in want) for k in PATTERNS]
     for text in ("a@b@c.d x@y.z..q 1.2.3.4.5.6.7.8 256.1.1.1 1.2.3.004", "9" * 40 + ".1.2.3 +1+1 (22) 3333-44", "a" * 9000 + "@" + "1" * 9000):
         assert [f"{k}:{a}:{b}" for k, a, b in [(list(PATTERNS)[k], a, b) for k, a, b in find_spans([text], chain)[0][0]]] == base(text)
-    table = labelled_table(seed=11, rows=80)
+    table = generated_table(seed=11, rows=80)
     found = [set(every) for _, every in find_spans([t for t, _ in table], chain)]
-    wrong = sum(len(f ^ set(g)) for f, (_, g) in zip(found, table))
-    assert wrong <= 4
+    wrong, spans = sum(len(f ^ set(g)) for f, (_, g) in zip(found, table)), sum(len(g) for _, g in table)
+    assert wrong <= 0.15 * spans
+    assert sum(s[0] < 4 for f, (_, g) in zip(found, table) for s in f ^ set(g)) <= 4  # the kinds of base spans
+    # Lines written by hand that weren't learned from, in contexts and forms of their own.
+    lines = private_table.table(KINDS, held_out=True)
+    found = [set(every) for _, every in find_spans([t for t, _ in lines], chain)]
+    right = sum(len(f & set(g)) for f, (_, g) in zip(found, lines))
+    assert right >= 0.85 * sum(map(len, found)) and right >= 0.7 * sum(len(g) for _, g in lines)
     masked = {r["doc_id"]: r["text"] for r in mask_personal_data(odd, chain).collect()}
     assert masked[7] == "mail [email] or [phone], [ip], [card]!" and masked[2] is None
     assert spans_table(personal_data(odd, chain)).count() == 4
     assert personal_data(none, chain).count() == 0
 
 
+def test_field_equals_enumeration():
+    """Viterbi's paths and the expected counts that the gradient is made of, against all paths of short sequences."""
+    import itertools
+
+    from sablespan.llm.private import TAGS, Chain
+
+    rng, s = np.random.default_rng(5), len(TAGS)
+    names = [f"f{i}" for i in range(6)]
+    chain = Chain({n: i for i, n in enumerate(names)}, np.r_[rng.standard_normal((6, s)), np.zeros((1, s))], rng.standard_normal((s, s)), rng.standard_normal(s))
+    rows = [[[names[i] for i in rng.integers(0, 6, 2)] for _ in range(n)] for n in (1, 2, 3, 3)]
+    feats, live = np.full((4, 3, 2), 6), np.zeros((4, 3), bool)
+    want = [np.zeros((7, s)), np.zeros((s, s)), np.zeros(s)]
+    for k, r in enumerate(rows):
+        feats[k, : len(r)], live[k, : len(r)] = [[chain.index[f] for f in t] for t in r], True
+        score = np.array([sum(chain.emit[chain.index[f]] for f in t) for t in r])
+        paths = list(itertools.product(range(s), repeat=len(r)))
+        value = np.array([chain.begin[p[0]] + sum(score[i, t] for i, t in enumerate(p)) + sum(chain.step[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        assert tuple(chain.decode([r])[0].tolist()) == paths[int(value.argmax())]
+        weight = np.exp(value - value.max())
+        for p, w in zip(paths, weight / weight.sum()):
+            want[2][p[0]] += w
+            for i, t in enumerate(p):
+                for f in r[i]:
+                    want[0][chain.index[f], t] += w
+            for x, y in zip(p, p[1:]):
+                want[1][x, y] += w
+    assert [d.tolist() for d in chain.decode(rows)] == [chain.decode([r])[0].tolist() for r in rows]
+    for got, expected in zip(Chain._expected(feats, live, [chain.emit.copy(), chain.step, chain.begin]), want):
+        assert np.allclose(got, expected)
+
+
+def test_long_words_and_long_sequences():
+    from sablespan.llm import private as V
+
+    chain = V.default_chain()
+    phone = "call (212) 555-0147 now"
+    for text in (phone, "x1" * 3000 + " and words, then " + phone, phone + " and words, then " + "9@" * 3000, "7 " * 30_000 + "so " * 9 + phone):
+        base, every = V.find_spans([text], chain)[0]
+        at = text.index("(212)")
+        assert (3, at, at + 14) in every, text[:40]
+    # A sequence in pieces gives what it gives in one.
+    text = " ".join(f"word call (212) 555-0{100 + i} 12 so 7." for i in range(200))
+    one = V.find_spans([text], chain)[0][1]
+    piece, V.PIECE = V.PIECE, 100
+    try:
+        assert V.find_spans([text], chain)[0][1] == one and len(one) == 200
+    finally:
+        V.PIECE = piece
+
+
+def test_documents_by_random_access(spark, docs, tmp_path):
+    import public_tokenizers
+
+    from sablespan.llm.token_output import BLOCKS, read_documents, write_tokens
+
+    whole, path = encoded("word_bpe_49k.json"), public_tokenizers.path("word_bpe_49k.json")
+    write_tokens(docs.repartition(3), str(tmp_path / "t"), path, 2, block_ids=5000)
+    blocks = spark.read.schema(BLOCKS).parquet(str(tmp_path / "t"))
+    wanted = docs.filter("doc_id % 7 = 3").select("doc_id")
+    got = {r["doc_id"]: r["ids"] for r in read_documents(blocks, wanted).collect()}
+    known = texts(docs)
+    assert got == {k: [*whole(v), 2] for k, v in known.items() if k % 7 == 3} and blocks.count() > 3
+
+
+def test_tokens_of_shared_ids(spark):
+    """Rows of one id or of none needn't be one task's, and offsets still follow each other."""
+    import public_tokenizers
+
+    from sablespan.llm.token_output import token_output
+
+    rows = [(None if i % 3 else 5, f"text number {i} of many") for i in range(300)]
+    got = sorted(token_output(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).collect(), key=lambda r: r["start"])
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+    assert [r["doc_id"] for r in got] == [None] * 200 + [5] * 100
+
+
+def test_ordinal_gradient():
+    from sablespan.llm.quality import loss_and_gradient
+
+    rng = np.random.default_rng(6)
+    grades, row, index = rng.integers(0, 3, 30), np.repeat(np.arange(30), 3), rng.integers(0, 5, 90)
+    free = np.r_[-0.3, 0.2, rng.standard_normal(5)]
+    _, gradient = loss_and_gradient(free, row, index, grades)
+    for i in range(len(free)):
+        step = np.zeros(len(free))
+        step[i] = 1e-6
+        slope = (loss_and_gradient(free + step, row, index, grades)[0] - loss_and_gradient(free - step, row, index, grades)[0]) / 2e-6
+        assert abs(slope - gradient[i]) < 1e-6
+
+
+def test_shared_slots_count_once(spark):
+    from sablespan.llm.quality import BITS, CumulativeLink, score_quality, slot, slots
+
+    first = {}
+    a, b = next((first[slot(w)], w) for w in (f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(400_000)) if first.setdefault(slot(w), w) != w)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[slot(a)] = 1.0
+    model = CumulativeLink(weights, np.array([0.0, 1.0]))
+    rows = score_quality(spark.createDataFrame([(1, a), (2, f"{a} {b}"), (2, f"{a} {b}"), (3, None)], "doc_id long, text string"), model).collect()
+    assert slots(a + " " + b).tolist().count(slot(a)) == 1
+    by = {r["doc_id"]: r["p_1"] for r in rows}
+    assert len(rows) == 4 and abs(by[1] - by[2]) < 1e-12 and by[3] < by[1]
+
+
+def test_code_decoding_equals_a_plain_loop():
+    from sablespan.llm.language import OutputCodes, codewords
+
+    rng = np.random.default_rng(7)
+    code = codewords(6)
+    model = OutputCodes(list("abcdef"), code, rng.standard_normal((33, code.shape[1])), rng.uniform(0.1, 1, code.shape[1]))
+    x = rng.uniform(0, 1, (10, 32))
+    for row, p in zip(x, model.probabilities(x)):
+        margin = [sum(row[i] * model.weights[i, b] for i in range(32)) + 0.3 * model.weights[32, b] for b in range(code.shape[1])]
+        loss = [sum(np.log(1 + np.exp(-m * c)) * t for m, c, t in zip(margin, word, model.trust)) for word in code]
+        e = np.exp(min(loss) - np.array(loss))
+        assert np.allclose(p, e / e.sum())
+    many = codewords(500)
+    assert len({tuple(r) for r in many.tolist()}) == 500
+
+
+def test_pieces_of_repeated_rows_spread(spark, monkeypatch):
+    import public_tokenizers
+
+    from sablespan.llm import packing
+
+    rows = spark.createDataFrame([(1, "the same words in each row")] * 400, "doc_id long, text string")
+    cut_up = packing.stored(packing.pieces(rows, public_tokenizers.path("byte_bpe_50k.json")).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    got = packing.pack_pieces(cut_up, group=50)
+    groups = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()]
+    assert sum(groups) == 400 and max(groups) < 100
+
+
 def test_pipeline(spark, sf_dir, odd):
     import corpus_pipeline as P
 
