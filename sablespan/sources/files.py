@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sablespan.sources import pdf
+
 
 def catalogue(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """folder, file_name, path and size of the files below a path; contents aren't read."""
@@ -26,10 +28,10 @@ def valid_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(is_pdf(F.col("content"))).select("path", "content")
 
 
-def extracted_text(files: DataFrame, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
+def extracted_text(files: DataFrame, pages_of: Callable[[bytes], list[str]] = pdf.pages) -> DataFrame:
     """path, page (from 1) and text of each page, by a function from a file's bytes to its pages' texts.
 
-    No PDF library is required: any that is installed on the executors can be passed in.
+    The default reads plain PDF files; any PDF library on the executors can be passed in.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,6 +64,17 @@ def anonymous_names(files: DataFrame, name: str = "file_name") -> DataFrame:
     return numbered.join(bases, "part").select(F.format_string("confidential_%03d.pdf", number).alias("anon_name"), "orig_name")
 
 
+def as_pdf(redacted: DataFrame) -> DataFrame:
+    """doc_id and content, a PDF file, of redacted texts (doc_id, redacted); masked characters become black boxes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pdf.document(t or "") for t in batch.column("redacted").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "content"])
+
+    return redacted.select("doc_id", "redacted").mapInArrow(work, "doc_id bigint, content binary")
+
+
 def write_run(metrics: DataFrame, path: str) -> None:
     """Run metrics, a folder a run, so that reading one run reads only its own."""
     metrics.write.partitionBy("run_id").mode("append").parquet(path)
