@@ -20,7 +20,7 @@ FOUND = [
     ("ADDRESS", "Lives at 12 West Oak Street, Apt 4.", ["12 West Oak Street", "Apt 4"]),
     ("ADDRESS", "12 oaks and a stone", []),
     ("OTHER_ID", "SSN 219-09-9999, passport number X1234567", ["219-09-9999", "passport number X1234567"]),
-    ("EDUCATIONAL_INSTITUTION", "At Riverside University and MIT in May", ["Riverside University", "MIT"]),
+    ("EDUCATIONAL_INSTITUTION", "from Riverside University and MIT in May", ["Riverside University", "MIT"]),
     ("EDUCATIONAL_INSTITUTION", "the summit of learning", []),
     ("PHI", "Diagnosed with asthma, 70% disabled", ["Diagnosed with asthma", "asthma", "70% disabled"]),
     ("PROTECTED_CLASS", "Pronouns: she/her; Women in Physics, Hindu Students", ["Pronouns: she/her", "Women in Physics", "Hindu Students"]),
