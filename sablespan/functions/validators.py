@@ -230,24 +230,20 @@ def verdict(entity_type: str) -> Column:
     """STRUCT<is_valid, points, reasons> for an entity of this type, over columns t, d, start_char and source.
 
     The arm that ends the ladder is worked out once and bound by transform() over an array of one, so that the
-    expression grows with the number of arms and not with its square.
+    expression grows with the number of arms and not with its square. It is parsed from SQL as a whole: built of
+    columns it would take a call to the JVM for each operator of each arm.
     """
     if entity_type not in LADDERS:
-        return F.struct(F.lit(True).alias("is_valid"), F.lit(0).cast("bigint").alias("points"), F.lit("").alias("reasons"))
+        return F.expr("named_struct('is_valid', true, 'points', 0L, 'reasons', '')")
     arms = LADDERS[entity_type](SparkSQL())
-    stop = "CASE " + " ".join(f"WHEN {a.when} THEN {i}" for i, a in enumerate(arms) if a.verdict is not None) + " END"
-
-    def outcome(end: Column) -> Column:
-        passed = [end == i if a.verdict is not None else F.expr(a.when) & (end > i) for i, a in enumerate(arms)]
-        valid = F.coalesce(*[F.when(end == i, F.lit(a.verdict)) for i, a in enumerate(arms) if a.verdict is not None])
-        points = F.lit(0)
-        for p, a in zip(passed, arms, strict=True):
-            if a.points:
-                points = points + F.when(p, a.points).otherwise(0)
-        reasons = F.concat_ws("|", *[F.when(p, F.lit(a.reason)) for p, a in zip(passed, arms, strict=True)])
-        return F.struct(valid.alias("is_valid"), points.cast("bigint").alias("points"), reasons.alias("reasons"))
-
-    return F.element_at(F.transform(F.array(F.expr(stop)), outcome), 1)
+    ends = [i for i, a in enumerate(arms) if a.verdict is not None]
+    stop = "CASE " + " ".join(f"WHEN {arms[i].when} THEN {i}" for i in ends) + " END"
+    passed = [f"ending = {i}" if a.verdict is not None else f"({a.when}) AND ending > {i}" for i, a in enumerate(arms)]
+    valid = "CASE ending " + " ".join(f"WHEN {i} THEN {str(arms[i].verdict).lower()}" for i in ends) + " END"
+    points = " + ".join(["0", *(f"CASE WHEN {p} THEN {a.points} ELSE 0 END" for p, a in zip(passed, arms, strict=True) if a.points)])
+    reasons = ", ".join(f"CASE WHEN {p} THEN '{a.reason}' END" for p, a in zip(passed, arms, strict=True))
+    out = f"named_struct('is_valid', {valid}, 'points', CAST({points} AS BIGINT), 'reasons', concat_ws('|', {reasons}))"
+    return F.expr(f"element_at(transform(array({stop}), ending -> {out}), 1)")
 
 
 def dispatch(entity_type: Column) -> Column:
