@@ -75,13 +75,32 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sablespan.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sablespan.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sablespan.llm.conversations import damaged, repaired
+
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     from sablespan.llm.embeddings import EMBEDDINGS_SQL
+    from sablespan.llm.hard_negatives import HARD_NEGATIVES_SQL
     from sablespan.llm.mixing import MIXING_SQL
     from sablespan.llm.topk import TOPK_SQL
 
-    return {"op2_embedding_caps": EMBEDDINGS_SQL, "op3_mix_sources": MIXING_SQL, "op4_top_k": TOPK_SQL}
+    return {"op2_embedding_caps": EMBEDDINGS_SQL, "op3_mix_sources": MIXING_SQL, "op4_top_k": TOPK_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL}

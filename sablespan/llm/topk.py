@@ -35,11 +35,11 @@ EXACT = 1 << 53
 SCORES = "query bigint, query_id bigint, vec_id bigint, score bigint"
 
 
-def quantized(vectors: DataFrame, factor: int) -> DataFrame:
-    """row (a number of its own), vec_id, v (floor(factor * x) for each component), length and dims of the vectors that take part."""
+def quantized(vectors: DataFrame, factor: int, *keep: str) -> DataFrame:
+    """row (a number of its own), vec_id, v (floor(factor * x) for each component), length, dims and keep of the vectors that take part."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * factor).cast("bigint"))
-    good = vectors.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~bad).select("vec_id", v.alias("v"))
+    good = vectors.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~bad).select("vec_id", v.alias("v"), *keep)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     return good.withColumn("length", length).withColumn("dims", F.size("v")).withColumn("row", F.monotonically_increasing_id())
 
