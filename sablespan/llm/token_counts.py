@@ -7,9 +7,10 @@ scan gives each document's pre-token frequencies, which meet the counts by joins
 
 Pre-tokens follow a law of few common and many rare ones, so a plain join would send most rows to a few keys.
 A pre-token that makes up at least one in HOT of all occurrences is common: there can't be more than HOT of them,
-and none is written with more than 65 bytes, so they are broadcast, and a document's common
+two numbers each, so they are broadcast, and a document's common
 pre-tokens are summed before anything is shuffled.  Its rare ones are counted by pre-token and joined by shuffle;
-none of their keys has as many rows as one in HOT of all occurrences.
+none of their keys has as many rows as one in HOT of all occurrences.  Pre-tokens go by a 64-bit hash: all of the
+corpus are known, so those that share a hash but not the number of tokens are found, and go by their text.
 
 Texts are cut in the JVM.  Texts with characters that Java's tables of letters, digits and spaces may have
 otherwise than the library's, or with strings of special tokens, are cut by the library itself.
@@ -34,12 +35,16 @@ from pyspark.sql import functions as F
 from sablespan.llm.common import mapped, stored, text_batches, worker_state
 from sablespan.llm.tokens import byte_letters
 
-#: The most pre-tokens that are broadcast; the longest that stands for itself as a key, in characters.
-HOT, LONGEST = 100_000, 16
+#: The most pre-tokens that are broadcast.
+HOT = 500_000
 #: Rows of an Arrow batch.
 BATCH = 65_536
 #: Characters whose kind (letter, digit, space, other) all libraries agree on: each was compared.
 SURE = r"\x{0}-\x{52F}\x{590}-\x{74F}\x{900}-\x{BFF}\x{1E00}-\x{206F}\x{2100}-\x{2BFF}\x{2E80}-\x{9FFC}\x{AC00}-\x{D7A3}\x{FB00}-\x{FFFD}\x{1F300}-\x{1FAFF}"
+#: A pre-token is a contraction or a run of letters, digits, signs or spaces, all but spaces with one space before
+#: them; the last space before a word is the word's. Runs come first as they are most, and are possessive.
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+CUT = rf" ?\p{{L}}++|'(?:[stmd]|re|ve|ll)| ?[^{SPACE}\p{{L}}\p{{N}}]++| ?\p{{N}}++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
 class PreTokens:
@@ -93,12 +98,10 @@ def occurrences(docs: DataFrame, path: str) -> DataFrame:
 
     A text without any has one row, whose piece is null.
     """
-    import public_tokenizers
-
     hard = "|".join([f"[^{SURE}]", *map(_quoted, PreTokens(path).special)])
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_bytes, F.coalesce("text", F.lit("")).alias("text"))
-    pieces = F.regexp_extract_all("text", F.lit("(?U)" + public_tokenizers.PATTERN), F.lit(0))
+    pieces = F.regexp_extract_all("text", F.lit(CUT), F.lit(0))
     easy = rows.filter(~F.col("text").rlike(hard)).select("row", "doc_id", "n_bytes", F.explode_outer(pieces).alias("piece"), F.lit(1).cast("bigint").alias("n"))
 
     names = easy.columns
@@ -130,9 +133,17 @@ def distinct_pieces(found: DataFrame, path: str) -> DataFrame:
     return mapped(times, counted, "piece string, times bigint, tokens bigint")
 
 
-def _key(piece: Column) -> Column:
-    """The pre-token, or for a long one a mark and a digest, which no pre-token looks like."""
-    return F.when(F.length(piece) > LONGEST, F.concat(F.lit("#"), F.sha2(piece, 256))).otherwise(piece)
+def numbered(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """number, times and tokens by 64-bit hash; and the pre-tokens (piece, tokens) whose hash another one with
+    other tokens has, which go by their text."""
+    by_number = pieces.groupBy(_number(F.col("piece")).alias("number")).agg(F.sum("times").alias("times"), F.max("tokens").alias("tokens"), F.min("tokens").alias("least"))
+    clash = by_number.filter(F.col("tokens") != F.col("least")).select("number")
+    named = pieces.withColumn("number", _number(F.col("piece"))).join(clash, "number", "left_semi").select("piece", "tokens")
+    return by_number.filter(F.col("tokens") == F.col("least")).drop("least"), named
+
+
+def _number(piece: Column) -> Column:
+    return F.xxhash64(piece)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, hot: int | None = None) -> DataFrame:
@@ -140,16 +151,21 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, hot: int | None
     hot = HOT if hot is None else hot
     found = occurrences(docs.select("doc_id", "text"), path)
     pieces = stored(distinct_pieces(found, path), "pieces")
-    keyed = pieces.select(_key(F.col("piece")).alias("key"), "times", "tokens")
+    counts, named = numbered(pieces)
+    counts = stored(counts, "counts")
     total = pieces.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    common = keyed.filter(F.col("times") * F.lit(hot) >= F.lit(total)).select("key", "tokens")  # hot rows at most
+    common = counts.filter(F.col("times") * F.lit(hot) >= F.lit(total)).select("number", "tokens")  # hot rows at most
 
     ids = ["row", "doc_id", "n_bytes"]
-    met = found.withColumn("key", _key(F.col("piece"))).join(F.broadcast(common), "key", "left")
-    rare = F.when(F.col("tokens").isNull(), F.col("key")).alias("rare")
+    met = found.withColumn("number", F.when(F.col("piece").isNotNull(), _number(F.col("piece")))).join(F.broadcast(common), "number", "left")
+    if n := named.count():
+        if n > hot:
+            raise ValueError(f"{n} pre-tokens share a hash with another")
+        met = met.join(F.broadcast(named.withColumnRenamed("tokens", "own")), "piece", "left").withColumn("tokens", F.coalesce("own", "tokens"))
+    rare = F.when(F.col("tokens").isNull(), F.col("number")).alias("rare")
     known = F.sum(F.col("n") * F.coalesce("tokens", F.lit(0))).alias("known")
     sums = stored(met.groupBy(*ids, rare).agg(known, F.sum("n").alias("n")), "sums")
     own = sums.filter("rare IS NULL").select(*ids, F.col("known").alias("tokens"))
-    others = sums.filter("rare IS NOT NULL").join(keyed, F.col("rare") == F.col("key")).select(*ids, (F.col("n") * F.col("tokens")).alias("tokens"))
+    others = sums.filter("rare IS NOT NULL").join(counts, F.col("rare") == F.col("number")).select(*ids, (F.col("n") * F.col("tokens")).alias("tokens"))
     every = own.unionByName(others).groupBy(*ids).agg(F.sum("tokens").alias("n_tokens"))
     return every.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

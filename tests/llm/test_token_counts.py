@@ -48,9 +48,19 @@ def test_sure_characters_are_cut_alike(spark):
     sure = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", T.SURE)]
     every = [chr(c) for a, b in sure for c in range(a, b + 1) if not 0xD800 <= c < 0xE000]
     texts = [f"a{c}1{c}!{c} b{c}{c}c {c} {c}" for c in every]
-    pattern = F.lit("(?U)" + public_tokenizers.PATTERN)
+    pattern = F.lit(T.CUT)
     df = spark.createDataFrame([("".join(texts[i : i + 500]), i) for i in range(0, len(texts), 500)], "s string, i int")
     got = {r["i"]: r["n"] for r in df.select("i", F.transform(F.regexp_extract_all("s", pattern, F.lit(0)), lambda x: F.length(x)).alias("n")).collect()}
     cut = Tokenizer.from_file(PATH).pre_tokenizer
     for i in range(0, len(texts), 500):
         assert got[i] == [b - a for _, (a, b) in cut.pre_tokenize_str("".join(texts[i : i + 500]))], i
+
+
+def test_shared_hashes(spark, monkeypatch):
+    """Pre-tokens that share a hash go by their text."""
+    monkeypatch.setattr(T, "_number", lambda piece: F.length(piece).cast("bigint"))
+    whole = Tokenizer.from_file(PATH)
+    docs = spark.createDataFrame([(1, "the cat qzx xqz it's done", "z"), (2, "dog fog zqj", "z")], SCHEMA)
+    for hot in (20, 10**6):
+        got = {r["doc_id"]: r["n_tokens"] for r in T.token_counts(docs, PATH, hot=hot).collect()}
+        assert got == {r["doc_id"]: plain(r["text"], whole) for r in docs.collect()}
