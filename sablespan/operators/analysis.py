@@ -85,14 +85,21 @@ def indicators(text: Column) -> dict[str, Column]:
     return {"positive": count(POSITIVE), "negative": count(NEGATIVE), "software": count(SOFTWARE)}
 
 
-def detector_statistics(found: DataFrame, examples: int = 5) -> DataFrame:
+def examples(rows: DataFrame, keys: list[str], order: list[str], n: int, text: str = "text") -> DataFrame:
+    """keys and examples: the texts of a group's first n rows by order, joined.
+
+    Each task keeps n rows of a group, and only those meet, so a group of any size sends n rows a task.
+    """
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n)
+    return ranked.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.struct("_n", text)))[text], "|").alias("examples"))
+
+
+def detector_statistics(found: DataFrame, most: int = 5) -> DataFrame:
     """By source and type: rows, mean points, and the first distinct texts by code point."""
-    ranked = found.select("source", "entity_type", "text").distinct()
-    order = Window.partitionBy("source", "entity_type").orderBy("text")
-    some = ranked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= examples)
-    some = some.groupBy("source", "entity_type").agg(F.array_join(F.array_sort(F.collect_list("text")), "|").alias("examples"))
-    sums = found.groupBy("source", "entity_type").agg(F.count("*").alias("n"), F.sum(F.col("points").cast("bigint")).alias("points"))
-    return sums.join(some, ["source", "entity_type"])
+    keys = ["source", "entity_type"]
+    some = examples(found.select(*keys, "text").distinct(), keys, ["text"], most)
+    sums = found.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("points").cast("bigint")).alias("points"))
+    return sums.join(some, keys)
 
 
 def impact(found: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ same, with points and source.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,42 +60,87 @@ def _graded(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("grade", F.when(F.col("match_type") == "exact", 0).when(F.col("match_type") == "partial", 1).otherwise(2))
 
 
-def _numbered(rows: DataFrame, ident: str) -> DataFrame:
-    """rows with copy: the number, from 0, among those of equal place, type and text."""
-    same = Window.partitionBy("doc_id", "entity_type", "start_char", "end_char", "text").orderBy(ident)
-    return rows.withColumn("copy", F.row_number().over(same) - 1)
+def _classes(rows: DataFrame, ident: str) -> DataFrame:
+    """Rows of equal place, type and text as one, with their ids in order: copies on both sides make one pair."""
+    same = ["doc_id", "entity_type", "text", "start_char", "end_char"]
+    return rows.groupBy(*same).agg(F.array_sort(F.collect_list(ident)).alias("ids"))
+
+
+def _islands(pairs: DataFrame) -> DataFrame:
+    """pairs with island: its number within the document. Where a pair begins at or behind all ends so far, a new one begins;
+    pairs of different islands share no span."""
+    low, high = F.least("gt_start_char", "det_start_char"), F.greatest("gt_end_char", "det_end_char")
+    order = Window.partitionBy("doc_id").orderBy(low, high)
+    before = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((low >= before).cast("int"), F.lit(1))
+    return pairs.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+
+
+#: Better pairs first: exact before partial before other, then the higher ratio, then earlier starts. Within equals, smaller ids.
+BETTER = ["grade", "ratio", "gt_start_char", "det_start_char"]
+
+
+def _settle(equals: list[dict], used: dict) -> Iterator[tuple[dict, object, object]]:
+    """Of equally good pairs of classes, row, annotation and detection of those taken: always the least ids that are free."""
+    queue = []
 
+    def offer(n: int) -> None:
+        gt, det = equals[n]["gt_ids"], equals[n]["det_ids"]
+        i, j = used.get(("gt", gt[0]), 0), used.get(("det", det[0]), 0)
+        if i < len(gt) and j < len(det):
+            heapq.heappush(queue, (gt[i], det[j], n))
 
-#: The order in which pairs are taken: better grades, then higher ratios, then copies of like number, earlier starts and smaller ids.
-ORDER = ["grade", "-ratio", "apart", "gt_start_char", "det_start_char", "gt_gt_id", "det_det_id"]
+    for n in range(len(equals)):
+        offer(n)
+    while queue:
+        gt_id, det_id, n = heapq.heappop(queue)
+        row = equals[n]
+        g, d = ("gt", row["gt_ids"][0]), ("det", row["det_ids"][0])
+        i, j = used.get(g, 0), used.get(d, 0)
+        # Another pair may have taken one of the two since this was offered.
+        if i < len(row["gt_ids"]) and j < len(row["det_ids"]) and (row["gt_ids"][i], row["det_ids"][j]) == (gt_id, det_id):
+            used[g], used[d] = i + 1, j + 1
+            yield row, gt_id, det_id
+        offer(n)
 
 
 def match_pairs(truth: DataFrame, detected: DataFrame) -> DataFrame:
     """One-to-one pairs, taken greedily: the best pair of all, the best of those left, and so on. Better is exact
-    before partial before other, then the higher ratio, then copies of one number, the earlier start, the smaller id.
+    before partial before other, then the higher ratio, the earlier start, the smaller id.
 
-    Pairs that are each other's best are taken together, round by round, until none is left; a
-    stored table cuts each round's lineage. Equal copies pair by number, in the first round.
+    Overlapping spans form islands, which have no span in common, so each is settled by itself in one pass over its
+    pairs in order. Ids are distinct within a document. A chain of any length is one pass, and copies are one pair.
     """
-    pairs = overlaps(_numbered(truth, "gt_id"), _numbered(detected, "det_id"))
-    pairs = stored(_graded(pairs).withColumn("apart", F.abs(F.col("gt_copy") - F.col("det_copy"))).drop("gt_copy", "det_copy"), "pairs")
-    best = [F.desc(c[1:]) if c[0] == "-" else F.col(c) for c in ORDER]
-    by_det = Window.partitionBy("doc_id", "det_det_id").orderBy(*best)
-    by_gt = Window.partitionBy("doc_id", "gt_gt_id").orderBy(*best)
-    out = None
-    while True:
-        ranked = pairs.withColumn("d", F.row_number().over(by_det)).withColumn("g", F.row_number().over(by_gt))
-        # A pair whose sides both have another best stays for the next round, unless one side is taken now.
-        taken = (F.col("d") == 1) & (F.col("g") == 1)
-        marked = ranked.withColumn("taken", taken)
-        gone_d = F.max("taken").over(Window.partitionBy("doc_id", "det_det_id"))
-        gone_g = F.max("taken").over(Window.partitionBy("doc_id", "gt_gt_id"))
-        marked = stored(marked.withColumn("gone", gone_d | gone_g).drop("d", "g"), "matches")
-        now = marked.filter("taken").drop("taken", "gone")
-        out = now if out is None else out.unionByName(now)
-        pairs = marked.filter("NOT gone").drop("taken", "gone")
-        if pairs.isEmpty():
-            return out.drop("grade", "apart")
+    pairs = _islands(_graded(overlaps(_classes(truth, "gt_id"), _classes(detected, "det_id"))))
+    kept = ["doc_id", "gt_entity_type", "det_entity_type", "gt_start_char", "det_start_char", "ratio", "match_type"]
+    places = ["doc_id", "island"]
+    ordered = pairs.select(*kept, "island", "grade", "gt_ids", "det_ids").sortWithinPartitions(*places, *[F.desc(c) if c == "ratio" else F.col(c) for c in BETTER])
+    types = {f.name: f.dataType.simpleString() for f in ordered.schema}
+    ids = [f"{new} {types[old].removeprefix('array<').removesuffix('>')}" for new, old in (("gt_gt_id", "gt_ids"), ("det_det_id", "det_ids"))]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = quality = None
+        used: dict = {}
+        equals: list[dict] = []
+        for batch in batches:
+            kinds = {f.name: f.type for f in batch.schema}
+            schema = pa.schema([*[(c, kinds[c]) for c in kept], ("gt_gt_id", kinds["gt_ids"].value_type), ("det_det_id", kinds["det_ids"].value_type)])
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                at, worth = [row[c] for c in places], [row[c] for c in BETTER]
+                if equals and (at != place or worth != quality):
+                    out += [{c: r[c] for c in kept} | {"gt_gt_id": g, "det_det_id": d} for r, g, d in _settle(equals, used)]
+                    equals = []
+                if at != place:
+                    used = {}
+                place, quality = at, worth
+                equals.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if equals:
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in kept} | {"gt_gt_id": g, "det_det_id": d} for r, g, d in _settle(equals, used)], schema=schema)
+
+    return ordered.mapInArrow(work, ", ".join([*[f"{c} {types[c]}" for c in kept], *ids]))
 
 
 def first_matches(truth: DataFrame, detected: DataFrame) -> DataFrame:
@@ -128,6 +177,7 @@ def outcomes(truth: DataFrame, detected: DataFrame) -> DataFrame:
     truth and detected are read twice each: pass stored tables where they are costly.
     """
     hits = match_pairs(truth, detected).filter("match_type = 'exact'").select("doc_id", F.col("gt_gt_id").alias("gt_id"), F.col("det_det_id").alias("det_id"))
+    hits = stored(hits, "hits")
     fn = truth.join(hits, ["doc_id", "gt_id"], "left_anti")
     hit = F.when(F.col("of").isNull(), "fp").otherwise("tp")
     found = detected.join(hits.withColumnRenamed("gt_id", "of"), ["doc_id", "det_id"], "left")

@@ -96,42 +96,6 @@ def words(docs: DataFrame) -> DataFrame:
     )
 
 
-def phrase_boxes(laid: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Every contiguous occurrence of phrases (phrase_id, phrase) in words, with the box around it.
-
-    A phrase is looked for by its rarest token, so that a very common word joins nothing it needn't; the others
-    are then held against the words at their places.
-    """
-    words_of = laid.withColumn("low", F.lower("text"))
-    tokens = phrases.select("phrase_id", F.size(F.split("phrase", " ")).alias("n"), F.posexplode(F.split(F.lower("phrase"), " ")).alias("k", "token"))
-    asked = tokens.select("token").distinct()
-    often = words_of.join(asked, F.col("low") == F.col("token"), "left_semi").groupBy("low").agg(F.count("*").alias("often"))
-    counted = tokens.join(often, F.col("token") == F.col("low"))  # a token that no word equals leaves its phrase without a box
-    every = counted.groupBy("phrase_id", "n").agg(
-        F.min(F.struct("often", "k", "token")).alias("rare"), F.collect_list(F.struct("k", "token")).alias("tokens")
-    )
-    every = every.filter(F.size("tokens") == F.col("n")).select("phrase_id", "n", "tokens", "rare.k", "rare.token")
-    starts = words_of.join(every, F.col("low") == F.col("token")).select("doc_id", "phrase_id", "n", (F.col("word_no") - F.col("k")).alias("first"), F.explode("tokens").alias("t"))
-    starts = starts.select("doc_id", "phrase_id", "n", "first", (F.col("first") + F.col("t.k")).alias("word_no"), F.col("t.token").alias("low"))
-    hits = starts.join(words_of, ["doc_id", "word_no", "low"])
-    return (
-        hits.groupBy("doc_id", "phrase_id", "first", "n")
-        .agg(F.count("*").alias("found"), F.min("x0").alias("x0"), F.min("line").alias("y0"), F.max("x1").alias("x1"), F.max("line").alias("y1"))
-        .filter(F.col("found") == F.col("n"))
-        .drop("found", "n")
-    )
-
-
-def phrase_boxes_within(laid: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase_boxes() of phrases that have a doc_id, each in its own document only: doc_id, phrase and its boxes."""
-    tokens = phrases.select("doc_id", "phrase", F.size(F.split("phrase", " ")).alias("n"), F.posexplode(F.split(F.lower("phrase"), " ")).alias("k", "low"))
-    hits = tokens.join(laid.withColumn("low", F.lower("text")), ["doc_id", "low"]).withColumn("first", F.col("word_no") - F.col("k"))
-    boxes = hits.groupBy("doc_id", "phrase", "first", "n").agg(
-        F.count("*").alias("found"), F.min("x0").alias("x0"), F.min("line").alias("y0"), F.max("x1").alias("x1"), F.max("line").alias("y1")
-    )
-    return boxes.filter(F.col("found") == F.col("n")).drop("found", "n")
-
-
 def first_pages(annotations: DataFrame, pages: DataFrame) -> DataFrame:
     """Annotations (doc_id, gt_id, text) with the first page of their document that has the text, its place there and in
     the whole, and needs_review where no page has it."""

@@ -64,7 +64,7 @@ def _percent_sql(column: str) -> str:
 
 
 @query(
-    f"""WITH {Z.OUTCOMES}, c AS (SELECT entity_type, {Z.COUNTS} FROM outcomes GROUP BY entity_type), r AS (SELECT *, {Z.RATES} FROM c)
+    f"""WITH RECURSIVE {Z.OUTCOMES}, c AS (SELECT entity_type, {Z.COUNTS} FROM outcomes GROUP BY entity_type), r AS (SELECT *, {Z.RATES} FROM c)
     SELECT entity_type, 'P: ' || {_percent_sql('precision')} || ', R: ' || {_percent_sql('recall')} || ', F1: ' || {_percent_sql('f1')} AS report FROM r"""
 )
 def metrics_report(spark, sf_dir):

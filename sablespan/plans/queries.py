@@ -10,6 +10,7 @@ from sablespan.functions.dialect import ACCENTED, PLAIN, DuckSQL
 from sablespan.functions.validators import LADDERS, judged, ladder_sql, verdict
 from sablespan.operators import analysis as A
 from sablespan.operators import ensemble as E
+from sablespan.operators import index as I
 from sablespan.operators import matching as M
 from sablespan.operators import redact as D
 from sablespan.operators import runs as R
@@ -265,26 +266,24 @@ def detector_skeleton(spark, sf_dir):
 LOW = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 OVER = """overlap AS (SELECT *, CASE WHEN gt_type = det_type AND gt_form = det_form AND ratio >= 9000 THEN 'exact' WHEN gt_type = det_type AND ratio > 3000 AND ratio <= 5000 THEN 'partial'
     WHEN gt_type <> det_type THEN 'type' ELSE 'near' END AS match_type FROM (
-  SELECT t.doc_id, gt_id, det_id, t.entity_type AS gt_type, d.entity_type AS det_type, {0} AS gt_form, {1} AS det_form, t.start_char AS gt_start, d.start_char AS det_start, d.points, d.source,
+  SELECT t.doc_id, gt_id, det_id, t.entity_type AS gt_type, d.entity_type AS det_type, {0} AS gt_form, {1} AS det_form, t.start_char AS gt_start, d.start_char AS det_start, t.end_char AS gt_end, d.end_char AS det_end, d.points, d.source,
     ((least(t.end_char, d.end_char) - greatest(t.start_char, d.start_char)) * 10000 // (greatest(t.end_char, d.end_char) - least(t.start_char, d.start_char)))::bigint AS ratio
   FROM truth t JOIN detected d ON t.doc_id = d.doc_id AND t.start_char < d.end_char AND d.start_char < t.end_char) o)""".format(LOW.format("t.text"), LOW.format("d.text"))
 BEST = "CASE match_type WHEN 'exact' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END, ratio DESC, gt_start, det_start, gt_id, det_id"
 
 
-def _greedy(rounds: int = 6) -> str:
-    """The pairs that are each other's best, then those among the pairs whose sides aren't taken, and so on."""
-    out, rest = [], "overlap"
-    for k in range(rounds):
-        ranked = f"SELECT *, row_number() OVER (PARTITION BY doc_id, det_id ORDER BY {BEST}) AS dr, row_number() OVER (PARTITION BY doc_id, gt_id ORDER BY {BEST}) AS gr FROM {rest}"
-        out.append(f"round{k} AS MATERIALIZED (SELECT * EXCLUDE (dr, gr) FROM ({ranked}) r WHERE dr = 1 AND gr = 1)")
-        taken = " AND ".join(f"NOT EXISTS (SELECT 1 FROM round{k} m WHERE m.doc_id = o.doc_id AND m.{side} = o.{side})" for side in ("gt_id", "det_id"))
-        out.append(f"rest{k} AS MATERIALIZED (SELECT * FROM {rest} o WHERE {taken})")
-        rest = f"rest{k}"
-    union = " UNION ALL ".join(f"SELECT * FROM round{k}" for k in range(rounds))
-    return ", ".join(out) + f", matched AS ({union})"
-
-
-MATCHED = f"{B.BOTH}, {OVER}, {_greedy()}"
+#: Islands of overlapping pairs, and a walk over each island's pairs, the best first: one is taken if both sides are free.
+GREEDY = f"""ends AS (SELECT *, least(gt_start, det_start) AS low, greatest(gt_end, det_end) AS high FROM overlap),
+  marks AS (SELECT *, low >= coalesce(max(high) OVER (PARTITION BY doc_id ORDER BY low, high, gt_id, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), low) AS fresh FROM ends),
+  islands AS (SELECT *, sum(fresh::int) OVER (PARTITION BY doc_id ORDER BY low, high, gt_id, det_id ROWS UNBOUNDED PRECEDING) AS island FROM marks),
+  turns AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY {BEST}) AS k FROM islands),
+  walk AS (SELECT doc_id, island, k, [gt_id] AS gts, [det_id] AS dets, true AS taken FROM turns WHERE k = 1
+    UNION ALL SELECT t.doc_id, t.island, t.k, CASE WHEN list_contains(gts, gt_id) OR list_contains(dets, det_id) THEN gts ELSE list_append(gts, gt_id) END,
+      CASE WHEN list_contains(gts, gt_id) OR list_contains(dets, det_id) THEN dets ELSE list_append(dets, det_id) END,
+      NOT (list_contains(gts, gt_id) OR list_contains(dets, det_id))
+    FROM walk w JOIN turns t ON t.doc_id = w.doc_id AND t.island = w.island AND t.k = w.k + 1),
+  matched AS (SELECT t.* FROM turns t JOIN walk w USING (doc_id, island, k) WHERE taken)"""
+MATCHED = f"{B.BOTH}, {OVER}, {GREEDY}"
 OUTCOMES = f"""{MATCHED}, hits AS (SELECT * FROM matched WHERE match_type = 'exact'), outcomes AS (
   SELECT doc_id, gt_type AS entity_type, source, points, 'tp' AS outcome FROM hits
   UNION ALL SELECT doc_id, entity_type, source, points, 'fp' FROM detected d WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = d.doc_id AND h.det_id = d.det_id)
@@ -304,29 +303,29 @@ def overlap_join(spark, sf_dir):
     return pairs.select("doc_id", F.col("gt_gt_id").alias("gt_id"), F.col("det_det_id").alias("det_id"), "ratio", M.kind(pairs).alias("match_type"))
 
 
-@query(f"WITH {MATCHED} SELECT doc_id, gt_id, det_id, ratio, match_type FROM matched")
+@query(f"WITH RECURSIVE {MATCHED} SELECT doc_id, gt_id, det_id, ratio, match_type FROM matched")
 def match_pairs(spark, sf_dir):
     pairs = M.match_pairs(*B.both(spark, sf_dir))
     return pairs.select("doc_id", F.col("gt_gt_id").alias("gt_id"), F.col("det_det_id").alias("det_id"), "ratio", "match_type")
 
 
-@query(f"WITH {MATCHED} SELECT match_type, count(*) AS n FROM matched GROUP BY match_type")
+@query(f"WITH RECURSIVE {MATCHED} SELECT match_type, count(*) AS n FROM matched GROUP BY match_type")
 def match_stats(spark, sf_dir):
     return M.match_pairs(*B.both(spark, sf_dir)).groupBy("match_type").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {OUTCOMES}, c AS (SELECT {COUNTS} FROM outcomes) SELECT *, {RATES} FROM c")
+@query(f"WITH RECURSIVE {OUTCOMES}, c AS (SELECT {COUNTS} FROM outcomes) SELECT *, {RATES} FROM c")
 def prf_overall(spark, sf_dir):
     return M.rates(_outcomes(spark, sf_dir).agg(*M.counted()))
 
 
-@query(f"WITH {OUTCOMES}, c AS (SELECT entity_type, {COUNTS} FROM outcomes GROUP BY entity_type) SELECT *, {RATES} FROM c")
+@query(f"WITH RECURSIVE {OUTCOMES}, c AS (SELECT entity_type, {COUNTS} FROM outcomes GROUP BY entity_type) SELECT *, {RATES} FROM c")
 def prf_by_type(spark, sf_dir):
     return M.rates(_outcomes(spark, sf_dir).groupBy("entity_type").agg(*M.counted()))
 
 
 @query(
-    f"""WITH {OUTCOMES}, {ROUTES}, r AS (SELECT coalesce(route, 'ensemble') AS route, o.* FROM outcomes o LEFT JOIN routing USING (entity_type)),
+    f"""WITH RECURSIVE {OUTCOMES}, {ROUTES}, r AS (SELECT coalesce(route, 'ensemble') AS route, o.* FROM outcomes o LEFT JOIN routing USING (entity_type)),
     c AS (SELECT route, entity_type, {COUNTS} FROM r GROUP BY GROUPING SETS ((route, entity_type), ())) SELECT *, {RATES} FROM c"""
 )
 def prf_by_route(spark, sf_dir):
@@ -348,14 +347,14 @@ def conf_stats(spark, sf_dir):
     )
 
 
-@query(f"WITH {OUTCOMES} SELECT entity_type, count(*) FILTER (outcome = 'tp') / (count(*) FILTER (outcome <> 'fp'))::double AS rate FROM outcomes GROUP BY entity_type HAVING count(*) FILTER (outcome <> 'fp') > 0")
+@query(f"WITH RECURSIVE {OUTCOMES} SELECT entity_type, count(*) FILTER (outcome = 'tp') / (count(*) FILTER (outcome <> 'fp'))::double AS rate FROM outcomes GROUP BY entity_type HAVING count(*) FILTER (outcome <> 'fp') > 0")
 def detection_rate(spark, sf_dir):
     rows = _outcomes(spark, sf_dir).groupBy("entity_type").agg(*M.counted()).filter("tp + fn > 0")
     return rows.select("entity_type", (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("rate"))
 
 
 @query(
-    f"""WITH {OUTCOMES} SELECT greatest(1, least(5, points // 20 + 1))::int AS bucket, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp
+    f"""WITH RECURSIVE {OUTCOMES} SELECT greatest(1, least(5, points // 20 + 1))::int AS bucket, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp
     FROM outcomes WHERE outcome <> 'fn' GROUP BY 1"""
 )
 def conf_hist_clamped(spark, sf_dir):
@@ -439,7 +438,7 @@ def type_match_rate(spark, sf_dir):
     return rows.select("entity_type", expected.alias("expected"), found.alias("found"), rate.alias("rate"))
 
 
-@query(f"WITH {OUTCOMES} SELECT entity_type, doc_id, {COUNTS} FROM outcomes GROUP BY ROLLUP (entity_type, doc_id)")
+@query(f"WITH RECURSIVE {OUTCOMES} SELECT entity_type, doc_id, {COUNTS} FROM outcomes GROUP BY ROLLUP (entity_type, doc_id)")
 def batch_rollup(spark, sf_dir):
     return _outcomes(spark, sf_dir).rollup("entity_type", "doc_id").agg(*M.counted())
 
@@ -564,11 +563,9 @@ def line_breaks(spark, sf_dir):
 
 
 @query(
-    f"""{LAID}, ph AS (SELECT min(doc_id) AS phrase_id, a || ' ' || b AS phrase FROM (SELECT doc_id, text AS a, lead(text) OVER (PARTITION BY doc_id ORDER BY word_no) AS b, word_no FROM words) x
-      WHERE word_no = 3 AND b IS NOT NULL GROUP BY phrase),
-    hit AS (SELECT w.doc_id, phrase_id, w.word_no AS first, least(w.x0, v.x0) AS x0, w.line AS y0, greatest(w.x1, v.x1) AS x1, v.line AS y1
-      FROM ph JOIN words w ON lower(w.text) = lower(split_part(phrase, ' ', 1)) JOIN words v ON v.doc_id = w.doc_id AND v.word_no = w.word_no + 1 AND lower(v.text) = lower(split_part(phrase, ' ', 2)))
-    SELECT * FROM hit"""
+    f"""{LAID}, two AS (SELECT *, lead(text) OVER w AS b, lead(line) OVER w AS line2, lead(x0) OVER w AS x02, lead(x1) OVER w AS x12 FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY word_no)),
+    ph AS (SELECT min(doc_id) AS phrase_id, lower(text) AS la, lower(b) AS lb FROM two WHERE word_no = 3 AND b IS NOT NULL GROUP BY text, b)
+    SELECT doc_id, phrase_id, word_no AS first, least(x0, x02) AS x0, line AS y0, greatest(x1, x12) AS x1, line2 AS y1 FROM ph JOIN two ON lower(text) = la AND lower(b) = lb"""
 )
 def phrase_bbox(spark, sf_dir):
     from pyspark.sql import Window
@@ -577,7 +574,7 @@ def phrase_bbox(spark, sf_dir):
     after = F.lead("text").over(Window.partitionBy("doc_id").orderBy("word_no"))
     two = laid.withColumn("b", after).filter("word_no = 3 AND b IS NOT NULL")
     phrases = two.groupBy(F.concat_ws(" ", "text", "b").alias("phrase")).agg(F.min("doc_id").alias("phrase_id"))
-    return D.phrase_boxes(laid, phrases)
+    return I.phrase_boxes(I.build_index(laid), phrases)
 
 
 @query(

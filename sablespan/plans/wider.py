@@ -10,6 +10,7 @@ from sablespan.functions import text as X
 from sablespan.functions.dialect import DuckSQL
 from sablespan.operators import analysis as A
 from sablespan.operators import ensemble as E
+from sablespan.operators import index as I
 from sablespan.operators import matching as M
 from sablespan.operators import redact as D
 from sablespan.operators import reports as P
@@ -17,6 +18,7 @@ from sablespan.operators.extract import BARRED_EMAIL, CUSTOM, DATES, LABELS, PAT
 from sablespan.plans import base as B
 from sablespan.plans import queries as Z
 from sablespan.plans.base import query, table
+from sablespan.shared import stored
 
 COLUMNS = "entity_type, pattern, ordinal, text, start_char, end_char, points"
 
@@ -182,18 +184,16 @@ def detector_report(spark, sf_dir):
 
 
 @query(
-    f"""WITH {Z.OUTCOMES}, f AS (SELECT * FROM detected d WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = d.doc_id AND h.det_id = d.det_id))
+    f"""WITH RECURSIVE {Z.OUTCOMES}, f AS (SELECT * FROM detected d WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = d.doc_id AND h.det_id = d.det_id))
     SELECT entity_type, count(*) AS n, array_to_string(list(text ORDER BY text, doc_id, det_id)[1:5], '|') AS examples FROM f GROUP BY entity_type"""
 )
 def false_positive_list(spark, sf_dir):
     """False positives by type, with the first five texts."""
     truth, detected = B.both(spark, sf_dir)
-    hits = M.match_pairs(truth, detected).filter("match_type = 'exact'").select("doc_id", F.col("det_det_id").alias("det_id"))
+    hits = stored(M.match_pairs(truth, detected).filter("match_type = 'exact'").select("doc_id", F.col("det_det_id").alias("det_id")), "hits")
     extra = detected.join(hits, ["doc_id", "det_id"], "left_anti")
-    order = Window.partitionBy("entity_type").orderBy("text", "doc_id", "det_id")
-    some = extra.withColumn("k", F.row_number().over(order))
-    texts = F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("k", "text"))))
-    return some.groupBy("entity_type").agg(F.count("*").alias("n"), F.array_join(texts["text"], "|").alias("examples"))
+    counts = extra.groupBy("entity_type").agg(F.count("*").alias("n"))
+    return counts.join(A.examples(extra, ["entity_type"], ["text", "doc_id", "det_id"], 5), "entity_type")
 
 
 _TERMS = {"EDUCATIONAL_INSTITUTION": R.EDUCATION["core"], "PHI": R.PHI["conditions"]}
@@ -226,7 +226,7 @@ def context_rollup(spark, sf_dir):
 
 
 @query(
-    f"""WITH {Z.OUTCOMES}, c AS (SELECT entity_type, doc_id, count(*) FILTER (outcome <> 'fp') AS expected, count(*) FILTER (outcome <> 'fn') AS found, count(*) FILTER (outcome = 'tp') AS matches
+    f"""WITH RECURSIVE {Z.OUTCOMES}, c AS (SELECT entity_type, doc_id, count(*) FILTER (outcome <> 'fp') AS expected, count(*) FILTER (outcome <> 'fn') AS found, count(*) FILTER (outcome = 'tp') AS matches
       FROM outcomes GROUP BY ROLLUP (entity_type, doc_id)) SELECT *, CASE WHEN expected > 0 THEN matches * 100 / expected::double ELSE 0.0 END AS rate FROM c"""
 )
 def batch_types(spark, sf_dir):
@@ -261,8 +261,19 @@ def detect_ordered(spark, sf_dir):
 @query(f"""{Z.LAID} SELECT doc_id, line, x0, row_number() OVER (PARTITION BY doc_id ORDER BY line, x0)::int AS occurrence FROM words WHERE lower(text) = 'the'""")
 def word_occurrences(spark, sf_dir):
     """The places of a word in reading order."""
-    rows = Z.laid_words(spark, sf_dir).filter(F.lower("text") == "the")
-    return rows.select("doc_id", "line", "x0", F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "x0")).alias("occurrence"))
+    rows = I.occurrences(I.build_index(Z.laid_words(spark, sf_dir)), spark.createDataFrame([("the",)], "word string"))
+    return rows.select("doc_id", "line", "x0", "occurrence")
+
+
+@query(
+    f"""{Z.LAID}, asked AS (SELECT DISTINCT lower(text) AS word FROM (SELECT text, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, text) AS n FROM words) r WHERE n = 1)
+    SELECT word, doc_id, line, x0, x1, row_number() OVER (PARTITION BY word, doc_id ORDER BY word_no)::int AS occurrence FROM words JOIN asked ON lower(text) = word"""
+)
+def longest_word_occurrences(spark, sf_dir):
+    """Where each document's longest word stands, in all documents, by the index."""
+    laid = Z.laid_words(spark, sf_dir)
+    longest = laid.groupBy("doc_id").agg(F.min_by(F.lower("text"), F.struct(-F.length("text"), "text")).alias("word")).select("word").distinct()
+    return I.occurrences(I.build_index(laid), longest).select("word", "doc_id", "line", "x0", "x1", "occurrence")
 
 
 @query(f"SELECT reason, n, row_number() OVER (ORDER BY n DESC, reason)::int AS place FROM ({B.ORACLE['rule_counts']}) r")
@@ -375,7 +386,7 @@ def redaction_boxes(spark, sf_dir):
     """Boxes of all that is detected in a document and isn't a keep word: spans, keep words, then phrases in words."""
     found = E.without_kept(B.spans(spark, sf_dir)).filter(~F.contains("text", F.lit("\n")))
     phrases = found.select("doc_id", F.col("text").alias("phrase")).distinct()
-    return D.phrase_boxes_within(Z.laid_words(spark, sf_dir), phrases)
+    return I.phrase_boxes_within(I.build_index(Z.laid_words(spark, sf_dir)), phrases)
 
 
 PAGED = """pages_of AS (SELECT conv_id AS doc_id, turn AS page, text AS body, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM conversations)"""
