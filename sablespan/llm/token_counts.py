@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sablespan.llm.common import mapped, stored, text_batches, worker_state
+from sablespan.llm.common import drop, mapped, stored, text_batches, worker_state
 from sablespan.llm.tokens import byte_letters
 
 #: The most pre-tokens that are broadcast.
-HOT = 500_000
+HOT = 2_000_000
 #: Rows of an Arrow batch.
 BATCH = 65_536
 #: Characters whose kind (letter, digit, space, other) all libraries agree on: each was compared.
@@ -96,13 +96,13 @@ def _quoted(text: str) -> str:
 def occurrences(docs: DataFrame, path: str) -> DataFrame:
     """row, doc_id, n_bytes, piece and n: the pre-tokens of docs, those of most texts as they come, with n = 1.
 
-    A text without any has one row, whose piece is null.
+    Each text has one row more, whose piece is null.
     """
     hard = "|".join([f"[^{SURE}]", *map(_quoted, PreTokens(path).special)])
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_bytes, F.coalesce("text", F.lit("")).alias("text"))
     pieces = F.regexp_extract_all("text", F.lit(CUT), F.lit(0))
-    easy = rows.filter(~F.col("text").rlike(hard)).select("row", "doc_id", "n_bytes", F.explode_outer(pieces).alias("piece"), F.lit(1).cast("bigint").alias("n"))
+    easy = rows.filter(~F.col("text").rlike(hard)).select("row", "doc_id", "n_bytes", F.explode(F.concat(F.array(F.lit(None).cast("string")), pieces)).alias("piece"), F.lit(1).cast("bigint").alias("n"))
 
     names = easy.columns
 
@@ -111,8 +111,8 @@ def occurrences(docs: DataFrame, path: str) -> DataFrame:
         for batch in text_batches(batches):
             for i, text in enumerate(batch.column("text").to_pylist()):
                 own = cutter.of(text)
-                head = [batch.column(c).take(pa.array([i] * len(own), pa.int64())) for c in ("row", "doc_id", "n_bytes")]
-                yield from pa.table([*head, pa.array(list(own), pa.string()), pa.array(own.values(), pa.int64())], names=names).to_batches(max_chunksize=BATCH)
+                head = [batch.column(c).take(pa.array([i] * (len(own) + 1), pa.int64())) for c in ("row", "doc_id", "n_bytes")]
+                yield from pa.table([*head, pa.array([None, *own], pa.string()), pa.array([0, *own.values()], pa.int64())], names=names).to_batches(max_chunksize=BATCH)
 
     # Numbers below zero, so that no two texts share one whatever the two scans number.
     others = rows.filter(F.col("text").rlike(hard)).withColumn("row", -1 - F.col("row"))
@@ -153,19 +153,23 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, hot: int | None
     pieces = stored(distinct_pieces(found, path), "pieces")
     counts, named = numbered(pieces)
     counts = stored(counts, "counts")
-    total = pieces.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    total = counts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     common = counts.filter(F.col("times") * F.lit(hot) >= F.lit(total)).select("number", "tokens")  # hot rows at most
 
-    ids = ["row", "doc_id", "n_bytes"]
     met = found.withColumn("number", F.when(F.col("piece").isNotNull(), _number(F.col("piece")))).join(F.broadcast(common), "number", "left")
     if n := named.count():
         if n > hot:
             raise ValueError(f"{n} pre-tokens share a hash with another")
         met = met.join(F.broadcast(named.withColumnRenamed("tokens", "own")), "piece", "left").withColumn("tokens", F.coalesce("own", "tokens"))
-    rare = F.when(F.col("tokens").isNull(), F.col("number")).alias("rare")
-    known = F.sum(F.col("n") * F.coalesce("tokens", F.lit(0))).alias("known")
-    sums = stored(met.groupBy(*ids, rare).agg(known, F.sum("n").alias("n")), "sums")
-    own = sums.filter("rare IS NULL").select(*ids, F.col("known").alias("tokens"))
-    others = sums.filter("rare IS NOT NULL").join(counts, F.col("rare") == F.col("number")).select(*ids, (F.col("n") * F.col("tokens")).alias("tokens"))
-    every = own.unionByName(others).groupBy(*ids).agg(F.sum("tokens").alias("n_tokens"))
-    return every.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    else:
+        drop(pieces)
+    # By row: the tokens of all common pre-tokens, with what is known of the row, and how often it has each rare one.
+    met = met.withColumn("rare", F.when(F.col("tokens").isNull(), F.col("number")))
+    value = F.when(F.col("piece").isNull(), 0).otherwise(F.col("n") * F.coalesce("tokens", F.lit(1)))
+    about = [F.max(F.when(F.col("rare").isNull(), F.col(c))).alias(c) for c in ("doc_id", "n_bytes")]
+    sums = stored(met.groupBy("row", "rare").agg(F.sum(value).alias("n"), *about), "sums")
+    own = sums.filter("rare IS NULL").select("row", "doc_id", "n_bytes", F.col("n").alias("tokens"))
+    others = sums.filter("rare IS NOT NULL").select("row", "rare", "n").join(counts, F.col("rare") == F.col("number"))
+    others = others.groupBy("row").agg(F.sum(F.col("n") * F.col("tokens")).alias("others"))
+    n_tokens = F.col("tokens") + F.coalesce("others", F.lit(0))
+    return own.join(others, "row", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
