@@ -27,6 +27,8 @@ from sablespan.llm.common import blocks_for, drop, stored
 
 #: Rows of the band of longest vectors, of a block of candidates, of a slice of it, and of a block of queries.
 FIRST, BLOCK, SLICE, QUERIES = 256, 4096, 512, 1024
+#: Bytes of candidates that a task holds while queries visit them.
+HELD = 64 << 20
 #: Parts of the coordinates after which pairs are pruned.
 STEPS = (0.125, 0.25, 0.5)
 #: Sums of products of integers below this are exact in double precision.
@@ -138,23 +140,31 @@ class Best:
         self.rows = query[keep], ids[keep], score[keep]
 
 
-def _matrix(row, side: str, dims: int) -> np.ndarray:
-    kind = np.int64 if row[f"{side}_wide"] else np.int32
-    return np.frombuffer(row[f"{side}_m"], kind).reshape(-1, dims).astype(np.int64)
+def _matrix(row, dims: int) -> np.ndarray:
+    return np.frombuffer(row["m"], np.int64 if row["wide"] else np.int32).reshape(-1, dims).astype(np.int64)
 
 
-def _scored(pairs: DataFrame, dims: int, turn: np.ndarray, k: int) -> DataFrame:
+def _scored(met: DataFrame, dims: int, turn: np.ndarray, k: int) -> DataFrame:
+    """met: by group, first its blocks of candidates (side 0), then the blocks of queries that visit it."""
+
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held = None, []
         for frame in frames:
             for row in frame.to_dict("records"):
-                ids = np.frombuffer(row["q_ids"], np.int64)
-                best = Best(ids, _matrix(row, "q", dims), np.frombuffer(row["q_bound"], np.float64), turn, k)
-                best.meet(np.frombuffer(row["c_ids"], np.int64), _matrix(row, "c", dims))
+                if row["group"] != group:
+                    group, held = row["group"], []
+                if row["side"] == 0:
+                    held.append((np.frombuffer(row["ids"], np.int64), _matrix(row, dims)))
+                    continue
+                ids = np.frombuffer(row["ids"], np.int64)
+                best = Best(ids, _matrix(row, dims), np.frombuffer(row["bound"], np.float64), turn, k)
+                for block in held:  # the bounds rise from block to block
+                    best.meet(*block)
                 query, vec_id, score = best.rows
-                rows = np.frombuffer(row["q_row"], np.int64)
+                rows = np.frombuffer(row["row"], np.int64)
                 yield pd.DataFrame({"query": rows[query], "query_id": ids[query], "vec_id": vec_id, "score": score.astype(np.int64)})
 
-    return pairs.mapInPandas(work, SCORES)
+    return met.mapInPandas(work, SCORES)
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
@@ -189,6 +199,12 @@ def bands_of(ints: DataFrame, first: int) -> tuple[DataFrame, dict[int, tuple[in
     return banded, {band: (n, most) for band, n, most in sorted(rows)}
 
 
+def groups_for(parts: int, dims: int, tasks: int) -> int:
+    """Into how many groups blocks of candidates fall: one for each task, more where a group would be over HELD bytes."""
+    most = max(1, HELD // (8 * BLOCK * dims))
+    return min(parts, max(tasks, blocks_for(parts, most)))
+
+
 def _top_k(ints: DataFrame, dims: int, every: int, k: int) -> DataFrame:
     turn = rotation(ints, dims)
     banded, bands = bands_of(ints, FIRST)
@@ -215,10 +231,13 @@ def _top_k(ints: DataFrame, dims: int, every: int, k: int) -> DataFrame:
         near = sum((F.when(need < m, 1).otherwise(0) for m in sorted(set(marks))), F.lit(0))
         queries = queries.withColumn("near", near.cast("int")).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(1, blocks_for(n, QUERIES) // 256))).cast("int"))
         sides = _blobs(queries, ["near", "block"], "bound", {"row": "int64", "bound": "float64"})
-        sides = sides.select("near", "block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "m", "wide", "row", "bound")], F.lit(band).alias("band"))
-        candidates = blocks.filter(F.col("band") == band).select(F.col("band").alias("c_band"), "part", *[F.col(c).alias(f"c_{c}") for c in ("ids", "m", "wide")])
-        pairs = sides.join(candidates, F.col("band") == F.col("c_band")).repartition("near", "block", "part")
-        scores = _scored(pairs, dims, turn, k)
+        # A group of candidates goes to one task, and every block of queries visits it there: candidates are sent once,
+        # queries once a group.
+        groups = groups_for(blocks_for(bands[band][0], BLOCK), dims, int(ints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        held = blocks.filter(F.col("band") == band).select(F.pmod("part", F.lit(groups)).alias("group"), F.lit(0).alias("side"), "ids", "m", "wide")
+        come = sides.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("side"), "ids", "m", "wide", "row", "bound")
+        met = held.unionByName(come, allowMissingColumns=True).repartition("group").sortWithinPartitions("group", "side")
+        scores = _scored(met, dims, turn, k)
         last, best = best, stored(_top(scores if best is None else best.unionByName(scores), k).drop("rank"), "scores")
         if last is not None:
             drop(last)

@@ -246,6 +246,30 @@ def test_top_k_prunes(monkeypatch):
     assert best.seen["pairs"] == 60_000 and best.seen["skipped"] > 40_000 and best.seen["pruned"] > 0.5 * (60_000 - best.seen["skipped"])
 
 
+def test_top_k_plans_have_no_nested_loops(spark, monkeypatch):
+    """Every band's plan: candidates and queries meet by group, and neither is sent for each pair."""
+    from sablespan.llm import topk
+
+    monkeypatch.setattr(topk, "FIRST", 32)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "HELD", 8 * 16 * 8 * 3)
+    plans, scored = [], topk._scored
+    monkeypatch.setattr(topk, "_scored", lambda met, *a: (plans.append((met._jdf.queryExecution().executedPlan().toString(), met.groupBy("side").count().collect())), scored(met, *a))[1])
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=8) * (1 + i % 7)).tolist(), "x", 1, 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string, query_id int, score int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df).collect())
+    ids = np.array([r[0] for r in rows])
+    v = np.floor(64 * np.array([r[1] for r in rows], np.float32).astype(float)).astype(int)
+    want = []
+    for q in range(0, 400, 20):
+        scores = v @ v[q]
+        order = [i for i in np.lexsort((ids, -scores)) if i != q][:20]
+        want += [(q, n, int(i), int(scores[i])) for n, i in enumerate(order, 1)]
+    assert got == sorted(want)
+    assert len(plans) > 2 and not any("NestedLoop" in p or "Cartesian" in p for p, _ in plans)
+
+
 def test_top_k_of_large_numbers():
     """Sums beyond what doubles hold."""
     from sablespan.llm import topk
