@@ -16,6 +16,7 @@ from sablespan.operators import redact as D
 from sablespan.operators import reports as P
 from sablespan.operators.extract import BARRED_EMAIL, CUSTOM, DATES, LABELS, PATTERNS, RECOGNIZERS, GazetteerDetector, Registry, find_spans, typed
 from sablespan.operators.names import NameLabeller
+from sablespan.operators.table_function import register
 from sablespan.plans import base as B
 from sablespan.plans import queries as Z
 from sablespan.plans.base import query, table
@@ -48,6 +49,13 @@ for _type in RECOGNIZERS:
     _recognizer_query(_type)
 
 
+@query(f"WITH {CORPUS} SELECT doc_id, {COLUMNS} FROM ({B.spans_sql(RECOGNIZERS['PHI'] + RECOGNIZERS['GPA'], 'corpus')})")
+def detect_table(spark, sf_dir):
+    """Detection called from SQL, as a table function."""
+    register(spark)
+    return spark.sql("SELECT * FROM detect(TABLE(SELECT * FROM {docs}), 'PHI', 'GPA')", docs=_corpus(spark, sf_dir))
+
+
 @query(f"WITH {CORPUS} SELECT doc_id, {COLUMNS} FROM ({B.spans_sql(CUSTOM + DATES, 'corpus')})")
 def custom_document_spans(spark, sf_dir):
     return find_spans(_corpus(spark, sf_dir), CUSTOM + DATES)
@@ -421,3 +429,43 @@ def page_occurrences(spark, sf_dir):
     pages = D.page_offsets(talks.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"))
     hits = find_spans(pages.select(F.struct("doc_id", "page", "before").alias("place"), "text"), [P.literal_pattern("the ")], key="place")
     return hits.select("place.doc_id", "place.page", "ordinal", "start_char", (F.col("place.before") + F.col("start_char")).alias("absolute"))
+
+
+# --- the whole of detection over documents -------------------------------------------------------
+
+#: Spans of all recognizers and names in the corpus, each with up to 50 characters on either side as its context.
+DOCUMENT_FOUND = f"""{CORPUS}, spans AS (SELECT *, 'pattern' AS source FROM ({B.spans_sql(Registry().patterns(), 'corpus')}) UNION ALL SELECT *, 'ner' FROM ({B.spans_sql([NAMES.pattern()], 'corpus')})),
+found AS (SELECT doc_id, entity_type, s.text, s.text AS t, substring(c.text, greatest(start_char - 50, 0) + 1, end_char + 50 - greatest(start_char - 50, 0)) AS d, start_char, end_char, s.points::int AS points, source
+  FROM spans s JOIN corpus c USING (doc_id))"""
+DOCUMENT_FULL = DOCUMENT_FOUND + Z.FULL.removeprefix(B.FOUND)
+DOCUMENT_KEPT = f"""{DOCUMENT_FULL}, named AS (SELECT *, {Z.FORM} AS form FROM detected), {Z.KEEP}, kept AS (SELECT * FROM named WHERE NOT EXISTS (SELECT 1 FROM tokens
+  WHERE word = form OR (len(k) > 1 AND list_has_all(string_split(form, ' '), k)) OR (len(list_distinct(string_split(form, ' '))) = 1 AND list_contains(k, string_split(form, ' ')[1]))))"""
+
+
+def _document_found(spark, sf_dir):
+    """Spans of both detectors with their contexts, cut where the texts are, so no text is joined to its spans."""
+    docs = _corpus(spark, sf_dir)
+    by_pattern = find_spans(docs, Registry().patterns()).withColumn("source", F.lit("pattern"))
+    found = stored(by_pattern.unionByName(NAMES.detect(docs)), "spans")
+    places = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_char", "end_char")).alias("places"))
+    cut = docs.join(places, "doc_id").select("doc_id", F.explode("places").alias("p"), "text")
+    around = cut.select("doc_id", "p.*", X.window(F.col("text"), F.col("p.start_char"), F.col("p.end_char"), 50).alias("d"))
+    return found.join(around, ["doc_id", "start_char", "end_char"]).withColumn("t", F.col("text")).drop("pattern", "ordinal")
+
+
+@query(f"WITH {DOCUMENT_FULL} SELECT doc_id, entity_type, text, start_char::bigint AS start_char, end_char::bigint AS end_char, points, source FROM detected")
+def detect_documents(spark, sf_dir):
+    """Routing, validation and ensemble over what both detectors find in texts."""
+    rows = E.detect_full(_document_found(spark, sf_dir))
+    return rows.withColumns({"start_char": F.col("start_char").cast("bigint"), "end_char": F.col("end_char").cast("bigint")})
+
+
+@query(
+    f"""WITH {DOCUMENT_KEPT}, {Z.MERGED.replace('FROM spans', 'FROM kept')}, p AS (SELECT r.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS before FROM runs r),
+    q AS (SELECT p.doc_id, string_agg(substring(text, before + 1, a - before) || repeat('█', b - a), '' ORDER BY a) AS head, max(b) AS last, sum(b - a)::bigint AS masked FROM p JOIN corpus USING (doc_id) GROUP BY p.doc_id)
+    SELECT d.doc_id, coalesce(head || substring(text, last + 1), text) AS redacted, coalesce(masked, 0) AS masked_chars FROM corpus d LEFT JOIN q USING (doc_id)"""
+)
+def redact_full(spark, sf_dir):
+    """From texts to masked texts: both detectors, validation, ensemble, keep words, masking."""
+    found = _document_found(spark, sf_dir)
+    return D.redact(_corpus(spark, sf_dir), E.without_kept(E.detect_full(found)))

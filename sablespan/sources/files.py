@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -76,12 +78,31 @@ def as_pdf(redacted: DataFrame) -> DataFrame:
 
 
 def write_run(metrics: DataFrame, path: str) -> None:
-    """Run metrics, a folder a run, so that reading one run reads only its own."""
-    metrics.write.partitionBy("run_id").mode("append").parquet(path)
+    """Run metrics (run_id and more), which replace what the same runs had.
+
+    Rows go to a folder of this attempt's own; then one line a run in the manifest names the attempt. A
+    write that breaks off has no line, so no one sees what it left, and one that is repeated gives way to the last.
+    """
+    attempt = uuid.uuid4().hex
+    metrics.withColumn("attempt", F.lit(attempt)).write.partitionBy("attempt", "run_id").mode("append").parquet(f"{path}/rows")
+    _complete(metrics.sparkSession, path, attempt)
+
+
+def _complete(spark: SparkSession, path: str, attempt: str) -> None:
+    """Tell readers that an attempt's runs are whole."""
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("attempt") == attempt)
+    lines = rows.groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.count("*").alias("n")).select("run_id", "n", F.lit(attempt).alias("attempt"), F.lit(time.time_ns()).alias("at"))
+    lines.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
 def read_runs(spark: SparkSession, path: str, *runs: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("run_id").isin(*runs))
+    """The rows of each of runs as it was last written whole. Folders of other runs and attempts aren't read."""
+    lines = spark.read.parquet(f"{path}/manifest").filter(F.col("run_id").isin(*runs))
+    last = lines.groupBy("run_id").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt")).collect()  # a row a run asked for
+    whole = F.lit(False)
+    for r in last:
+        whole = whole | ((F.col("run_id") == r["run_id"]) & (F.col("attempt") == r["attempt"]))
+    return spark.read.parquet(f"{path}/rows").filter(whole).drop("attempt")
 
 
 def write_results(results: DataFrame, path: str, kind: str = "json") -> None:
