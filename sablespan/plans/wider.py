@@ -450,7 +450,7 @@ def _document_found(spark, sf_dir):
     places = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_char", "end_char")).alias("places"))
     cut = docs.join(places, "doc_id").select("doc_id", F.explode("places").alias("p"), "text")
     around = cut.select("doc_id", "p.*", X.window(F.col("text"), F.col("p.start_char"), F.col("p.end_char"), 50).alias("d"))
-    return found.join(around, ["doc_id", "start_char", "end_char"]).withColumn("t", F.col("text")).drop("pattern", "ordinal")
+    return stored(found.join(around, ["doc_id", "start_char", "end_char"]).withColumn("t", F.col("text")).drop("pattern", "ordinal"), "found")
 
 
 @query(f"WITH {DOCUMENT_FULL} SELECT doc_id, entity_type, text, start_char::bigint AS start_char, end_char::bigint AS end_char, points, source FROM detected")
