@@ -1,7 +1,7 @@
 """Labelled lines for the name labeller: names stand in brackets.
 
 TRAIN is fitted on, with lines that generated() makes of TEMPLATES and name parts. KEPT is held back: it was written in one go and measured
-twice, with the features and with more generated lines, and shares no name with the others.
+three times: with the features, with more generated lines, and with names at the ends of lines; it shares no name with the others.
 """
 
 from __future__ import annotations
@@ -120,6 +120,9 @@ The nurse called {n} on Monday morning.
 We hired {n} from Lakeside University.
 Interview with {n} at Blue Harbor Inc.
 was sent to {n} in Madrid.
+Her name is {n}.
+The letter is from {n}.
+Today we met {n}.
 """.strip().splitlines()
 FIRST = "Anna Carl Erik Omar Lena Paul Nina Jose Mary Ali Eva John Sara Igor Leila Sven Rosa Ben Kofi Jane".split()
 LAST = "Berg Holm Diaz Khan Weber Jones Silva Novotny Baker Singh Moreau Costa Ito Nilsson Carter Bauer Osei Rivera Nowak Hughes".split()
