@@ -14,13 +14,15 @@ from sablespan.operators import index as I
 from sablespan.operators import matching as M
 from sablespan.operators import redact as D
 from sablespan.operators import reports as P
-from sablespan.operators.extract import BARRED_EMAIL, CUSTOM, DATES, LABELS, PATTERNS, RECOGNIZERS, GazetteerDetector, Registry, find_spans, typed
+from sablespan.operators.extract import BARRED_EMAIL, CUSTOM, DATES, LABELS, PATTERNS, RECOGNIZERS, GazetteerDetector, Pattern, Registry, find_spans, typed
 from sablespan.operators.names import NameLabeller
 from sablespan.operators.table_function import register
 from sablespan.plans import base as B
 from sablespan.plans import queries as Z
 from sablespan.plans.base import query, table
-from sablespan.shared import stored
+from sablespan.shared import shared_path, stored
+from sablespan.sources import files as S
+from sablespan.sources import pdf_source as N
 
 COLUMNS = "entity_type, pattern, ordinal, text, start_char, end_char, points"
 
@@ -469,3 +471,53 @@ def redact_full(spark, sf_dir):
     """From texts to masked texts: both detectors, validation, ensemble, keep words, masking."""
     found = _document_found(spark, sf_dir)
     return D.redact(_corpus(spark, sf_dir), E.without_kept(E.detect_full(found)))
+
+
+# --- files ---------------------------------------------------------------------------------------
+
+#: Words of the corpus as they stand in PDF files of it: 60 lines a page, six points a character, twelve a line.
+PAPER = f"""{Z.LAID}, paper AS (SELECT doc_id, (line // 60 + 1)::int AS page, row_number() OVER (PARTITION BY doc_id, line // 60 ORDER BY word_no)::int AS word_no,
+  regexp_replace(text, '[^\\x00-\\x7F\\x{{A0}}-\\x{{FF}}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '?', 'g') AS text, 40.0::double + 6 * x0 AS x0, 34.0::double + 12 * (line % 60) AS y0, 40.0::double + 6 * x1 AS x1, 44.0::double + 12 * (line % 60) AS y1 FROM words)"""
+
+
+def _papers(spark, sf_dir):
+    """A folder of PDF files, one for each document, in the folder that all executors share."""
+    folder = shared_path(spark, "papers")
+    made = S.as_pdf(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("redacted")))
+    N.write_files(made.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), "content"), folder)
+    return folder
+
+
+PAPER_ID = "cast(regexp_extract(path, '([0-9]+)[.]pdf$', 1) AS bigint) AS doc_id"
+
+
+@query(f"{PAPER} SELECT doc_id, page, word_no, text, x0, y0, x1, y1 FROM paper")
+def pdf_words(spark, sf_dir):
+    """Words of PDF files with their boxes, by the data source."""
+    return N.read_words(spark, _papers(spark, sf_dir)).selectExpr(PAPER_ID, "page", "word_no", "text", "x0", "y0", "x1", "y1")
+
+
+PAPER_MAILS = f"""{PAPER}, hit AS (SELECT *, regexp_matches(text, '^[^@]+@[^@]+$') AS mail FROM paper)"""
+
+
+@query(f"{PAPER_MAILS} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0)::int AS occurrence, x0, y0, x1, y1 FROM hit WHERE mail")
+def pdf_occurrences(spark, sf_dir):
+    """Boxes of all words with one sign of an address between others, in reading order."""
+    laid = N.placed(N.read_words(spark, _papers(spark, sf_dir)))
+    spans = laid.filter(F.col("text").rlike(MAIL_WORD)).select(F.struct("path", "page").alias("place"), F.lit("EMAIL_ADDRESS").alias("entity_type"), "start_char", "end_char")
+    return N.reading_order(N.span_boxes(laid, spans)).selectExpr(PAPER_ID, "page", "occurrence", "x0", "y0", "x1", "y1")
+
+
+MAIL_WORD = "^[^@]+@[^@]+$"
+
+
+@query(f"{PAPER_MAILS} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY word_no)::int AS word_no, text, x0, y0, x1, y1 FROM hit WHERE NOT mail")
+def pdf_redacted(spark, sf_dir):
+    """What is left to read in PDF files that were redacted: detected, boxed, written anew and read back."""
+    folder, target = _papers(spark, sf_dir), shared_path(spark, "redacted")
+    N.redact_files(spark, folder, target, lambda pages: find_spans(pages, [MAIL_WORDS], key="place"))
+    return N.read_words(spark, target).selectExpr(PAPER_ID, "page", "word_no", "text", "x0", "y0", "x1", "y1")
+
+
+#: The same words in the text of a page, where spaces and newlines part words.
+MAIL_WORDS = Pattern("EMAIL_ADDRESS", "mail_words", r"(?<![^ \n])[^ \n@]+@[^ \n@]+(?![^ \n])", 85)

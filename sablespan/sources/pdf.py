@@ -1,73 +1,426 @@
-"""Pages of plain PDF files as text, and redacted text as PDF files.
+"""One plain PDF file: its words with their boxes, its pages as text, text as pages, and a copy without what boxes cover.
 
-The reader takes the text operators of a page's content streams, plain or deflated, as most office
-programs write them; encrypted files, and fonts with codes of their own, need a PDF library, which can be passed to
-extracted_text() instead.
+Text is placed as the format says: by the text matrix, the matrices below it, sizes, spacing and the widths of simple
+fonts (500 thousandths where a font gives none). Boxes count points from the upper left corner of the page.
+Objects may stand in object streams, content may be deflated. Not read: encrypted files (an error), text
+in forms that a page draws, and fonts with codes of their own; any PDF library's function can be passed to
+files.extracted_text() for these.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections.abc import Iterator
+from typing import Any, NamedTuple
 
-_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_CONTENTS = re.compile(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)")
-_SHOWN = re.compile(rb"\((?:[^()\\]|\\.|\([^()]*\))*\)|<[0-9A-Fa-f\s]+>|\bT[dDm*]|\bT[jJ]|'|\bBT|\bET", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+_START = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b")
+_BODY_END = re.compile(rb"\bendobj\b|\bstream\r?\n")
+_STRING = rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.|\([^()]*\))*\))*\)"
+_TOKEN = re.compile(
+    rb"%[^\r\n]*|" + _STRING + rb"|<<|>>|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s()<>\[\]{}/%]*|[+-]?(?:\d+\.?\d*|\.\d+)|\bID\s.*?\sEI\b|[A-Za-z'\"][A-Za-z0-9*'\"]*",
+    re.S,
+)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b""}
+#: What of a page may hold its text once more, or what readers have noted on it.
+_ASIDE = ("Annots", "Metadata", "PieceInfo", "StructParents", "Thumb", "Contents")
+Matrix = tuple[float, float, float, float, float, float]
+Box = tuple[float, float, float, float]
+_ONE: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-def pages(content: bytes) -> list[str]:
-    """The text of each page, in the order of the page objects; a line for each move of the text position."""
-    objects = {int(n): body for n, body in _OBJECT.findall(content)}
+class Ref(NamedTuple):
+    number: int
+
+
+class Glyph(NamedTuple):
+    """A character, its box in points, its string among those of its operator, its place there, its advance, and the two ends of
+    its baseline with the height above it."""
+
+    char: str
+    box: Box
+    piece: int
+    at: int
+    advance: float
+    begin: tuple[float, float]
+    end: tuple[float, float]
+    tall: float
+
+
+class Shown(NamedTuple):
+    """One operator that shows text: where it stands in the content, what it is, its strings and numbers, its glyphs."""
+
+    start: int
+    end: int
+    before: bytes
+    pieces: list
+    size: float
+    glyphs: list[Glyph]
+
+
+class Word(NamedTuple):
+    line: int
+    text: str
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+
+
+def _parsed(data: bytes) -> Any:
+    """The value that stands in data: dictionaries and arrays as such, references as Ref, all else as it is written."""
+    stack: list[list] = [[]]
+    for m in _TOKEN.finditer(data):
+        t = m[0]
+        if t in (b"<<", b"["):
+            stack.append([])
+        elif t in (b">>", b"]") and len(stack) > 1:
+            items = stack.pop()
+            stack[-1].append({k[1:].decode("latin-1"): v for k, v in zip(items[::2], items[1::2]) if isinstance(k, bytes)} if t == b">>" else items)
+        elif t == b"R" and len(stack[-1]) > 1:
+            del stack[-1][-1]
+            stack[-1][-1] = Ref(int(stack[-1][-1]))
+        elif t[:1] != b"%":
+            stack[-1].append(t)
+    return stack[0][0] if stack[0] else {}
+
+
+def _written(value: Any) -> bytes:
+    if isinstance(value, Ref):
+        return b"%d 0 R" % value.number
+    if isinstance(value, dict):
+        return b"<< %s >>" % b" ".join(b"/" + k.encode("latin-1") + b" " + _written(v) for k, v in value.items())
+    return b"[ %s ]" % b" ".join(map(_written, value)) if isinstance(value, list) else value
+
+
+class File:
+    """The objects of a file, by number; the last of a number counts."""
+
+    def __init__(self, content: bytes) -> None:
+        if re.search(rb"/Encrypt\b\s*(?:\d+\s+\d+\s+R|<<)", content):
+            raise ValueError("the file is encrypted")
+        self.values: dict[int, Any] = {}
+        self.streams: dict[int, bytes] = {}
+        at = 0
+        while m := _START.search(content, at):
+            stop = _BODY_END.search(content, m.end())
+            if not stop:
+                break
+            number, value, at = int(m[1]), _parsed(content[m.end() : stop.start()]), stop.end()
+            self.values[number] = value
+            self.streams.pop(number, None)
+            if stop[0] != b"endobj":
+                size = value.get("Length", b"") if isinstance(value, dict) else b""
+                until = at + int(size) if isinstance(size, bytes) and size.isdigit() else -1
+                if until < 0 or not content[until : until + 12].lstrip().startswith(b"endstream"):
+                    until = content.find(b"endstream", at)
+                    until = len(content) if until < 0 else until
+                self.streams[number], at = content[at:until], until
+                if isinstance(value, dict) and value.get("Type") == b"/ObjStm":
+                    self._unpack(number, value)
+
+    def _unpack(self, number: int, value: dict) -> None:
+        data, first = self.data(number), int(value["First"])
+        heads = [int(n) for n in data[:first].split()]
+        ends = [*heads[3::2], len(data) - first]
+        for n, a, b in zip(heads[::2], heads[1::2], ends):
+            self.values[n] = _parsed(data[first + a : first + b])
+            self.streams.pop(n, None)
+
+    def get(self, value: Any) -> Any:
+        return self.values.get(value.number, {}) if isinstance(value, Ref) else value
+
+    def data(self, number: int) -> bytes:
+        raw = self.streams.get(number, b"")
+        kind = self.get(self.values[number].get("Filter", [])) if raw else []
+        if kind not in ([], b"/FlateDecode", [b"/FlateDecode"]):
+            raise ValueError(f"content with the filter {kind!r}")
+        return zlib.decompressobj().decompress(raw) if kind else raw
+
+    def pages(self) -> list[int]:
+        """The numbers of the page objects, in the order of the page tree, or of their numbers if there is none."""
+        is_a = lambda v, kind: isinstance(v, dict) and v.get("Type") == kind
+        out, seen = [], set()
+        roots = [v["Pages"] for v in self.values.values() if is_a(v, b"/Catalog") and isinstance(v.get("Pages"), Ref)]
+        todo = [roots[-1]] if roots else []
+        while todo:
+            ref = todo.pop()
+            if ref.number in seen:
+                continue
+            seen.add(ref.number)
+            node = self.get(ref)
+            if is_a(node, b"/Page"):
+                out.append(ref.number)
+            todo += [k for k in reversed(self.get(node.get("Kids", [])) or []) if isinstance(k, Ref)]
+        return out or sorted(n for n, v in self.values.items() if is_a(v, b"/Page"))
+
+    def inherited(self, page: int, key: str) -> Any:
+        node = self.values[page]
+        for _ in range(64):  # deeper trees are broken ones
+            if key in node:
+                return self.get(node[key])
+            node = self.get(node.get("Parent", {}))
+        return None
+
+    def content(self, page: int) -> bytes:
+        part = self.values[page].get("Contents", [])
+        if isinstance(part, Ref) and part.number not in self.streams:
+            part = self.get(part)
+        parts = part if isinstance(part, list) else [part]
+        return b"\n".join(self.data(p.number) for p in parts if isinstance(p, Ref))
+
+    def size(self, page: int) -> tuple[float, float]:
+        """The left and the upper edge of a page."""
+        box = self.inherited(page, "MediaBox") or [b"0", b"0", b"612", b"792"]
+        xs, ys = [float(box[0]), float(box[2])], [float(box[1]), float(box[3])]
+        return min(xs), max(ys)
+
+    def fonts(self, page: int) -> dict[bytes, tuple[int, list[float], float]]:
+        """By name: the first code with a width, the widths and the width of all other codes."""
+        fonts = self.get((self.inherited(page, "Resources") or {}).get("Font", {})) or {}
+        out = {}
+        for name, ref in fonts.items():
+            font = self.get(ref) or {}
+            widths = [float(self.get(w)) for w in self.get(font.get("Widths", [])) or []]
+            other = float((self.get(font.get("FontDescriptor", {})) or {}).get("MissingWidth", 600 if b"Courier" in font.get("BaseFont", b"") else 500))
+            out[b"/" + name.encode("latin-1")] = (int(font.get("FirstChar", 0)), widths, other)
+        return out
+
+    def shown(self, page: int, data: bytes) -> Iterator[Shown]:
+        left, top = self.size(page)
+        return _shown(data, self.fonts(page), left, top)
+
+
+def _times(a: Matrix, b: Matrix) -> Matrix:
+    return (
+        a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3],
+        a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3],
+        a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5],
+    )
+
+
+def _string(token: bytes) -> bytes:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
+
+
+def _shown(data: bytes, fonts: dict, left: float, top: float) -> Iterator[Shown]:
+    """What a page's content shows, operator by operator."""
+    state: dict[str, Any] = {"ctm": _ONE, "font": (0, [], 500.0), "size": 10.0, "Tc": 0.0, "Tw": 0.0, "Tz": 100.0, "TL": 0.0, "Ts": 0.0}
+    saved: list[dict] = []
+    tm = line = _ONE
+    operands: list = []
+    array: list | None = None
+    start = -1
+    for m in _TOKEN.finditer(data):
+        t = m[0]
+        start = m.start() if start < 0 else start
+        if t == b"[":
+            array = []
+        elif t == b"]":
+            operands.append(array or [])
+            array = None
+        elif t[:1] in b"(<" and t[:2] != b"<<":
+            (operands if array is None else array).append(_string(t))
+        elif t[:1] in b"+-.0123456789":
+            (operands if array is None else array).append(float(t))
+        elif t[:1] == b"/" or t in (b"<<", b">>"):
+            operands.append(t)
+        elif t[:1] != b"%":
+            numbers = [o for o in operands if isinstance(o, float)]
+            if t == b"q":
+                saved.append(dict(state))
+            elif t == b"Q" and saved:
+                state = saved.pop()
+            elif t == b"cm" and len(numbers) == 6:
+                state["ctm"] = _times(tuple(numbers), state["ctm"])
+            elif t == b"BT":
+                tm = line = _ONE
+            elif t == b"Tf" and numbers:
+                state["size"] = numbers[-1]
+                state["font"] = fonts.get(next((o for o in operands if isinstance(o, bytes)), b""), (0, [], 500.0))
+            elif t in (b"Tc", b"Tw", b"Tz", b"TL", b"Ts") and numbers:
+                state[t.decode()] = numbers[-1]
+            elif t in (b"Td", b"TD") and len(numbers) == 2:
+                if t == b"TD":
+                    state["TL"] = -numbers[1]
+                tm = line = _times((1.0, 0.0, 0.0, 1.0, *numbers), line)
+            elif t == b"Tm" and len(numbers) == 6:
+                tm = line = tuple(numbers)
+            elif t == b"T*" or t in (b"'", b'"'):
+                if t == b'"' and len(numbers) == 2:
+                    state["Tw"], state["Tc"] = numbers
+                tm = line = _times((1.0, 0.0, 0.0, 1.0, 0.0, -state["TL"]), line)
+            if t in (b"Tj", b"TJ", b"'", b'"') and operands:
+                pieces = operands[-1] if isinstance(operands[-1], list) else operands[-1:]
+                glyphs, tm = _glyphs(pieces, state, tm, left, top)
+                before = b"" if t[:1] == b"T" else b"T* " if t == b"'" else b"%f Tw %f Tc T* " % (state["Tw"], state["Tc"])
+                yield Shown(start, m.end(), before, pieces, state["size"], glyphs)
+            operands, array, start = [], None, -1
+
+
+def _glyphs(pieces: list, state: dict, tm: Matrix, left: float, top: float) -> tuple[list[Glyph], Matrix]:
+    first, widths, other = state["font"]
+    size, wide, rise = state["size"], state["Tz"] / 100, state["Ts"]
     out = []
-    for number in sorted(objects):
-        body = objects[number]
-        if not re.search(rb"/Type\s*/Page\b", body):
+    for p, piece in enumerate(pieces):
+        if isinstance(piece, float):
+            tm = _times((1.0, 0.0, 0.0, 1.0, -piece / 1000 * size * wide, 0.0), tm)
             continue
-        streams = _CONTENTS.search(body)
-        refs = re.findall(rb"(\d+)\s+\d+\s+R", streams[1]) if streams else []
-        out.append("".join(_text(_data(objects.get(int(r), b""))) for r in refs))
+        for k, (code, char) in enumerate(zip(piece, piece.decode("cp1252", "replace"), strict=True)):
+            width = (widths[code - first] if first <= code < first + len(widths) else other) / 1000 * size
+            place = _times(tm, state["ctm"])
+            corners = [_times((1.0, 0.0, 0.0, 1.0, x, rise + y), place)[4:] for x in (0.0, width * wide) for y in (-0.2 * size, 0.8 * size)]
+            xs, ys = [c[0] for c in corners], [c[1] for c in corners]
+            advance = width + state["Tc"] + (state["Tw"] if code == 32 else 0.0)
+            box = (min(xs) - left, top - max(ys), max(xs) - left, top - min(ys))
+            ends = place[4:], (place[4] + place[0] * width * wide, place[5] + place[1] * width * wide)
+            out.append(Glyph(char, box, p, k, advance, *ends, max(math.hypot(place[2], place[3]) * abs(size), 1e-6)))
+            tm = _times((1.0, 0.0, 0.0, 1.0, advance * wide, 0.0), tm)
+    return out, tm
+
+
+def _runs(glyphs: Iterator[Glyph]) -> Iterator[tuple[Glyph, bool, bool]]:
+    """Each glyph, whether it begins a line, and whether it stands apart from the one before, along their baseline."""
+    last: Glyph | None = None
+    for g in glyphs:
+        along = aside = 0.0
+        if last is not None:
+            dx, dy = g.begin[0] - last.end[0], g.begin[1] - last.end[1]
+            ux, uy = g.end[0] - g.begin[0], g.end[1] - g.begin[1]
+            wide = math.hypot(ux, uy) or 1.0
+            along, aside = (dx * ux + dy * uy) / wide, abs(dx * uy - dy * ux) / wide
+        new = last is None or aside > g.tall / 2 or along < -g.tall
+        yield g, new, not new and along > g.tall / 4
+        last = g
+
+
+def words(file: File, page: int) -> list[Word]:
+    """The words of a page in the order in which it shows them. Columns beside each other are lines of their own
+    if one is shown after the other."""
+    out: list[Word] = []
+    line, chars, box = 0, [], (0.0, 0.0, 0.0, 0.0)
+
+    def close() -> None:
+        if chars:
+            out.append(Word(line, "".join(chars), *(round(v, 3) for v in box)))
+            chars.clear()
+
+    for g, new, apart in _runs(g for s in file.shown(page, file.content(page)) for g in s.glyphs):
+        if new or apart or g.char == " ":
+            close()
+        line += new
+        if g.char != " ":
+            box = (min(box[0], g.box[0]), min(box[1], g.box[1]), max(box[2], g.box[2]), max(box[3], g.box[3])) if chars else g.box
+            chars.append(g.char)
+    close()
     return out
 
 
-def _data(body: bytes) -> bytes:
-    stream = _STREAM.search(body)
-    if not stream:
-        return b""
-    if b"/FlateDecode" in body[: stream.start()]:
-        try:
-            return zlib.decompressobj().decompress(stream[1])
-        except zlib.error:
-            return b""
-    return stream[1]
+def pages(content: bytes) -> list[str]:
+    """The text of each page, a line for each line shown."""
+    file = File(content)
+    texts = []
+    for page in file.pages():
+        glyphs = (g for s in file.shown(page, file.content(page)) for g in s.glyphs)
+        texts.append("".join("\n" * new + " " * apart + g.char for g, new, apart in _runs(glyphs)).removeprefix("\n"))
+    return texts
+
+
+def _covered(box: Box, boxes: list[Box]) -> bool:
+    return any(min(box[2], b[2]) - max(box[0], b[0]) > 0.01 and min(box[3], b[3]) - max(box[1], b[1]) > 0.01 for b in boxes)
+
+
+def _blacked(file: File, page: int, boxes: list[Box]) -> bytes:
+    """A page's content without the glyphs that boxes cover, whose room stays, and with the boxes drawn over it."""
+    # Marked content may name its text once more; its properties go.
+    data = re.sub(rb"(/[^\s()<>\[\]{}/%]+)\s*(?:/[^\s()<>\[\]{}/%]+|<<(?:[^<>()]|" + _STRING + rb"|<[0-9A-Fa-f\s]*>)*>>)\s*BDC\b", rb"\1 BMC", file.content(page))
+    out, at = [b"q\n"], 0
+    for s in file.shown(page, data):
+        gone = {(g.piece, g.at): g.advance for g in s.glyphs if _covered(g.box, boxes)}
+        if not gone:
+            continue
+        parts = []
+        for p, piece in enumerate(s.pieces):
+            if isinstance(piece, float):
+                parts.append(b"%f" % piece)
+                continue
+            for k in range(len(piece)):
+                away = gone.get((p, k))
+                parts.append(b"<%02x>" % piece[k] if away is None else b"%f" % (-away * 1000 / (s.size or 1.0)))
+        out += [data[at : s.start], s.before, b"[", b" ".join(parts), b"] TJ"]
+        at = s.end
+    left, top = file.size(page)
+    drawn = [b"%f %f %f %f re f\n" % (left + b[0], top - b[3], b[2] - b[0], b[3] - b[1]) for b in boxes]
+    return b"".join([*out, data[at:], b"\nQ\nq 0 g\n", *drawn, b"Q"])
+
 
+def without(content: bytes, boxes: dict[int, list[Box]]) -> bytes:
+    """A new file without what stands in boxes (by page, from 1). Black boxes take its place.
 
-def _text(data: bytes) -> str:
-    out: list[str] = []
-    for m in _SHOWN.finditer(data):
-        token = m[0]
-        if token[:1] == b"(":
-            out.append(re.sub(rb"\\([0-7]{1,3}|.)", _unescaped, token[1:-1], flags=re.S).decode("latin-1"))
-        elif token[:1] == b"<":
-            digits = re.sub(rb"\s", b"", token[1:-1])
-            out.append(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1"))
-        elif token in (b"Td", b"TD", b"Tm", b"T*", b"'") and out and not out[-1].endswith("\n"):
-            out.append("\n")
-    return "".join(out)
+    It has the pages, what they draw and their fonts, and nothing else of the old one: no older states of the file,
+    notes, forms to fill in, outline, tags or facts about the document. A page with boxes that draws a form with text is an
+    error, as that text isn't read.
+    """
+    file = File(content)
+    kept: dict[int, Any] = {}
+    streams: dict[int, bytes] = {}
+    last = max(file.values, default=0)
+    order = file.pages()
+    tree = last + len(order) + 1
+    for number, page in enumerate(order, 1):
+        resources = dict(file.inherited(page, "Resources") or {})
+        resources.pop("Properties", None)
+        for form in (file.get(resources.get("XObject", {})) or {}).values() if boxes.get(number) else ():
+            if isinstance(form, Ref) and (file.get(form) or {}).get("Subtype") == b"/Form" and re.search(rb"\bT[jJ]\b", file.data(form.number)):
+                raise ValueError(f"page {number} draws a form with text")
+        last += 1
+        streams[last] = zlib.compress(_blacked(file, page, boxes.get(number, [])))
+        kept[last] = {"Length": b"%d" % len(streams[last]), "Filter": b"/FlateDecode"}
+        plain = {k: v for k, v in file.values[page].items() if k not in _ASIDE}
+        box = file.inherited(page, "MediaBox") or [b"0", b"0", b"612", b"792"]
+        kept[page] = plain | {"Contents": Ref(last), "Resources": resources, "MediaBox": box, "Parent": Ref(tree)}
+    kept[tree] = {"Type": b"/Pages", "Kids": [Ref(p) for p in order], "Count": b"%d" % len(order)}
+    kept[tree + 1] = {"Type": b"/Catalog", "Pages": Ref(tree)}
+    todo = [v for n in order for v in kept[n].values()]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, Ref) and value.number not in kept and value.number in file.values:
+            found = file.values[value.number]
+            if isinstance(found, dict):
+                found = {k: v for k, v in found.items() if k not in ("Metadata", "PieceInfo")}
+            kept[value.number] = found
+            if value.number in file.streams:
+                streams[value.number] = file.streams[value.number]
+                kept[value.number] = found | {"Length": b"%d" % len(streams[value.number])}
+            todo.append(found)
+        elif isinstance(value, dict):
+            todo += value.values()
+        elif isinstance(value, list):
+            todo += value
+    return _assembled({n: _written(v) + (b"\nstream\n%s\nendstream" % streams[n] if n in streams else b"") for n, v in kept.items()}, tree + 1)
 
 
-def _unescaped(m: re.Match) -> bytes:
-    body = m[1]
-    return bytes([int(body, 8) & 255]) if body.isdigit() else _ESCAPES.get(body, body)
+def _assembled(objects: dict[int, bytes], root: int) -> bytes:
+    out, rows = bytearray(b"%PDF-1.5\n"), {0: b"0000000000 65535 f \n"}
+    for n, body in sorted(objects.items()):
+        rows[n] = b"%010d 00000 n \n" % len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    at, most = len(out), max(rows)
+    out += b"xref\n0 %d\n" % (most + 1) + b"".join(rows.get(n, rows[0]) for n in range(most + 1))
+    out += b"trailer\n<< /Size %d /Root %d 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (most + 1, root, at)
+    return bytes(out)
 
 
 def document(text: str, lines: int = 60, mask: str = "█") -> bytes:
     """A PDF of text, a page for so many lines. Runs of the mask are drawn as black boxes and hold no text."""
     rows = text.split("\n")
     blocks = [rows[at : at + lines] for at in range(0, len(rows), lines)]
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(blocks))), len(blocks))]
-    objects.append(b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>")
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(blocks))), len(blocks))}
+    objects[3] = b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"
     for i, block in enumerate(blocks):
         drawn = []
         for k, row in enumerate(block):
@@ -75,16 +428,9 @@ def document(text: str, lines: int = 60, mask: str = "█") -> bytes:
             for m in re.finditer(re.escape(mask) + "+", row):
                 drawn.append(b"%.1f %d %.1f 10 re f" % (40 + 6 * m.start(), y - 2, 6.0 * (m.end() - m.start())))
             shown = row.replace(mask, " ").encode("cp1252", "replace")
-            shown = re.sub(rb"([()\\])", rb"\\\1", shown)
+            shown = re.sub(rb"([()\\])", rb"\\\1", shown).replace(b"\r", b"\\r")
             drawn.append(b"BT /F1 10 Tf 40 %d Td (%s) Tj ET" % (y, shown))
         stream = b"\n".join(drawn)
-        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 842 842] /Contents %d 0 R /Resources << /Font << /F1 3 0 R >> >> >>" % (5 + 2 * i))
-        objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(stream), stream))
-    out, places = bytearray(b"%PDF-1.4\n"), []
-    for n, body in enumerate(objects, 1):
-        places.append(len(out))
-        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
-    at = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
-    out += b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, at)
-    return bytes(out)
+        objects[4 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 842 842] /Contents %d 0 R /Resources << /Font << /F1 3 0 R >> >> >>" % (5 + 2 * i)
+        objects[5 + 2 * i] = b"<< /Length %d >>\nstream\n%s\nendstream" % (len(stream), stream)
+    return _assembled(objects, 1)
