@@ -265,22 +265,24 @@ def _shown(data: bytes, fonts: dict, left: float, top: float) -> Iterator[Shown]
 def _glyphs(pieces: list, state: dict, tm: Matrix, left: float, top: float) -> tuple[list[Glyph], Matrix]:
     first, widths, other = state["font"]
     size, wide, rise = state["size"], state["Tz"] / 100, state["Ts"]
-    out = []
+    a, b, c, d, x, y = _times(tm, state["ctm"])
+    # A box is the sum of a step along the baseline and one across it, so its edges are sums too.
+    across_x, across_y = sorted(((rise - 0.2 * size) * c, (rise + 0.8 * size) * c)), sorted(((rise - 0.2 * size) * d, (rise + 0.8 * size) * d))
+    tall, moved, out = max(math.hypot(c, d) * abs(size), 1e-6), 0.0, []
     for p, piece in enumerate(pieces):
         if isinstance(piece, float):
-            tm = _times((1.0, 0.0, 0.0, 1.0, -piece / 1000 * size * wide, 0.0), tm)
+            step = -piece / 1000 * size * wide
+            x, y, moved = x + step * a, y + step * b, moved + step
             continue
         for k, (code, char) in enumerate(zip(piece, piece.decode("cp1252", "replace"), strict=True)):
             width = (widths[code - first] if first <= code < first + len(widths) else other) / 1000 * size
-            place = _times(tm, state["ctm"])
-            corners = [_times((1.0, 0.0, 0.0, 1.0, x, rise + y), place)[4:] for x in (0.0, width * wide) for y in (-0.2 * size, 0.8 * size)]
-            xs, ys = [c[0] for c in corners], [c[1] for c in corners]
+            dx, dy = width * wide * a, width * wide * b
+            box = (x + min(0.0, dx) + across_x[0] - left, top - y - max(0.0, dy) - across_y[1], x + max(0.0, dx) + across_x[1] - left, top - y - min(0.0, dy) - across_y[0])
             advance = width + state["Tc"] + (state["Tw"] if code == 32 else 0.0)
-            box = (min(xs) - left, top - max(ys), max(xs) - left, top - min(ys))
-            ends = place[4:], (place[4] + place[0] * width * wide, place[5] + place[1] * width * wide)
-            out.append(Glyph(char, box, p, k, advance, *ends, max(math.hypot(place[2], place[3]) * abs(size), 1e-6)))
-            tm = _times((1.0, 0.0, 0.0, 1.0, advance * wide, 0.0), tm)
-    return out, tm
+            out.append(Glyph(char, box, p, k, advance, (x, y), (x + dx, y + dy), tall))
+            step = advance * wide
+            x, y, moved = x + step * a, y + step * b, moved + step
+    return out, _times((1.0, 0.0, 0.0, 1.0, moved, 0.0), tm)
 
 
 def _runs(glyphs: Iterator[Glyph]) -> Iterator[tuple[Glyph, bool, bool]]:
@@ -288,7 +290,7 @@ def _runs(glyphs: Iterator[Glyph]) -> Iterator[tuple[Glyph, bool, bool]]:
     last: Glyph | None = None
     for g in glyphs:
         along = aside = 0.0
-        if last is not None:
+        if last is not None and g.begin != last.end:
             dx, dy = g.begin[0] - last.end[0], g.begin[1] - last.end[1]
             ux, uy = g.end[0] - g.begin[0], g.end[1] - g.begin[1]
             wide = math.hypot(ux, uy) or 1.0

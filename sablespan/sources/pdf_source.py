@@ -4,7 +4,8 @@
     words = spark.read.format("pdf").load(folder)
     redact_files(spark, folder, target, lambda pages: find_spans(pages, patterns, key="place"))
 
-A partition of a read is a group of files of about `partitionBytes`, and a file is one task's. A page's words, text and
+A partition of a read is a group of files of about `partitionBytes` (a thousandth of all, between 1 and 64 MB, if none
+is given), and a file is one task's. A page's words, text and
 spans are one key: work is by page, a file of many pages is spread. Files are written to a staging folder by each attempt and
 moved when the job commits, so a lost executor leaves nothing and a repeated task replaces nothing.
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from sablespan.shared import stored
 from sablespan.sources import pdf
 
 WORDS = "path string, page int, word_no int, line int, text string, x0 double, y0 double, x1 double, y1 double"
@@ -56,19 +58,19 @@ class Group(InputPartition):
 class PdfReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
-        self.most = int(options.get("partitionbytes", 16 << 20))
+        self.most = int(options.get("partitionbytes", 0))
         self.strict = options.get("mode", "permissive").lower() == "failfast"
 
     def partitions(self) -> list[Group]:
         system, place, before = _located(self.path)
         found = system.get_file_info(pafs.FileSelector(place, recursive=True)) if system.get_file_info(place).type == pafs.FileType.Directory else [system.get_file_info(place)]
+        hidden = lambda i: any(part[:1] in "._" for part in i.path[len(place) :].split("/") if part)
+        files = sorted((i for i in found if i.type == pafs.FileType.File and i.path.lower().endswith(".pdf") and not hidden(i)), key=lambda i: i.path)
+        most = self.most or min(max(sum(i.size for i in files) // 1000, 1 << 20), 64 << 20)
         groups: list[list[str]] = []
-        held = self.most
-        for info in sorted(found, key=lambda i: i.path):
-            hidden = any(part[:1] in "._" for part in info.path[len(place) :].split("/") if part)
-            if info.type != pafs.FileType.File or hidden or not info.path.lower().endswith(".pdf"):
-                continue
-            if held + info.size > self.most:
+        held = most
+        for info in files:
+            if held + info.size > most:
                 groups.append([])
                 held = 0
             groups[-1].append(before + info.path)
@@ -229,12 +231,12 @@ def redacted_files(files: DataFrame, boxes: DataFrame, root: str) -> DataFrame:
 
 
 def redact_files(spark: SparkSession, source: str, target: str, detect: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Write the PDF files of a folder to another, without what detect finds; returns the boxes, a job of its own.
+    """Write the PDF files of a folder to another, without what detect finds; returns the boxes.
 
     detect takes pages (place, text) and gives spans (place, entity_type, start_char, end_char).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(source).select("path")
-    laid = placed(read_words(spark, source))
-    boxes = span_boxes(laid, detect(page_texts(laid)))
+    laid = stored(placed(read_words(spark, source)), "words")  # files are parsed once for texts and boxes
+    boxes = stored(span_boxes(laid, detect(page_texts(laid))), "boxes")
     write_files(redacted_files(files, boxes, source), target, mode)
     return boxes
