@@ -3,7 +3,9 @@
 A file of blocks is a Parquet file with one row a block: the ids of whole documents, each id
 in the fewest bits that hold the vocabulary, the documents' ids and their numbers of ids.
 The sums of those numbers are the offsets: a reader takes any document's ids out of a block
-without reading what stands before them, and numpy unpacks a block as one array.
+without reading what stands before them, and numpy unpacks a block as one array.  As files and blocks follow
+doc_id, each block says its least and greatest one: Parquet's statistics of these tell a reader of few
+documents which files and row groups, of about GROUP bytes each, it needn't read.
 
 Cases: null text is empty and gives the end id alone; rows that repeat a doc_id stand next to
 each other, in order of a hash of their texts; a null doc_id comes first; an empty table gives no rows; other
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from sablespan.llm.common import mapped, shared_path, text_batches, worker_state
 from sablespan.llm.tokens import Encoder
 
-BLOCKS = "shard int, block int, bits int, doc_ids array<bigint>, lengths array<bigint>, payload binary"
+BLOCKS = "shard int, block int, bits int, first_id bigint, last_id bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
+#: Bytes of a row group, the least that is read for a document, and the most ranges of ids that a scan is asked for.
+GROUP, RANGES = 8 << 20, 64
 
 
 def bits_for(vocabulary: int) -> int:
@@ -64,16 +68,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
 
         def row() -> pa.RecordBatch:
             payload = pack(np.frombuffer(b"".join(held), "<u4"), bits)
+            known = [n for n in names if n is not None]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard], pa.int32()),
                     pa.array([block], pa.int32()),
                     pa.array([bits], pa.int32()),
+                    pa.array([min(known, default=None)], pa.int64()),
+                    pa.array([max(known, default=None)], pa.int64()),
                     pa.array([names], pa.list_(pa.int64())),
                     pa.array([sizes], pa.list_(pa.int64())),
                     pa.array([payload], pa.binary()),
                 ],
-                names=["shard", "block", "bits", "doc_ids", "lengths", "payload"],
+                names=["shard", "block", "bits", "first_id", "last_id", "doc_ids", "lengths", "payload"],
             )
 
         for batch in text_batches(batches):
@@ -89,7 +96,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
         if held:
             yield row()
 
-    mapped(ordered, encode, BLOCKS).write.parquet(path)
+    mapped(ordered, encode, BLOCKS).write.option("parquet.block.size", GROUP).parquet(path)
 
 
 def block_bases(blocks: DataFrame) -> DataFrame:
@@ -149,9 +156,32 @@ def index(blocks: DataFrame) -> DataFrame:
     return mapped(blocks.select("shard", "block", "doc_ids", "lengths"), places, "doc_id bigint, shard int, block int, at bigint, n bigint")
 
 
+def ranges_of(ids: list[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most so many ranges that hold all ids, parted at the widest gaps."""
+    ids = sorted(set(ids))
+    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: most - 1]
+    cuts = [0, *sorted(gaps), len(ids)]
+    return [(ids[i], ids[k - 1]) for i, k in zip(cuts, cuts[1:]) if i < k]
+
+
+def near(blocks: DataFrame, wanted: DataFrame, few: int = 1000) -> DataFrame:
+    """The blocks whose ids come near those of a few wanted documents; all blocks if more are wanted.
+
+    The ranges are comparisons with first_id and last_id, which reach the scan.
+    """
+    ids = [r["doc_id"] for r in wanted.select("doc_id").filter("doc_id IS NOT NULL").distinct().limit(few + 1).collect()]
+    if len(ids) > few:
+        return blocks
+    some = F.lit(False)
+    for low, high in ranges_of(ids):
+        some = some | ((F.col("last_id") >= low) & (F.col("first_id") <= high))
+    return blocks.filter(some)
+
+
 def read_documents(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and ids of the documents whose doc_id is in wanted: random access. Of a block only the wanted
-    documents' own bytes are unpacked."""
+    """doc_id and ids of the documents whose doc_id is in wanted: random access. For up to a thousand documents only files and row
+    groups near them are read; of a block only the wanted documents' own bytes are unpacked."""
+    blocks = near(blocks, wanted)
     asked = index(blocks).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     asked = asked.groupBy("shard", "block").agg(F.collect_list(F.struct("doc_id", "at", "n")).alias("asked"))
 
