@@ -11,8 +11,8 @@ overlaps a base span, or has not what its kind needs, isn't added.
 
 Cases: null text is empty; repeated rows get a row each, with the same spans; an empty table gives no rows; other
 columns aren't read by personal_data(), and kept by mask_personal_data(), whatever their names.  Offsets count code
-points, the end is exclusive.  Time grows with a text's length, and memory beyond the text itself doesn't: a word
-of over LONG characters is outside, and sequences of over PIECE tokens are decoded in pieces that overlap.
+points, the end is exclusive.  Time grows with a text's length. A word that has a sign is looked at
+whole, whatever its length; LONG bounds only a neighbour that has none. Sequences of over PIECE tokens are decoded in pieces that overlap.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from sablespan.llm.common import mapped, text_batches
 #: The kinds of base spans, and those that only the field finds.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id", "secret", "name")
-#: Characters of a word that can be personal data, tokens decoded together, the overlap of two pieces, tokens held at a time.
+#: Characters of a word without a sign that is context still, tokens decoded together, the overlap of two pieces, tokens held at a time.
 LONG, PIECE, OVERLAP, HELD = 1024, 512, 32, 20_000
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 Span = tuple[int, int, int]  # kind, start, end
@@ -271,12 +271,11 @@ def segments(text: str) -> Iterator[list[tuple[int, int]]]:
     for m in _SIGNAL.finditer(text):
         if m.start() < upto:
             continue
-        a, b = _back(text, m.start()), _on(text, m.end())
-        if b - a > LONG:  # a word that is too long: what else it holds isn't looked at
-            space = _SPACE.search(text, m.end())
-            upto = space.start() if space else len(text)
-            continue
-        upto = b
+        # The whole word, whatever its length; signals further on in it are part of the stretch already.
+        a, space = m.start(), _SPACE.search(text, m.end())
+        while a > upto and a > 0 and not text[a - 1].isspace():
+            a -= 1
+        upto = b = space.start() if space else len(text)
         a, b = _around(text, a, b)
         if first >= 0 and a <= last:
             last = max(last, b)
