@@ -5,9 +5,11 @@
     redact_files(spark, folder, target, lambda pages: find_spans(pages, patterns, key="place"))
 
 A partition of a read is a group of files of about `partitionBytes` (a thousandth of all, between 1 and 64 MB, if none
-is given), and a file is one task's. A page's words, text and
-spans are one key: work is by page, a file of many pages is spread. Files are written to a staging folder by each attempt and
-moved when the job commits, so a lost executor leaves nothing and a repeated task replaces nothing.
+is given), and a file is one task's. Words are placed in their page's text where the file is read, so nothing is exchanged
+but spans and boxes: files with spans are read again where boxes are made of them. Files are written to a staging folder by each
+attempt and moved when the job commits, so a lost executor leaves nothing and a repeated task replaces nothing.
+The option rows says what is read: words, placed words (with start_char and end_char in the text of their page, where a word
+follows a space or, on a new line, a newline), pages (path, page, text), or files (path; nothing is opened).
 
 Cases: empty folders, files and pages give no rows; a file that can't be read gives none, or, with the option
 mode=failfast, an error, as does then a file without words.
@@ -20,6 +22,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +33,9 @@ from sablespan.shared import stored
 from sablespan.sources import pdf
 
 WORDS = "path string, page int, word_no int, line int, text string, x0 double, y0 double, x1 double, y1 double"
+ROWS = {"words": WORDS, "placed": f"{WORDS}, start_char int, end_char int", "pages": "path string, page int, text string", "files": "path string"}
+#: Characters of pages that are laid out together.
+CHARS = 1 << 20
 
 
 def _located(path: str) -> tuple[pafs.FileSystem, str, str]:
@@ -59,6 +65,7 @@ class PdfReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
         self.most = int(options.get("partitionbytes", 0))
+        self.rows = options.get("rows", "words")
         self.strict = options.get("mode", "permissive").lower() == "failfast"
 
     def partitions(self) -> list[Group]:
@@ -78,22 +85,94 @@ class PdfReader(DataSourceReader):
         return [Group(tuple(g)) for g in groups] or [Group(())]
 
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 4]
-        names = [c.split()[0] for c in WORDS.split(", ")]
+        if self.rows == "files":
+            yield pa.RecordBatch.from_arrays([pa.array(partition.paths, pa.string())], names=["path"])
+            return
+        held: list[tuple[str, int, pdf.Laid | list[pdf.Piece]]] = []
+        chars = 0
         for path in partition.paths:
             any_word = False
             try:
-                file = pdf.File(_content(path))
-                for number, page in enumerate(file.pages(), 1):
-                    rows = [(path, number, n, *w) for n, w in enumerate(pdf.words(file, page), 1)]
-                    if rows:
+                for number, found in placed_pages(pdf.File(_content(path))):
+                    if isinstance(found, list):
+                        chars += sum(len(p.codes) for p in found)
+                        any_word = any_word or any(p.codes.strip(b" ") for p in found)
+                    else:
+                        chars += len(found.text)
                         any_word = True
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
+                    held.append((path, number, found))
+                    if chars >= CHARS:
+                        yield from self._batches(held)
+                        held, chars = [], 0
             except Exception as e:
                 if self.strict:
                     raise ValueError(f"can't read {path}: {e}") from e
             if self.strict and not any_word:
                 raise ValueError(f"{path} has no words")
+        yield from self._batches(held)
+
+    def _batches(self, held: list[tuple[str, int, pdf.Laid | list[pdf.Piece]]]) -> Iterator[pa.RecordBatch]:
+        """Batches of pages: plain ones are laid out together, others, which stand alone, as they are."""
+        at = 0
+        while at < len(held):
+            end = at + 1
+            while isinstance(held[at][2], list) and end < len(held) and isinstance(held[end][2], list):
+                end += 1
+            some = held[at:end]
+            laid = pdf.lay([f for *_, f in some]) if isinstance(some[0][2], list) else some[0][2]
+            if len(laid.page):
+                yield self._batch([h[0] for h in some], np.array([h[1] for h in some], np.int32), laid)
+            at = end
+
+    def _batch(self, paths: list[str], numbers: np.ndarray, laid: pdf.Laid) -> pa.RecordBatch:
+        if self.rows == "pages":
+            own, texts = page_texts(laid)
+            return pa.RecordBatch.from_arrays([pa.array(paths).take(pa.array(own)), pa.array(numbers[own]), texts], names=["path", "page", "text"])
+        first = np.searchsorted(laid.page, laid.page)
+        columns = [pa.array(paths).take(pa.array(laid.page)), numbers[laid.page], (np.arange(len(first)) - first + 1).astype(np.int32), laid.line]
+        columns += [_strings(laid.starts, laid.text), *laid.boxes]
+        if self.rows == "placed":
+            columns += [c.astype(np.int32) for c in places(laid)]
+        names = [c.split()[0] for c in ROWS[self.rows].split(", ")]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+
+def _strings(starts: np.ndarray, text: bytes) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(text)).cast(pa.string())
+
+
+def placed_pages(file: pdf.File) -> Iterator[tuple[int, pdf.Laid | list[pdf.Piece]]]:
+    """Number, from 1, and the plain pieces of each page, or its words where it isn't plain; pages that show nothing are left out."""
+    for number, page in enumerate(file.pages(), 1):
+        shown = list(file.shown(page, file.content(page)))
+        plain = pdf.plain_pieces(shown)
+        if plain:
+            yield number, plain
+        elif plain is None and (words := pdf.single_words(shown)):
+            yield number, pdf.laid(words)
+
+
+def places(laid: pdf.Laid) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends in the text of its page, by characters."""
+    first = np.searchsorted(laid.page, laid.page)
+    upto = np.cumsum(laid.sizes + 1)
+    end = upto - np.r_[0, upto][first] - 1
+    return end - laid.sizes, end
+
+
+def page_texts(laid: pdf.Laid) -> tuple[np.ndarray, pa.Array]:
+    """The pages that have words, and their texts."""
+    new = np.diff(laid.page, prepend=-1) != 0
+    gap = np.where(new, b"", np.where(np.diff(laid.line, prepend=-1) != 0, b"\n", b" "))
+    sizes = laid.sizes_of_bytes() + (~new)
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]), np.uint8)
+    from_text = np.ones(len(out), bool)
+    signs = (ends - sizes)[~new]
+    from_text[signs] = False
+    out[from_text] = np.frombuffer(laid.text, np.uint8)
+    out[signs] = np.frombuffer(b"".join(gap[~new].tolist()), np.uint8)
+    return laid.page[new], _strings(np.r_[(ends - sizes)[new], ends[-1]], out.tobytes())
 
 
 @dataclass
@@ -105,10 +184,11 @@ class Moved(WriterCommitMessage):
 
 
 class PdfWriter(DataSourceArrowWriter):
-    """Writes rows of name and content as files."""
+    """Writes rows of name and content as files, with the option parts in a folder of each task's own, which is moved as a whole."""
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        self.parts = options.get("parts", "false").lower() == "true"
 
     def _staging(self) -> tuple[pafs.FileSystem, str, str]:
         system, place, _ = _located(self.path)
@@ -116,17 +196,19 @@ class PdfWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Moved:
         system, _, staging = self._staging()
-        folder, names = f"{staging}/{uuid.uuid4().hex}", []
+        folder, names, made = f"{staging}/{uuid.uuid4().hex}", [], set()
         for batch in iterator:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if name.startswith("/") or ".." in name.split("/"):
                     raise ValueError(f"a file can't be named {name}")
                 at = f"{folder}/{name}"
-                system.create_dir(at.rpartition("/")[0], recursive=True)
+                if (above := at.rpartition("/")[0]) not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
                 with system.open_output_stream(at) as f:
                     f.write(content)
                 names.append(name)
-        return Moved(folder, tuple(names))
+        return Moved(folder if names else "", () if self.parts else tuple(names))
 
     def commit(self, messages: list[Moved | None]) -> None:
         system, place, staging = self._staging()
@@ -135,11 +217,14 @@ class PdfWriter(DataSourceArrowWriter):
             for info in system.get_file_info(pafs.FileSelector(place)):
                 if info.path.rpartition("/")[2][:1] not in "._":
                     (system.delete_dir if info.type == pafs.FileType.Directory else system.delete_file)(info.path)
+        for m in messages if self.parts else ():
+            if m and m.folder:
+                system.move(m.folder, f"{place}/part-{m.folder.rpartition('/')[2]}")
+        for above in {name.rpartition("/")[0] for m in messages if m for name in m.names} - {""}:
+            system.create_dir(f"{place}/{above}", recursive=True)
         for m in messages:
             for name in m.names if m else ():
-                target = f"{place}/{name}"
-                system.create_dir(target.rpartition("/")[0], recursive=True)
-                system.move(f"{m.folder}/{name}", target)
+                system.move(f"{m.folder}/{name}", f"{place}/{name}")
         self.abort(messages)
 
     def abort(self, messages: list[Moved | None]) -> None:
@@ -156,7 +241,7 @@ class PdfSource(DataSource):
         return "pdf"
 
     def schema(self) -> str:
-        return WORDS
+        return ROWS[self.options.get("rows", "words")]
 
     def reader(self, schema: Any) -> PdfReader:
         return PdfReader(self.options)
@@ -170,36 +255,53 @@ def read_words(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     return spark.read.format("pdf").options(**options).load(path)
 
 
-def write_files(files: DataFrame, path: str, mode: str = "append") -> None:
-    """Files from name (which may have folders) and content."""
+def write_files(files: DataFrame, path: str, mode: str = "append", parts: bool = False) -> None:
+    """Files from name (which may have folders) and content; of millions, parts spares the driver the move of each."""
     files.sparkSession.dataSource.register(PdfSource)
-    files.select("name", "content").write.format("pdf").mode(mode).save(path)
+    files.select("name", "content").write.format("pdf").option("parts", parts).mode(mode).save(path)
 
 
-def placed(words: DataFrame) -> DataFrame:
-    """words with start_char and end_char in the text of their page, where a word follows a space or, on a new line, a newline."""
-    order = Window.partitionBy("path", "page").orderBy("word_no")
-    before = F.lag("line").over(order)
-    gap = F.when(before.isNull(), "").when(before == F.col("line"), " ").otherwise("\n")
-    cut = words.withColumn("gap", gap)
-    end = F.sum(F.length("gap") + F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    return cut.withColumn("end_char", end).withColumn("start_char", F.col("end_char") - F.length("text"))
+def _by_file(spark: SparkSession, path: str, rows: DataFrame, of: list[str], how: str) -> DataFrame:
+    """path and a list of rows' columns, for each file of a folder (how: left) or for those that have rows (left_semi), over
+    as many tasks as read the folder: the rows say nothing of what reading a file costs."""
+    files = read_words(spark, path, rows="files")
+    tasks = files.rdd.getNumPartitions()
+    per = rows.repartition(tasks, "path").groupBy("path").agg(F.collect_set(F.struct(*of)).alias("own"))
+    return files.repartition(tasks, "path").join(per, "path", "left") if how == "left" else per
 
 
-def page_texts(laid: DataFrame) -> DataFrame:
-    """From placed words, a row a page: place (path and page) and text."""
-    per = laid.groupBy(F.struct("path", "page").alias("place")).agg(F.array_sort(F.collect_list(F.struct("word_no", F.concat("gap", "text").alias("t")))).alias("w"))
-    return per.select("place", F.array_join("w.t", "").alias("text"))
+BOXES = "path string, page int, entity_type string, start_char int, end_char int, line int, n_words bigint, x0 double, y0 double, x1 double, y1 double"
 
 
-def span_boxes(laid: DataFrame, spans: DataFrame) -> DataFrame:
+def span_boxes(spark: SparkSession, path: str, spans: DataFrame) -> DataFrame:
     """A box for each line that a span (place, entity_type, start_char, end_char) touches, of the whole words there:
-    path, page, entity_type, start_char, end_char, line, n_words and the box."""
-    own = spans.select("place.path", "place.page", "entity_type", F.col("start_char").alias("a"), F.col("end_char").alias("b"))
-    hit = laid.join(own, ["path", "page"]).filter("start_char < b AND a < end_char")
-    keys = ["path", "page", "entity_type", F.col("a").alias("start_char"), F.col("b").alias("end_char"), "line"]
-    edges = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    return hit.groupBy(*keys).agg(F.count("*").alias("n_words"), *edges)
+    path, page, entity_type, start_char, end_char, line, n_words and the box. Files with spans are read again."""
+    flat = spans.select("place.path", "place.page", "entity_type", F.col("start_char").cast("int"), F.col("end_char").cast("int"))
+    per = _by_file(spark, path, flat, ["page", "entity_type", "start_char", "end_char"], "left_semi")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 3, pa.int64(), *[pa.float64()] * 4]
+        for batch in batches:
+            for path, own in zip(batch.column("path").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                by_page: dict[int, list[dict]] = {}
+                for s in own:
+                    by_page.setdefault(s["page"], []).append(s)
+                rows = []
+                for number, found in placed_pages(pdf.File(_content(path))):
+                    if number not in by_page:
+                        continue
+                    laid = pdf.lay([found]) if isinstance(found, list) else found
+                    begin, end = places(laid)
+                    for s in by_page[number]:
+                        a, b = int(np.searchsorted(end, s["start_char"], "right")), int(np.searchsorted(begin, s["end_char"]))
+                        cuts = np.flatnonzero(np.diff(laid.line[a:b])) + 1 + a
+                        for i, j in zip([a, *cuts.tolist()], [*cuts.tolist(), b]) if a < b else ():
+                            (x0, y0), (x1, y1) = laid.boxes[:2, i:j].min(axis=1), laid.boxes[2:, i:j].max(axis=1)
+                            rows.append((path, number, s["entity_type"], s["start_char"], s["end_char"], int(laid.line[i]), j - i, x0, y0, x1, y1))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=[c.split()[0] for c in BOXES.split(", ")])
+
+    return per.mapInArrow(work, BOXES)
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
@@ -208,26 +310,30 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("occurrence", F.row_number().over(order))
 
 
-def redacted_files(files: DataFrame, boxes: DataFrame, root: str) -> DataFrame:
-    """name and content of all files (path) of a folder, without what stands in boxes (path, page and edges).
+def redacted_files(spark: SparkSession, root: str, boxes: DataFrame) -> DataFrame:
+    """name and content of all files of a folder, without what stands in boxes (path, page and edges).
 
     Only boxes are shuffled; a file is read where it is rewritten. A file that can't be rewritten is an error: leaving it out, or as
     it is, would be worse.
     """
-    per = boxes.groupBy("path").agg(F.collect_list(F.struct("page", "x0", "y0", "x1", "y1")).alias("boxes"))
     _, place, before = _located(root)
     start = len(f"{before}{place}/")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, boxes in zip(batch.column("path").to_pylist(), batch.column("boxes").to_pylist(), strict=True):
+            for path, boxes in zip(batch.column("path").to_pylist(), batch.column("own").to_pylist(), strict=True):
                 by_page: dict[int, list[pdf.Box]] = {}
                 for b in boxes or ():
                     by_page.setdefault(b["page"], []).append((b["x0"], b["y0"], b["x1"], b["y1"]))
                 made = pdf.without(_content(path), by_page)
                 yield pa.RecordBatch.from_pydict({"name": [path[start:]], "content": pa.array([made], pa.binary())})
 
-    return files.select("path").join(per, "path", "left").mapInArrow(work, "name string, content binary")
+    return _by_file(spark, root, boxes, ["page", "x0", "y0", "x1", "y1"], "left").mapInArrow(work, "name string, content binary")
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """A row a page: place (path and page) and text."""
+    return read_words(spark, path, rows="pages").select(F.struct("path", "page").alias("place"), "text")
 
 
 def redact_files(spark: SparkSession, source: str, target: str, detect: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
@@ -235,8 +341,7 @@ def redact_files(spark: SparkSession, source: str, target: str, detect: Callable
 
     detect takes pages (place, text) and gives spans (place, entity_type, start_char, end_char).
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(source).select("path")
-    laid = stored(placed(read_words(spark, source)), "words")  # files are parsed once for texts and boxes
-    boxes = stored(span_boxes(laid, detect(page_texts(laid))), "boxes")
-    write_files(redacted_files(files, boxes, source), target, mode)
+    spans = stored(detect(read_pages(spark, source)).select("place", "entity_type", "start_char", "end_char"), "spans")
+    boxes = stored(span_boxes(spark, source, spans), "boxes")
+    write_files(redacted_files(spark, source, boxes), target, mode)
     return boxes
