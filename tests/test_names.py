@@ -55,3 +55,29 @@ def test_query_equals_plain_loop(spark, sf_dir):
     got = sorted((r["doc_id"], r["start_char"], r["end_char"]) for r in base.QUERIES["person_spans"](spark, sf_dir).collect())
     assert got == sorted((d, a, b) for d, t in docs.items() for a, b in N.names_in(t or "", N.default_weights()))
     assert got
+
+
+def test_remembered_parts_equal_features():
+    """What a labeller adds up from what it remembers is what the features of each run gain, also when it forgets."""
+    weights = N.default_weights()
+    lines = [N.marked(k)[0] for k in KEPT + TRAIN + generated()]
+    texts = [*lines, " ".join(lines), "macLind and Anna Berg", "x-Anna, O'Neil-Berg. Mr. Lind\nDr. A. Holm", "Anna", ""]
+
+    def plainly(text):
+        tokens, out = N.tokens_of(text), []
+        for a, b in N.runs_of(tokens):
+            for i, tag in zip(range(a, b), N.decode([N.features(tokens, i) for i in range(a, b)], weights), strict=True):
+                if tag == "B":
+                    out.append(tokens[i][1:])
+                elif tag == "I":
+                    out[-1] = (out[-1][0], tokens[i][2])
+        return out
+
+    for known in (N.KNOWN, 3):
+        N.KNOWN, before = known, N.KNOWN
+        try:
+            labeller = N.Labeller(weights)
+            assert [labeller.names_in(t) for t in texts] == [plainly(t) for t in texts]
+            assert all(len(k) <= known for k in labeller.known)
+        finally:
+            N.KNOWN = before
