@@ -16,6 +16,7 @@ from pyspark.sql.types import IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from sablespan.operators.extract import RECOGNIZERS
+from sablespan.operators.literals import chooser
 
 
 @dataclass
@@ -45,10 +46,13 @@ class Detect:
 
     def __init__(self, wanted: Wanted):
         self.patterns = [(p, re.compile(p.regex, re.ASCII)) for t in wanted.types for p in RECOGNIZERS[t]]
+        self.may_match = chooser([p.regex for p, _ in self.patterns])
 
     def eval(self, row: Row, *types: str) -> Iterator[tuple]:
-        for p, expression in self.patterns:
-            for n, m in enumerate(expression.finditer(row["text"] or ""), 1):
+        text = row["text"] or ""
+        for i in self.may_match(text):
+            p, expression = self.patterns[i]
+            for n, m in enumerate(expression.finditer(text), 1):
                 yield row["doc_id"], p.entity_type, p.name, n, m[0], m.start(), m.end(), p.points
 
 

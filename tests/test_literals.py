@@ -49,3 +49,29 @@ def test_rows_are_the_same(spark, sf_dir):
 
 def test_recognizers_are_covered():
     assert set(RECOGNIZERS) <= {p.entity_type for p in ALL}
+
+
+def test_chooser_runs_what_can_match():
+    """The table function runs only expressions whose literals a text holds, and finds the same."""
+    import re
+
+    from sablespan.operators.extract import RECOGNIZERS
+    from sablespan.operators.literals import chooser
+    from sablespan.operators.table_function import Detect, Wanted
+
+    expressions = [p.regex for kind in ("PHI", "GPA") for p in RECOGNIZERS[kind]]
+    choose = chooser(expressions)
+    assert len(choose("plain words of no kind")) < len(expressions) / 2
+    texts = ["GPA: 3.5 and 3.25/4.0", "30% Service-connected, taking aspirin", "DIAGNOSED WITH asthma", "P&T disability", "", "plain words of no kind", "ſervice"]
+    for text in texts:
+        may = choose(text)
+        assert may == sorted(may) and {i for i, x in enumerate(expressions) if re.search(x, text, re.ASCII)} <= set(may)
+    asked = Wanted.__new__(Wanted)
+    asked.types = ["PHI", "GPA"]
+    detect = Detect(asked)
+    got = [list(detect.eval({"doc_id": 1, "text": t})) for t in (*texts, None)]
+    assert all(got[:4]) and not any(got[4:])
+    ran = []
+    detect.patterns = [(p, type("Counted", (), {"finditer": lambda self, text, x=x: ran.append(1) or x.finditer(text)})()) for p, x in detect.patterns]
+    list(detect.eval({"doc_id": 1, "text": "plain words of no kind"}))
+    assert len(ran) < len(expressions) / 2
