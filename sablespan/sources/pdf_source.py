@@ -4,12 +4,13 @@
     words = spark.read.format("pdf").load(folder)
     redact_files(spark, folder, target, lambda pages: find_spans(pages, patterns, key="place"))
 
-A partition of a read is a group of files of about `partitionBytes` (a thousandth of all, between 1 and 64 MB, if none
-is given), and a file is one task's. Words are placed in their page's text where the file is read, so nothing is exchanged
+A partition of a read is a group of files of about `partitionBytes` (a three-hundredth of all, between 2 and 64 MB, if none
+is given), and a file is one task's. The driver keeps the first and last names of each group; tasks list folders. Words are placed in their page's text where the file is read, so nothing is exchanged
 but spans and boxes: files with spans are read again where boxes are made of them. Files are written to a staging folder by each
 attempt and moved when the job commits, so a lost executor leaves nothing and a repeated task replaces nothing.
 The option rows says what is read: words, placed words (with start_char and end_char in the text of their page, where a word
-follows a space or, on a new line, a newline), pages (path, page, text), or files (path; nothing is opened).
+follows a space or, on a new line, a newline), pages (path, page, text), or files (path, and part, the number of their group; nothing is opened). The option columns
+names some of these, with spaces between them; file is the path's last part, which is shorter where there is a row a word.
 
 Cases: empty folders, files and pages give no rows; a file that can't be read gives none, or, with the option
 mode=failfast, an error, as does then a file without words.
@@ -17,6 +18,7 @@ mode=failfast, an error, as does then a file without words.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,9 +35,22 @@ from sablespan.shared import stored
 from sablespan.sources import pdf
 
 WORDS = "path string, page int, word_no int, line int, text string, x0 double, y0 double, x1 double, y1 double"
-ROWS = {"words": WORDS, "placed": f"{WORDS}, start_char int, end_char int", "pages": "path string, page int, text string", "files": "path string"}
+ROWS = {"words": WORDS, "placed": f"{WORDS}, start_char int, end_char int", "pages": "path string, page int, text string", "files": "path string, part int"}
+
+
+def columns(options: dict[str, str]) -> str:
+    """The columns that options ask for, with their types."""
+    rows = ROWS[options.get("rows", "words")]
+    known = {c.split()[0]: c for c in [*rows.split(", "), "file string"]}
+    return ", ".join(known[c] for c in options["columns"].split()) if "columns" in options else rows
+
+
 #: Characters of pages that are laid out together.
 CHARS = 1 << 20
+#: Bytes of files that one task reads at least.
+LEAST = 2 << 20
+#: Bytes of files that are handed on together.
+TOGETHER = 4 << 20
 
 
 def _located(path: str) -> tuple[pafs.FileSystem, str, str]:
@@ -50,15 +65,61 @@ def _located(path: str) -> tuple[pafs.FileSystem, str, str]:
 
 def _content(path: str) -> bytes:
     system, place, _ = _located(path)
-    with system.open_input_stream(place) as f:
+    with open(place, "rb") if isinstance(system, pafs.LocalFileSystem) else system.open_input_stream(place) as f:
         return f.read()
 
 
+def _listed(folder: str, first: str = "", last: str = chr(0x10FFFF)) -> tuple[list[tuple[str, int]], list[str]]:
+    """The PDF files of a folder with their sizes, and its folders, both by name, from a name to another; names that begin with a dot or an
+    underscore are left out."""
+    system, place, _ = _located(folder)
+    shown = lambda name: name[0] not in "._" and first <= name <= last
+    if isinstance(system, pafs.LocalFileSystem):
+        with os.scandir(place) as entries:
+            found = [(e.name, None if e.is_dir() else e.stat().st_size if e.is_file() else -1) for e in entries if shown(e.name) and (_is_pdf(e.name) or e.is_dir())]
+    else:
+        sizes = {pafs.FileType.Directory: lambda i: None, pafs.FileType.File: lambda i: i.size}
+        found = [(i.base_name, sizes.get(i.type, lambda i: -1)(i)) for i in system.get_file_info(pafs.FileSelector(place)) if shown(i.base_name)]
+    return sorted((name, size) for name, size in found if size is not None and size >= 0 and _is_pdf(name)), sorted(name for name, size in found if size is None)
+
+
+def _is_pdf(name: str) -> bool:
+    return name.lower().endswith(".pdf")
+
+
+def _pieces(root: str, most: int) -> Iterator[tuple[int, list[tuple[str, str, str]]]]:
+    """Bytes and ranges (a folder, its first file and its last) of groups of files of about most bytes. One folder's names are
+    held at a time."""
+    held: list[tuple[str, str, str]] = []
+    bytes_held, todo = 0, [root]
+    while todo:
+        folder = todo.pop()
+        files, folders = _listed(folder)
+        for name, size in files:
+            if held and bytes_held + size > most:
+                yield bytes_held, held
+                held, bytes_held = [], 0
+            if held and held[-1][0] == folder:
+                held[-1] = (folder, held[-1][1], name)
+            else:
+                held.append((folder, name, name))
+            bytes_held += size
+        todo += [f"{folder}/{name}" for name in reversed(folders)]
+    if held:
+        yield bytes_held, held
+
+
 @dataclass
 class Group(InputPartition):
-    """Files that one task reads."""
+    """Files that one task reads: its number, and ranges of files, whose names are listed where they are read."""
 
-    paths: tuple[str, ...]
+    number: int
+    ranges: tuple[tuple[str, str, str], ...]
+
+    def paths(self) -> Iterator[str]:
+        for folder, first, last in self.ranges:
+            names = [first] if first == last else [n for n, _ in _listed(folder, first, last)[0]]
+            yield from (f"{folder}/{n}" for n in names)
 
 
 class PdfReader(DataSourceReader):
@@ -66,31 +127,40 @@ class PdfReader(DataSourceReader):
         self.path = options["path"]
         self.most = int(options.get("partitionbytes", 0))
         self.rows = options.get("rows", "words")
+        self.columns = [c.split()[0] for c in columns(options).split(", ")]
         self.strict = options.get("mode", "permissive").lower() == "failfast"
 
     def partitions(self) -> list[Group]:
+        """Groups are ranges of names, so the driver's memory grows with the groups and folders, not with the files."""
         system, place, before = _located(self.path)
-        found = system.get_file_info(pafs.FileSelector(place, recursive=True)) if system.get_file_info(place).type == pafs.FileType.Directory else [system.get_file_info(place)]
-        hidden = lambda i: any(part[:1] in "._" for part in i.path[len(place) :].split("/") if part)
-        files = sorted((i for i in found if i.type == pafs.FileType.File and i.path.lower().endswith(".pdf") and not hidden(i)), key=lambda i: i.path)
-        most = self.most or min(max(sum(i.size for i in files) // 1000, 1 << 20), 64 << 20)
-        groups: list[list[str]] = []
+        kind = system.get_file_info(place).type
+        if kind == pafs.FileType.File and _is_pdf(place):
+            folder, _, name = f"{before}{place}".rpartition("/")
+            return [Group(0, ((folder, name, name),))]
+        pieces = list(_pieces(f"{before}{place}", self.most or LEAST)) if kind == pafs.FileType.Directory else []
+        most = self.most or min(max(sum(size for size, _ in pieces) // 300, LEAST), 64 << 20)
+        groups: list[list[tuple[str, str, str]]] = []
         held = most
-        for info in files:
-            if held + info.size > most:
+        for size, ranges in pieces:
+            if held + size > most:
                 groups.append([])
                 held = 0
-            groups[-1].append(before + info.path)
-            held += info.size
-        return [Group(tuple(g)) for g in groups] or [Group(())]
+            own = groups[-1]
+            if own and own[-1][0] == ranges[0][0]:
+                own[-1] = (own[-1][0], own[-1][1], ranges[0][2])
+                ranges = ranges[1:]
+            own += ranges
+            held += size
+        return [Group(i, tuple(g)) for i, g in enumerate(groups)] or [Group(0, ())]
 
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
         if self.rows == "files":
-            yield pa.RecordBatch.from_arrays([pa.array(partition.paths, pa.string())], names=["path"])
+            paths = list(partition.paths())
+            yield self._named({"path": lambda: pa.array(paths, pa.string()), "file": lambda: pa.array(map(_last, paths), pa.string()), "part": lambda: np.full(len(paths), partition.number, np.int32)})
             return
         held: list[tuple[str, int, pdf.Laid | list[pdf.Piece]]] = []
         chars = 0
-        for path in partition.paths:
+        for path in partition.paths():
             any_word = False
             try:
                 for number, found in placed_pages(pdf.File(_content(path))):
@@ -127,14 +197,22 @@ class PdfReader(DataSourceReader):
     def _batch(self, paths: list[str], numbers: np.ndarray, laid: pdf.Laid) -> pa.RecordBatch:
         if self.rows == "pages":
             own, texts = page_texts(laid)
-            return pa.RecordBatch.from_arrays([pa.array(paths).take(pa.array(own)), pa.array(numbers[own]), texts], names=["path", "page", "text"])
-        first = np.searchsorted(laid.page, laid.page)
-        columns = [pa.array(paths).take(pa.array(laid.page)), numbers[laid.page], (np.arange(len(first)) - first + 1).astype(np.int32), laid.line]
-        columns += [_strings(laid.starts, laid.text), *laid.boxes]
-        if self.rows == "placed":
-            columns += [c.astype(np.int32) for c in places(laid)]
-        names = [c.split()[0] for c in ROWS[self.rows].split(", ")]
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+            more = {"page": lambda: numbers[own], "text": lambda: texts}
+        else:
+            own, first = laid.page, np.searchsorted(laid.page, laid.page)
+            more = {"page": lambda: numbers[own], "word_no": lambda: (np.arange(len(first)) - first + 1).astype(np.int32), "line": lambda: laid.line, "text": lambda: _strings(laid.starts, laid.text)}
+            more |= {name: lambda k=k: laid.boxes[k] for k, name in enumerate(("x0", "y0", "x1", "y1"))}
+            more |= {name: lambda k=k: places(laid)[k].astype(np.int32) for k, name in enumerate(("start_char", "end_char"))}
+        return self._named({"path": lambda: pa.array(paths).take(pa.array(own)), "file": lambda: pa.array(list(map(_last, paths))).take(pa.array(own))} | more)
+
+    def _named(self, made: dict[str, Callable[[], Any]]) -> pa.RecordBatch:
+        """A batch of the columns that are asked for; no other is made."""
+        arrays = [made[c]() for c in self.columns]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in arrays], names=self.columns)
+
+
+def _last(path: str) -> str:
+    return path.rpartition("/")[2]
 
 
 def _strings(starts: np.ndarray, text: bytes) -> pa.Array:
@@ -144,8 +222,11 @@ def _strings(starts: np.ndarray, text: bytes) -> pa.Array:
 def placed_pages(file: pdf.File) -> Iterator[tuple[int, pdf.Laid | list[pdf.Piece]]]:
     """Number, from 1, and the plain pieces of each page, or its words where it isn't plain; pages that show nothing are left out."""
     for number, page in enumerate(file.pages(), 1):
-        shown = list(file.shown(page, file.content(page)))
-        plain = pdf.plain_pieces(shown)
+        content = file.content(page)
+        plain = pdf.simple_pieces(content, file.fonts(page), *file.size(page))
+        if plain is None:
+            shown = list(file.shown(page, content))
+            plain = pdf.plain_pieces(shown)
         if plain:
             yield number, plain
         elif plain is None and (words := pdf.single_words(shown)):
@@ -177,10 +258,20 @@ def page_texts(laid: pdf.Laid) -> tuple[np.ndarray, pa.Array]:
 
 @dataclass
 class Moved(WriterCommitMessage):
-    """A task's folder in the staging folder and the names of its files."""
+    """A task's folder in the staging folder; empty if it wrote nothing."""
 
     folder: str
-    names: tuple[str, ...]
+
+
+def _merge(system: pafs.FileSystem, source: str, target: str) -> None:
+    """Move what is in a folder to another: folders that aren't there yet as a whole, else file by file."""
+    there = {i.path for i in system.get_file_info(pafs.FileSelector(target)) if i.type == pafs.FileType.Directory}
+    for info in system.get_file_info(pafs.FileSelector(source)):
+        to = f"{target}/{info.base_name}"
+        if info.type == pafs.FileType.Directory and to in there:
+            _merge(system, info.path, to)
+        else:
+            system.move(info.path, to)
 
 
 class PdfWriter(DataSourceArrowWriter):
@@ -196,7 +287,7 @@ class PdfWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Moved:
         system, _, staging = self._staging()
-        folder, names, made = f"{staging}/{uuid.uuid4().hex}", [], set()
+        folder, made = f"{staging}/{uuid.uuid4().hex}", set()
         for batch in iterator:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if name.startswith("/") or ".." in name.split("/"):
@@ -207,8 +298,7 @@ class PdfWriter(DataSourceArrowWriter):
                     made.add(above)
                 with system.open_output_stream(at) as f:
                     f.write(content)
-                names.append(name)
-        return Moved(folder if names else "", () if self.parts else tuple(names))
+        return Moved(folder if made else "")
 
     def commit(self, messages: list[Moved | None]) -> None:
         system, place, staging = self._staging()
@@ -217,14 +307,11 @@ class PdfWriter(DataSourceArrowWriter):
             for info in system.get_file_info(pafs.FileSelector(place)):
                 if info.path.rpartition("/")[2][:1] not in "._":
                     (system.delete_dir if info.type == pafs.FileType.Directory else system.delete_file)(info.path)
-        for m in messages if self.parts else ():
-            if m and m.folder:
-                system.move(m.folder, f"{place}/part-{m.folder.rpartition('/')[2]}")
-        for above in {name.rpartition("/")[0] for m in messages if m for name in m.names} - {""}:
-            system.create_dir(f"{place}/{above}", recursive=True)
-        for m in messages:
-            for name in m.names if m else ():
-                system.move(f"{m.folder}/{name}", f"{place}/{name}")
+        for folder in [m.folder for m in messages if m and m.folder]:
+            if self.parts:
+                system.move(folder, f"{place}/part-{folder.rpartition('/')[2]}")
+            else:
+                _merge(system, folder, place)
         self.abort(messages)
 
     def abort(self, messages: list[Moved | None]) -> None:
@@ -241,7 +328,7 @@ class PdfSource(DataSource):
         return "pdf"
 
     def schema(self) -> str:
-        return ROWS[self.options.get("rows", "words")]
+        return columns(self.options)
 
     def reader(self, schema: Any) -> PdfReader:
         return PdfReader(self.options)
@@ -261,13 +348,9 @@ def write_files(files: DataFrame, path: str, mode: str = "append", parts: bool =
     files.select("name", "content").write.format("pdf").option("parts", parts).mode(mode).save(path)
 
 
-def _by_file(spark: SparkSession, path: str, rows: DataFrame, of: list[str], how: str) -> DataFrame:
-    """path and a list of rows' columns, for each file of a folder (how: left) or for those that have rows (left_semi), over
-    as many tasks as read the folder: the rows say nothing of what reading a file costs."""
-    files = read_words(spark, path, rows="files")
-    tasks = files.rdd.getNumPartitions()
-    per = rows.repartition(tasks, "path").groupBy("path").agg(F.collect_set(F.struct(*of)).alias("own"))
-    return files.repartition(tasks, "path").join(per, "path", "left") if how == "left" else per
+def _by_file(rows: DataFrame, of: list[str]) -> DataFrame:
+    """path and a list of rows' columns, for each file that has rows."""
+    return rows.groupBy("path").agg(F.collect_set(F.struct(*of)).alias("own"))
 
 
 BOXES = "path string, page int, entity_type string, start_char int, end_char int, line int, n_words bigint, x0 double, y0 double, x1 double, y1 double"
@@ -277,7 +360,8 @@ def span_boxes(spark: SparkSession, path: str, spans: DataFrame) -> DataFrame:
     """A box for each line that a span (place, entity_type, start_char, end_char) touches, of the whole words there:
     path, page, entity_type, start_char, end_char, line, n_words and the box. Files with spans are read again."""
     flat = spans.select("place.path", "place.page", "entity_type", F.col("start_char").cast("int"), F.col("end_char").cast("int"))
-    per = _by_file(spark, path, flat, ["page", "entity_type", "start_char", "end_char"], "left_semi")
+    # Over as many tasks as read the folder: the rows say nothing of what reading a file costs.
+    per = _by_file(flat.repartition(len(PdfReader({"path": path}).partitions()), "path"), ["page", "entity_type", "start_char", "end_char"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 3, pa.int64(), *[pa.float64()] * 4]
@@ -313,22 +397,31 @@ def reading_order(boxes: DataFrame) -> DataFrame:
 def redacted_files(spark: SparkSession, root: str, boxes: DataFrame) -> DataFrame:
     """name and content of all files of a folder, without what stands in boxes (path, page and edges).
 
-    Only boxes are shuffled; a file is read where it is rewritten. A file that can't be rewritten is an error: leaving it out, or as
-    it is, would be worse.
+    Only paths and boxes are shuffled; a file is read where it is rewritten, and those of a group by one task, so that their folders are
+    dealt to few. A file that can't be rewritten is an error: leaving it out, or as it is, would be worse.
     """
     _, place, before = _located(root)
     start = len(f"{before}{place}/")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, made = [], []
+        full = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(made, pa.binary())], names=["name", "content"])
         for batch in batches:
             for path, boxes in zip(batch.column("path").to_pylist(), batch.column("own").to_pylist(), strict=True):
                 by_page: dict[int, list[pdf.Box]] = {}
                 for b in boxes or ():
                     by_page.setdefault(b["page"], []).append((b["x0"], b["y0"], b["x1"], b["y1"]))
-                made = pdf.without(_content(path), by_page)
-                yield pa.RecordBatch.from_pydict({"name": [path[start:]], "content": pa.array([made], pa.binary())})
+                names.append(path[start:])
+                made.append(pdf.without(_content(path), by_page))
+                if sum(map(len, made)) >= TOGETHER or len(made) >= 64:
+                    yield full()
+                    names, made = [], []
+        if made:
+            yield full()
 
-    return _by_file(spark, root, boxes, ["page", "x0", "y0", "x1", "y1"], "left").mapInArrow(work, "name string, content binary")
+    files = read_words(spark, root, rows="files")
+    rows = files.join(_by_file(boxes, ["page", "x0", "y0", "x1", "y1"]), "path", "left")
+    return rows.repartitionById(len(PdfReader({"path": root}).partitions()), F.col("part")).select("path", "own").mapInArrow(work, "name string, content binary")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -336,12 +429,13 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return read_words(spark, path, rows="pages").select(F.struct("path", "page").alias("place"), "text")
 
 
-def redact_files(spark: SparkSession, source: str, target: str, detect: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+def redact_files(spark: SparkSession, source: str, target: str, detect: Callable[[DataFrame], DataFrame], mode: str = "append", parts: bool = False) -> DataFrame:
     """Write the PDF files of a folder to another, without what detect finds; returns the boxes.
 
-    detect takes pages (place, text) and gives spans (place, entity_type, start_char, end_char).
+    detect takes pages (place, text) and gives spans (place, entity_type, start_char, end_char). Files keep their names, with parts
+    below a folder of each task's own.
     """
     spans = stored(detect(read_pages(spark, source)).select("place", "entity_type", "start_char", "end_char"), "spans")
     boxes = stored(span_boxes(spark, source, spans), "boxes")
-    write_files(redacted_files(spark, source, boxes), target, mode)
+    write_files(redacted_files(spark, source, boxes), target, mode, parts)
     return boxes
