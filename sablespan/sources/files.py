@@ -66,12 +66,12 @@ def anonymous_names(files: DataFrame, name: str = "file_name") -> DataFrame:
     return numbered.join(bases, "part").select(F.format_string("confidential_%03d.pdf", number).alias("anon_name"), "orig_name")
 
 
-def as_pdf(redacted: DataFrame) -> DataFrame:
+def as_pdf(redacted: DataFrame, deflate: bool = False) -> DataFrame:
     """doc_id and content, a PDF file, of redacted texts (doc_id, redacted); masked characters become black boxes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [pdf.document(t or "") for t in batch.column("redacted").to_pylist()]
+            made = [pdf.document(t or "", deflate=deflate) for t in batch.column("redacted").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "content"])
 
     return redacted.select("doc_id", "redacted").mapInArrow(work, "doc_id bigint, content binary")

@@ -4,7 +4,7 @@
     words = spark.read.format("pdf").load(folder)
     redact_files(spark, folder, target, lambda pages: find_spans(pages, patterns, key="place"))
 
-A partition of a read is a group of files of about `partitionBytes` (a three-hundredth of all, between 2 and 64 MB, if none
+A partition of a read is a group of files of about `partitionBytes` (a three-hundredth of all, between 1 and 64 MB, if none
 is given), and a file is one task's. The driver keeps the first and last names of each group; tasks list folders. Words are placed in their page's text where the file is read, so nothing is exchanged
 but spans and boxes: files with spans are read again where boxes are made of them. Files are written to a staging folder by each
 attempt and moved when the job commits, so a lost executor leaves nothing and a repeated task replaces nothing.
@@ -46,9 +46,9 @@ def columns(options: dict[str, str]) -> str:
 
 
 #: Characters of pages that are laid out together.
-CHARS = 1 << 20
+CHARS = 1 << 18
 #: Bytes of files that one task reads at least.
-LEAST = 2 << 20
+LEAST = 1 << 20
 #: Bytes of files that are handed on together.
 TOGETHER = 4 << 20
 
@@ -296,7 +296,7 @@ class PdfWriter(DataSourceArrowWriter):
                 if (above := at.rpartition("/")[0]) not in made:
                     system.create_dir(above, recursive=True)
                     made.add(above)
-                with system.open_output_stream(at) as f:
+                with open(at, "wb") if isinstance(system, pafs.LocalFileSystem) else system.open_output_stream(at) as f:
                     f.write(content)
         return Moved(folder if made else "")
 
