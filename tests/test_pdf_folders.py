@@ -83,3 +83,12 @@ def test_numbers_of_any_sign(spark, tmp_path, name):
     rows = base.QUERIES[name](spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({base.ORACLE[name]})").fetchall()
     assert sorted(map(tuple, rows.collect())) == sorted(want) and any(r[0] == -7 for r in want)
+
+
+def test_occurrences_ask_for_no_more_than_they_need(spark, many):
+    """The columns that are asked for are those made, whatever rows are read."""
+    folder, _ = many
+    for rows, asked in (("placed", "path page text start_char end_char"), ("pages", "text file"), ("files", "part file")):
+        assert pdf_source.read_words(spark, str(folder), rows=rows, columns=asked, partitionBytes=200_000).columns == asked.split()
+    placed = pdf_source.read_words(spark, str(folder), rows="placed", columns="file text start_char end_char").filter("file LIKE 'é%'")
+    assert {tuple(r)[1:] for r in placed.collect()} == {("some", 0, 4), ("words", 5, 10)} and placed.count() == 80
