longest_word_occurrences: only a text's longest word leaves its worker

Symptom: longest_word_occurrences sorts every word of the documents. The measuring tool stopped it over 0.51 GB at 3014 MB an executor (2942 MB over 0.10 GB); on 4 cores with 1.5 GB of heap it spilled 5780 MB of memory, 1570 MB on disk.
Evidence: the plan has a Sort below a partial SortAggregate, as min_by over strings has no hash aggregate, and its child gives a row a word. A task of that run held 587 MB of execution memory.
Fix: words() takes a function that picks from the words laid out; the query has it pick each text's longest word (the least of several in the order of bytes), so a row a text reaches the sort, however long texts are. The aggregate stays and merges texts that share an id.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1537 -> 1196 s, shuffle 1.76 -> 1.76 GB, spill 2.19 -> 0.00 GB, read 1.95 -> 1.95 GB, longest task 70 -> 45 s, most memory of a task 604 -> 235 MB; at 6 GB of input CPU 10421 -> 7946 s, shuffle 39.83 -> 39.83 GB, spill 15.03 -> 1.59 GB, read 11.83 -> 11.83 GB, longest task 92 -> 84 s, most memory of a task 1074 -> 940 MB; with hot keys, at 1 GB of input CPU 345 -> 423 s, shuffle 0.22 -> 0.22 GB, spill 0.00 -> 0.00 GB, read 0.36 -> 0.36 GB, longest task 15 -> 12 s, most memory of a task 470 -> 84 MB.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,15 +115,30 @@ def laid_out(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray],
     return rows, {"word_no": word_no, "line": line, "x0": x1 - sizes, "x1": x1}, texts.filter(pa.array(some))
 
 
-def words(docs: DataFrame) -> DataFrame:
+def longest(rows: np.ndarray, places: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
+    """The number of each row's longest word, the least of several in the order of their bytes."""
+    begin = np.flatnonzero(np.diff(rows, prepend=-1))
+    sizes = places["x1"] - places["x0"]
+    most = np.repeat(np.maximum.reduceat(sizes, begin), np.diff(begin, append=len(rows)))
+    tied = np.flatnonzero(sizes == most)
+    table = pa.table({"row": rows[tied], "text": texts.take(pa.array(tied))})
+    tied = tied[pc.sort_indices(table, [("row", "ascending"), ("text", "ascending")]).to_numpy()]
+    return tied[np.flatnonzero(np.diff(rows[tied], prepend=-1))]
+
+
+def words(docs: DataFrame, pick: Callable[..., np.ndarray] | None = None) -> DataFrame:
     """The words of texts laid out in lines: doc_id, word_no, line (y), x0 and x1 in characters, and text.
 
-    A row is a document, so its words are numbered where it is read and nothing is exchanged."""
+    A row is a document, so its words are numbered where it is read and nothing is exchanged. Of what laid_out() gives, pick
+    tells the numbers of the words that leave the worker; without it all do."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows, places, texts = laid_out(part)
+                if len(rows) and pick:
+                    some = pick(rows, places, texts)
+                    rows, places, texts = rows[some], {k: v[some] for k, v in places.items()}, texts.take(pa.array(some))
                 if len(rows):
                     numbers = [pa.array(v, pa.int32()) for v in places.values()]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows)), *numbers, texts], names=["doc_id", *places, "text"])
